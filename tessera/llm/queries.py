@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprint
+from tessera.llm import fingerprint, packing
 from tessera.llm.store import table
 
 QUERIES = {
     "op1_fingerprint": lambda s, d: fingerprint.edited_fingerprints(table(s, d, "documents")),
+    "op7_packing": lambda s, d: packing.pieces(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}

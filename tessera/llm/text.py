@@ -18,6 +18,9 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_PUNCTUATION = ~_ALNUM & ~_SEPARATOR & (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -78,8 +81,11 @@ def _cuts(sep: np.ndarray, offsets: np.ndarray) -> list[int]:
     return [*cuts, n] if n else cuts
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-    """Yields (starts, ends, hashes) of the words, segment by segment, in order."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True, tails: bool = False):
+    """Yields (starts, ends, hashes) of the words, segment by segment, in order.
+
+    tails: a run of ASCII punctuation after an ASCII letter or digit at a word's end is a word of its own.
+    """
     sep = _SEPARATOR[data]
     cuts = _cuts(sep, offsets)
     for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -90,6 +96,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
         breaks = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, hi)] - lo
         first[breaks] = ~s[breaks]
         last[breaks - 1] = ~s[breaks - 1]
+        if tails:
+            solid = np.maximum.accumulate(np.where(_PUNCTUATION[b], 0, np.arange(hi - lo)))
+            end = np.flatnonzero(last)
+            p = solid[end]
+            p = p[(p < end) & (p >= np.flatnonzero(first)) & _ALNUM[b[p]]]
+            last[p] = first[p + 1] = True
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = _powers(hi - lo)
         total = np.zeros(hi - lo + 1, _U)
