@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprint, packing
+from tessera.llm import fingerprint, packing, warc
 from tessera.llm.store import table
 
 QUERIES = {
     "op1_fingerprint": lambda s, d: fingerprint.edited_fingerprints(table(s, d, "documents")),
     "op7_packing": lambda s, d: packing.pieces(table(s, d, "documents")),
+    "op9_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": warc.ORACLE,
+}
