@@ -81,10 +81,11 @@ def _cuts(sep: np.ndarray, offsets: np.ndarray) -> list[int]:
     return [*cuts, n] if n else cuts
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True, tails: bool = False):
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True, tails: bool = False, prefixes: tuple[int, ...] = ()):
     """Yields (starts, ends, hashes) of the words, segment by segment, in order.
 
     tails: a run of ASCII punctuation after an ASCII letter or digit at a word's end is a word of its own.
+    prefixes: also yields, for each length in bytes, (numbers, hashes) of the words that are longer.
     """
     sep = _SEPARATOR[data]
     cuts = _cuts(sep, offsets)
@@ -106,8 +107,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True, tails:
         up, down = _powers(hi - lo)
         total = np.zeros(hi - lo + 1, _U)
         np.cumsum((b.astype(_U) + _U(1)) * up[: hi - lo], out=total[1:])
+        size = ends - starts
         h = (total[ends] - total[starts]) * down[starts]
-        yield starts + lo, ends + lo, mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        found = (starts + lo, ends + lo, mix(h + size.astype(_U) * _U(0xD6E8FEB86659FD93)))
+        if not prefixes:
+            yield found
+            continue
+        heads = []
+        for p in prefixes:
+            at = np.flatnonzero(size > p)
+            head = (total[starts[at] + p] - total[starts[at]]) * down[starts[at]]
+            heads.append((at, mix(head + _U(p) * _U(0x8CB92BA72F3D8DD7))))
+        yield (*found, heads)
 
 
 def word_hashes(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
