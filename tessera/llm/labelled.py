@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents, and the one-variable calibration that classifiers here share."""
+"""A bounded sample of labelled documents, and the monotone calibration of one measure."""
 
 from __future__ import annotations
 
@@ -31,25 +31,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     return found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """(slope, intercept) of P(y = 1) = 1 / (1 + exp(-(slope * x + intercept))), by Newton steps.
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Knots (x, P(y = 1)) of a rising calibration curve, to be joined by straight lines.
 
-    The targets are Platt's smoothed ones, so separable data keep finite slopes.
+    Neighbours whose shares fall are pooled until none do; each pool stands at its mean x with its share, drawn by one pseudo-row
+    towards the share of all. Without rows it is 0.5 everywhere.
     """
-    up, down = float((y == 1).sum()), float((y == 0).sum())
-    t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    if not up or not down:
-        p = (up + 1) / (up + down + 2)
-        return 0.0, float(np.log(p / (1 - p)))
-    scale = float(x.std()) or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], 1)
-    w = np.array([0.0, np.log((up + 1) / (down + 1))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - t) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -2, 2)
-        if abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1])
+    if not len(x):
+        return (0.0,), (0.5,)
+    order = np.argsort(x, kind="stable")
+    prior = (float(y.sum()) + 1) / (len(y) + 2)
+    pools: list[list[float]] = []  # sum of x, sum of y, rows
+    for a, b in zip(x[order], y[order], strict=True):
+        pools.append([float(a), float(b), 1.0])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last, strict=True)]
+    knots, shares = [p[0] / p[2] for p in pools], [(p[1] + prior) / (p[2] + 1) for p in pools]
+    return tuple(knots), tuple(np.maximum.accumulate(shares))

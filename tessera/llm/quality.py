@@ -2,7 +2,7 @@
 
 A text is cut in blocks of ``BLOCK`` bytes, so that the dictionaries and not the text's own past explain
 it, and every block is compressed with either dictionary. The difference of the sums, bad less good, over the
-text's bytes is the measure; a logistic curve fitted to labelled documents that the dictionaries have
+text's bytes is the measure; a rising curve fitted to labelled documents that the dictionaries have
 not seen turns it into a score.
 
 The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents of at most 20,000 characters). Defined results: a null or empty text has the
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import fold, logistic, sample
+from tessera.llm.labelled import fold, isotonic, sample
 from tessera.llm.text import buffers
 
 BLOCK = 1024
@@ -33,8 +33,11 @@ THRESHOLD = 0.3
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    knots: tuple[float, ...]
+    shares: tuple[float, ...]
+
+    def score(self, measure: np.ndarray) -> np.ndarray:
+        return np.interp(measure, self.knots, self.shares)
 
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -80,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -
     bad, good = (dictionary(t) if t else b"" for t in by_class)
     rest = np.flatnonzero(~built)
     x = measures(texts.take(pa.array(rest)), compressor(good), compressor(bad)) if len(rest) else np.zeros(0)
-    return Model(good, bad, *logistic(x, y[rest]))
+    return Model(good, bad, *isotonic(x, y[rest]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -90,8 +93,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         good, bad = compressor(model.good), compressor(model.bad)
         for b in batches:
             x = measures(b.column(1), good, bad)
-            p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(x)], names=["doc_id", "score", "measure"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x)), pa.array(x)], names=["doc_id", "score", "measure"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, measure double")
 
@@ -109,7 +111,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = compressor(model.good), compressor(model.bad)
         for b in batches:
-            z = np.clip(model.slope * measures(b.column(at), good, bad) + model.intercept, -30, 30)
-            yield b.filter(pa.array(1 / (1 + np.exp(-z)) >= THRESHOLD))
+            yield b.filter(pa.array(model.score(measures(b.column(at), good, bad)) >= THRESHOLD))
 
     return docs.mapInArrow(run, schema)
