@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprint, packing, quality, toxicity, warc
+from tessera.llm import fingerprint, jaccard, packing, quality, toxicity, warc
 from tessera.llm.store import table
 
 QUERIES = {
     "op1_fingerprint": lambda s, d: fingerprint.edited_fingerprints(table(s, d, "documents")),
     "op3_quality": lambda s, d: quality.classified(table(s, d, "documents"), table(s, d, "labels")),
+    "op5_jaccard": lambda s, d: jaccard.classes(table(s, d, "documents")),
     "op7_packing": lambda s, d: packing.pieces(table(s, d, "documents")),
     "op8_toxicity": lambda s, d: toxicity.classified(table(s, d, "documents"), table(s, d, "labels")),
     "op9_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
