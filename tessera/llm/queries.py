@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprint, jaccard, lm, packing, quality, toxicity, warc
+from tessera.llm import fingerprint, flac, jaccard, lm, packing, quality, toxicity, warc
 from tessera.llm.store import table
 
 QUERIES = {
     "op1_fingerprint": lambda s, d: fingerprint.edited_fingerprints(table(s, d, "documents")),
     "op3_quality": lambda s, d: quality.classified(table(s, d, "documents"), table(s, d, "labels")),
+    "op4_flac": lambda s, d: flac.text_media(table(s, d, "documents")),
     "op5_jaccard": lambda s, d: jaccard.classes(table(s, d, "documents")),
     "op6_lm": lambda s, d: lm.held_out_scores(table(s, d, "documents")),
     "op7_packing": lambda s, d: packing.pieces(table(s, d, "documents")),
