@@ -5,7 +5,9 @@ documents meet. 1. Documents with equal sets become one set. 2. Every set lists
 make sure that two linked sets list one in common; rarity comes from counts of all shingles in a
 table of fixed size, which sets an order and can't change results. 3. Of the sets that list a shingle the one
 with the smallest digest is its pivot, and a pivot's region holds all sets it was chosen for: two linked
-sets always share a region. 4. A region is joined recursively: further pivots, farthest first, cut it
+sets always share a region. Before any text moves, regions of up to ``FEW`` sets are parted by a lower bound of the
+distance: the number of bits in which two parity sketches differ, which never exceeds the symmetric
+difference of the sets. 4. A region is joined recursively: further pivots, farthest first, cut it
 into Voronoi cells; a set goes to each cell whose pivot is no farther than the cell's radius plus
 the link distance (triangle inequality), and cells are joined in the same way until they are small. Sets that
 are in one component already are not compared. 5. The links, as stars, give components across regions.
@@ -39,6 +41,7 @@ REGION = 4_000_000
 PIVOTS = 8
 SMALL = 24
 HOT = 1024
+FEW = 512
 _U = np.uint64
 
 
@@ -54,13 +57,80 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in mix(pair).view(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each residue of hashes, set where an odd number of a set's hashes have it; about as many bits as hashes."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def apart(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """A part number for each set, such that sets of different parts are surely not linked."""
+    root = np.arange(len(sizes))
+    length = np.array([len(k) for k in sketches])
+    stacks = {b: np.stack([sketches[i] for i in np.flatnonzero(length == b)]) for b in np.unique(length)}
+    for b, own in stacks.items():
+        at = np.flatnonzero(length == b)
+        for c, other in ((b, own), (b // 2, stacks.get(b // 2))):
+            if other is None:
+                continue
+            to = np.flatnonzero(length == c)
+            mine = own if c == b else own[:, :c] ^ own[:, c:]
+            for i, x in enumerate(at):
+                total = sizes[x] + sizes[to]
+                near = (100 + percent) * np.bitwise_count(mine[i] ^ other).sum(1, dtype=np.int64) <= (100 - percent) * total
+                near &= 100 * np.minimum(sizes[x], sizes[to]) >= percent * np.maximum(sizes[x], sizes[to])
+                for r in np.unique(root[to[near]]):
+                    a, z = sorted((root[x], r))
+                    root[root == z] = a
+    return root
+
+
+def parted(rows: DataFrame, percent: int) -> DataFrame:
+    """(region, part, doc_id, n) from (region, doc_id, n, sketch) rows that lie together by region, without parts of one set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, whole = None, [], False
+        out: list[tuple] = []
+
+        def close() -> None:
+            if len(held) > 1 and not whole:
+                part = apart(np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint8) for h in held], percent)
+                n = np.bincount(part, minlength=len(held))
+                out.extend((key, int(p), h[0], h[1]) for p, h in zip(part, held, strict=True) if n[p] > 1)
+            elif whole:
+                out.extend((key, 0, h[0], h[1]) for h in held)
+            held.clear()
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["region", "part", "doc_id", "n"])
+            out.clear()
+            return made
+
+        for b in batches:
+            for k, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if k != key:
+                    close()
+                    key, whole = k, False
+                held.append(row)
+                if len(held) > FEW:  # as it is, piece by piece
+                    whole = True
+                    close()
+                if len(out) > 10_000:
+                    yield batch()
+        close()
+        if out:
+            yield batch()
+
+    return rows.select("region", "doc_id", "n", "sketch").mapInArrow(run, "region long, part long, doc_id long, n long")
+
+
 def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
-    """A row a document (doc_id, n, d, e: digests) and, from each task, slices of shingle counts by bucket (part, counts)."""
+    """A row a document (doc_id, n, d, e: digests, sketch) and, from each task, slices of shingle counts by bucket (part, counts)."""
     width = (1 << BUCKET_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "d", "e", "part", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "d", "e", "sketch", "part", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         held: list[np.ndarray] = []
 
@@ -76,15 +146,15 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
             held += found
             if sum(map(len, held)) > 2_000_000:
                 count()
-            columns = [b.column(0), [len(s) for s in found], [p[0] for p in pairs], [p[1] for p in pairs], [None] * len(found), [None] * len(found)]
+            columns = [b.column(0), [len(s) for s in found], [p[0] for p in pairs], [p[1] for p in pairs], [parity(s).tobytes() for s in found], [None] * len(found), [None] * len(found)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         count()
         for i in range(SLICES):
             part = counts[i * width : (i + 1) * width]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([i], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:5]] + [pa.array([i], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d long, e long, part int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d long, e long, sketch binary, part int, counts binary")
 
 
 def common_levels(counted: DataFrame, total: int) -> np.ndarray:
@@ -276,10 +346,10 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id) of every row of documents."""
     spark = docs.sparkSession
     counted = materialise(sets_and_counts(docs, words), "sets")
-    own = counted.where("part is null").select("doc_id", "n", "d", "e")
+    own = counted.where("part is null").select("doc_id", "n", "d", "e", "sketch")
     total = own.agg(F.sum("n").alias("t")).first()["t"] or 0
     levels = spark.sparkContext.broadcast(common_levels(counted, total))
-    groups = own.where("n > 0 and doc_id is not null").groupBy("d", "e").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    groups = own.where("n > 0 and doc_id is not null").groupBy("d", "e").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     groups = materialise(groups, "groups")
 
     rare = listed(docs, levels, words, percent, common=False).repartition("token").sortWithinPartitions("token", "d")
@@ -288,10 +358,11 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     among = often.join(chosen, "token").select("pivot", "d")
     members = materialise(elected(rare).union(among.union(among.select("pivot", F.col("pivot").alias("d")))).distinct(), "members")
 
-    placed = members.join(groups.select("d", "rep", "n"), "d").select(F.col("pivot").alias("region"), F.col("rep").alias("doc_id"), "n")
-    sizes = placed.groupBy("region").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
-    blocks = sizes.select("region", F.ceil(F.col("weight") / F.lit(region)).cast("int").alias("k"))
-    placed = placed.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    near = members.join(groups.select("d", "rep", "n", "sketch"), "d").select(F.col("pivot").alias("region"), F.col("rep").alias("doc_id"), "n", "sketch")
+    placed = materialise(parted(near.repartition("region").sortWithinPartitions("region", "doc_id"), percent), "parts")
+    sizes = placed.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
+    blocks = sizes.select("region", "part", F.ceil(F.col("weight") / F.lit(region)).cast("int").alias("k"))
+    placed = placed.join(blocks, ["region", "part"]).withColumn("region", F.xxhash64("region", "part")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     placed = placed.select("region", "doc_id", "block", other)
     placed = placed.select("region", "doc_id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
@@ -304,6 +375,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     # fewer than HOT sets can have more than 1 / HOT of all rows each
     least = own.count() // HOT
     hot = F.broadcast(labels.where(F.col("copies") > least).drop("copies"))
+    own = own.select("doc_id", "n", "d", "e")
     many = own.join(hot, ["d", "e"])
     few = own.join(hot, ["d", "e"], "left_anti").join(labels.where(F.col("copies") <= least).drop("copies"), ["d", "e"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
