@@ -42,6 +42,7 @@ PIVOTS = 8
 SMALL = 24
 HOT = 1024
 FEW = 512
+FILTER = 1 << 24
 _U = np.uint64
 
 
@@ -342,6 +343,15 @@ def joined(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.select("region", "i", "j", "block", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
+def among_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id may be among those of ``ids``, so that few others are shuffled: a bitmap of hashes of FILTER bits,
+    broadcast as at most FILTER / 64 rows."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    word, bit = F.shiftright(h, 6).alias("_w"), h.bitwiseAND(63).cast("int")
+    bitmap = ids.where("doc_id is not null").select(word, bit.alias("b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("_bits"))
+    return docs.withColumn("_w", word).join(F.broadcast(bitmap), "_w").where(F.getbit("_bits", bit) == 1).drop("_w", "_bits")
+
+
 def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of documents."""
     spark = docs.sparkSession
@@ -359,14 +369,14 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     members = materialise(elected(rare).union(among.union(among.select("pivot", F.col("pivot").alias("d")))).distinct(), "members")
 
     near = members.join(groups.select("d", "rep", "n", "sketch"), "d").select(F.col("pivot").alias("region"), F.col("rep").alias("doc_id"), "n", "sketch")
-    placed = materialise(parted(near.repartition("region").sortWithinPartitions("region", "doc_id"), percent), "parts")
-    sizes = placed.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
+    parts = materialise(parted(near.repartition("region").sortWithinPartitions("region", "doc_id"), percent), "parts")
+    sizes = parts.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
     blocks = sizes.select("region", "part", F.ceil(F.col("weight") / F.lit(region)).cast("int").alias("k"))
-    placed = placed.join(blocks, ["region", "part"]).withColumn("region", F.xxhash64("region", "part")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    placed = parts.join(blocks, ["region", "part"]).withColumn("region", F.xxhash64("region", "part")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     placed = placed.select("region", "doc_id", "block", other)
     placed = placed.select("region", "doc_id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    held = among_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
     rows = held.join(placed, "doc_id").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "doc_id")
     found = components(materialise(joined(rows, words, percent), "links"))
 
