@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -343,13 +343,16 @@ def joined(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.select("region", "i", "j", "block", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
-def among_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id may be among those of ``ids``, so that few others are shuffled: a bitmap of hashes of FILTER bits,
-    broadcast as at most FILTER / 64 rows."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+def by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the doc_ids of ``ids``, rows whose key surely is not): a bitmap of hashes of FILTER bits,
+    broadcast as at most FILTER / 64 rows, so that few others are shuffled."""
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER))
     word, bit = F.shiftright(h, 6).alias("_w"), h.bitwiseAND(63).cast("int")
     bitmap = ids.where("doc_id is not null").select(word, bit.alias("b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("_bits"))
-    return docs.withColumn("_w", word).join(F.broadcast(bitmap), "_w").where(F.getbit("_bits", bit) == 1).drop("_w", "_bits")
+    h = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER))
+    marked = docs.withColumn("_w", F.shiftright(h, 6)).join(F.broadcast(bitmap), "_w", "left")
+    hit = F.coalesce(F.getbit("_bits", h.bitwiseAND(63).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return marked.where(hit).drop("_w", "_bits"), marked.where(~hit).drop("_w", "_bits")
 
 
 def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, region: int = REGION) -> DataFrame:
@@ -376,7 +379,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     placed = placed.select("region", "doc_id", "block", other)
     placed = placed.select("region", "doc_id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    held = among_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
+    held, _ = by_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
     rows = held.join(placed, "doc_id").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "doc_id")
     found = components(materialise(joined(rows, words, percent), "links"))
 
@@ -390,3 +393,18 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     few = own.join(hot, ["d", "e"], "left_anti").join(labels.where(F.col("copies") <= least).drop("copies"), ["d", "e"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return many.unionByName(few).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, without those that a smaller doc_id's document is linked to, over any number of links.
+
+    Of rows that share a doc_id the first by text stays. Rows with a null doc_id all stay. Only the texts of documents that go, and of few others, are shuffled.
+    """
+    found = materialise(classes(docs, words, percent), "classes")
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    marked = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    some, others = by_ids(marked, gone.union(repeated), "_id")
+    some = some.join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
+    some = some.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("_k = 1")
+    return others.select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -117,7 +117,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True, tails:
         for p in prefixes:
             at = np.flatnonzero(size > p)
             head = (total[starts[at] + p] - total[starts[at]]) * down[starts[at]]
-            heads.append((at, mix(head + _U(p) * _U(0x8CB92BA72F3D8DD7))))
+            heads.append((at, mix(head + _U(p * 0x8CB92BA72F3D8DD7 % (1 << 64)))))
         yield (*found, heads)
 
 
