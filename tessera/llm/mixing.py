@@ -16,7 +16,7 @@ columns named like those that are added (``topic``, ``tokens``, ``factor``, ``pr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.joins import lookup
@@ -26,13 +26,13 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 12
 TEMPER = 0.7
 FRACTION = 0.5
-SMALL = 20_000  # cells that are broadcast at most
-GRID = 200
+SMALL = 20_000  # cells that are broadcast, or raked in one task, at most
+GRID = 64
 
 
 def topic_of(text: Column) -> Column:
     """The form of a text."""
-    n = F.greatest(F.length(text), F.lit(1))
+    n = F.length(text)
     return (
         F.when(F.contains(text, F.lit(" | ")), "listing")
         .when(F.regexp_like(text, F.lit(r"[^\s@]@[^\s@]")), "contact")
@@ -58,14 +58,27 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         goal = materialise(goal, "goals")
         every = goal.agg(F.sum("goal").alias("s")).first()["s"] or 1.0
         goals[d] = goal.select(d, (F.col("goal") / F.lit(every)).alias("goal"))
-    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1
+    sums = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
+    total = sums["t"] or 1
     out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    for i in range(rounds):
+    if sums["n"] <= SMALL:  # a few cells: all rounds in one task, without shuffles
+        out = materialise(out, "cells").coalesce(1)
         for d in DIMENSIONS:
-            scale = out.groupBy(d).agg(F.sum("weight").alias("now")).join(goals[d], d).select(d, F.coalesce(F.try_divide("goal", "now"), F.lit(0.0)).alias("scale"))
-            out = out.join(scale, d).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        if i % 2 == 1 or i == rounds - 1:
-            out = materialise(out, "weights")
+            out = out.join(F.broadcast(goals[d].withColumnRenamed("goal", f"_{d}")), d)
+        for i in range(rounds):
+            for d in DIMENSIONS:
+                now = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"_{d}"), now), F.lit(0.0)))
+            if i % 6 == 5 and i < rounds - 1:
+                out = materialise(out, "weights").coalesce(1)
+        out = materialise(out.drop(*(f"_{d}" for d in DIMENSIONS)), "weights")
+    else:
+        for i in range(rounds):
+            for d in DIMENSIONS:
+                scale = out.groupBy(d).agg(F.sum("weight").alias("now")).join(goals[d], d).select(d, F.coalesce(F.try_divide("goal", "now"), F.lit(0.0)).alias("scale"))
+                out = out.join(scale, d).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
+            if i % 2 == 1 or i == rounds - 1:
+                out = materialise(out, "weights")
     return out.withColumn("weight", F.col("weight") * F.lit(float(total)))
 
 
@@ -83,8 +96,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, f
         targets = {d: {f"1{k}": v for k, v in t.items()} for d, t in targets.items()}
     raked = rake(cells.drop("rows"), targets, rounds)
     cells = materialise(raked.join(cells.select(*DIMENSIONS, "rows"), list(DIMENSIONS)).withColumn("factor", F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0))), "factors")
-    # k by a grid in steps of a twentieth: the least that reaches the fraction, then straight between the two
-    grid = [1.05 ** (i - GRID // 2) * fraction for i in range(GRID)]
+    # k by a grid in steps of a sixth: the least that reaches the fraction, then straight between the two
+    grid = [1.15 ** (i - GRID // 2) * fraction for i in range(GRID)]
     sums = cells.agg(F.sum("tokens").alias("all"), F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * k)).alias(f"k{i}") for i, k in enumerate(grid))).first()
     wanted = fraction * (sums["all"] or 0)
     at = next((i for i in range(1, GRID) if (sums[f"k{i}"] or 0) >= wanted), GRID - 1)
@@ -101,9 +114,11 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, f
     return out.drop(*keys).withColumns({"probability": chance, "kept": draw < chance})
 
 
-def sampled(docs: DataFrame, **options) -> DataFrame:
+def sampled(docs: DataFrame, topic: str | None = None, **options) -> DataFrame:
     """The documents that are kept, with their own columns only."""
-    return mixed(docs, **options).where("kept").select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("topic", "tokens", "factor", "probability", "kept")}
+    out = mixed(docs.withColumnsRenamed(own), topic=own.get(topic, topic), **options).where("kept").drop("topic", "tokens", "factor", "probability", "kept")
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def decisions(docs: DataFrame) -> DataFrame:
