@@ -103,7 +103,7 @@ def calendar(time: str, grain: str) -> list[Column]:
 
 def time_derived(axis: str, period: int = 52) -> list[Column]:
     place = F.pmod(F.col(axis), F.lit(period))
-    return [place.alias("cycle_pos"), F.floor(place / 13).alias("cycle_quarter"), F.floor(place / 4).alias("cycle_month"), F.col(axis).alias("trend")]
+    return [place.alias("cycle_pos"), F.floor(place / 13).cast("int").alias("cycle_quarter"), F.floor(place / 4).cast("int").alias("cycle_month"), F.col(axis).alias("trend")]
 
 
 def baselines(train: DataFrame, groups: list[str], part: Column, target: str, name: str) -> DataFrame:
