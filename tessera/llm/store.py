@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -56,6 +57,14 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), path) if path is not None else fs.FileSystem.from_uri(uri)
 
 
+def trim() -> None:
+    """Hands memory that this process has freed back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, through Spark's reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
