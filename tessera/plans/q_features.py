@@ -48,11 +48,11 @@ def _(t):
     return monthly(t).select("g", *features.time_derived("t"))
 
 
-@query("hour_dow_baselines", "select 'hour' as part, event_type, hour(ts)::int as slot, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std from events group by 2, 3 union all select 'dow', event_type, (isodow(ts) - 1)::int, round(avg(value), 4), round(stddev_samp(value), 4) from events group by 2, 3")
+@query("hour_dow_baselines", "select 'hour' as part, event_type, hour(ts)::int as slot, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std from events group by 2, 3 union all select 'dow', event_type, (isodow(ts) - 1)::int, round(avg(value), 6), round(stddev_samp(value), 6) from events group by 2, 3")
 def _(t):
     e = t("events")
     parts = [features.baselines(e, ["event_type"], p, "value", n).select(F.lit(n).alias("part"), "event_type", F.col(n).cast("int").alias("slot"), F.col(f"{n}_mean").alias("mean"), F.col(f"{n}_std").alias("std")) for n, p in (("hour", F.hour("ts")), ("dow", F.weekday("ts")))]
-    return rounded(parts[0].union(parts[1]))
+    return rounded(parts[0].union(parts[1]), 6)
 
 
 @query("cov_ratios", "select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice / (abs(l_discount) + 1e-9), 0) as l_extendedprice_over_l_discount, round(l_quantity / (abs(l_extendedprice) + 1e-9), 6) as l_quantity_over_l_extendedprice from lineitem where l_discount > 0")
