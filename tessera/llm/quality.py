@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import fold, isotonic, sample
+from tessera.llm.store import trim
 from tessera.llm.text import buffers
 
 BLOCK = 1024
@@ -83,6 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -
     bad, good = (dictionary(t) if t else b"" for t in by_class)
     rest = np.flatnonzero(~built)
     x = measures(texts.take(pa.array(rest)), compressor(good), compressor(bad)) if len(rest) else np.zeros(0)
+    del rows, texts, by_class
+    trim()
     return Model(good, bad, *isotonic(x, y[rest]))
 
 

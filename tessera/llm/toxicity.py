@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import fold, sample
+from tessera.llm.store import trim
 from tessera.llm.text import buffers, word_spans
 
 BITS = 20
@@ -73,29 +74,30 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, s
     bias = float(np.log(prior / (1 - prior)))
     if not up or up == n:
         return Model(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, RANK)))
-    parts, first = [], 0
-    for at in range(0, n, 1000):
-        r, c = terms(table["text"].slice(at, 1000))
-        parts.append((r + first, c))
-        first += min(1000, n - at)
-    rows, cols = (np.concatenate(p) for p in zip(*parts, strict=True))
     size = 1 << BITS
-    seen = np.bincount(cols, minlength=size)
-    bad = np.bincount(cols, y[rows], size)
-    good = seen - bad
+    seen, bad = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for at in range(0, n, 500):  # twice over the texts, so that only kept terms are held
+        r, c = terms(table["text"].slice(at, 500))
+        seen += np.bincount(c, minlength=size).astype(np.int32)
+        bad += np.bincount(c[y[at + r] == 1], minlength=size).astype(np.int32)
+    often = np.flatnonzero(seen >= 3)
+    bad, good = bad[often], (seen - bad)[often]
     odds = np.log((bad + 0.5) / (up - bad + 0.5)) - np.log((good + 0.5) / (n - up - good + 0.5))
     error = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) + 1 / (up - bad + 0.5) + 1 / (n - up - good + 0.5))
-    z = np.where(seen >= 3, np.abs(odds) / error, 0)
-    kept = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    kept = kept[z[kept] >= CLEAR]
+    z = np.abs(odds) / error
+    best = np.sort(np.argsort(-z, kind="stable")[:TERMS])
+    best = best[z[best] >= CLEAR]
+    kept, odds = often[best], odds[best]
     if not len(kept):
         return Model(kept, bias, np.zeros(0), np.zeros((0, RANK)))
     index = np.full(size, -1)
     index[kept] = np.arange(len(kept))
-    chosen = index[cols] >= 0
-    rows, cols = rows[chosen], index[cols[chosen]]
+    parts = [(at, *terms(table["text"].slice(at, 500), index)) for at in range(0, n, 500)]
+    rows, cols = np.concatenate([at + r for at, r, _ in parts]), np.concatenate([c for _, _, c in parts])
+    del table, parts
+    trim()
     k = len(kept)
-    w = np.concatenate([[bias], np.clip(odds[kept], -1, 1) * 0.5])
+    w = np.concatenate([[bias], np.clip(odds, -1, 1) * 0.5])
     v = np.random.default_rng(seed).normal(0, 0.01, (k, RANK))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     for step in range(1, steps + 1):
