@@ -372,7 +372,13 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     members = materialise(elected(rare).union(among.union(among.select("pivot", F.col("pivot").alias("d")))).distinct(), "members")
 
     near = members.join(groups.select("d", "rep", "n", "sketch"), "d").select(F.col("pivot").alias("region"), F.col("rep").alias("doc_id"), "n", "sketch")
-    parts = materialise(parted(near.repartition("region").sortWithinPartitions("region", "doc_id"), percent), "parts")
+    near = materialise(near, "near")
+    # fewer than HOT regions hold more than 1 / HOT of the rows each; they, too large to be parted anyway, stay where they are
+    counts = near.groupBy("region").agg(F.count("*").alias("rows"))
+    hot = F.broadcast(counts.where((F.col("rows") > F.lit(near.count() // HOT)) & (F.col("rows") > FEW)).select("region"))
+    few = near.join(hot, "region", "left_anti").repartition("region").sortWithinPartitions("region", "doc_id")
+    whole = near.join(hot, "region").select("region", F.lit(0).cast("long").alias("part"), "doc_id", "n")
+    parts = materialise(parted(few, percent).unionByName(whole), "parts")
     sizes = parts.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
     blocks = sizes.select("region", "part", F.ceil(F.col("weight") / F.lit(region)).cast("int").alias("k"))
     placed = parts.join(blocks, ["region", "part"]).withColumn("region", F.xxhash64("region", "part")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))

@@ -61,6 +61,15 @@ def test_components_equal_those_of_all_pairs(spark, seed, few, small, region, mo
     assert got == brute(docs)
 
 
+def test_hot_regions_take_another_way(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 5)
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    docs = corpus(7, 200)
+    table = spark.createDataFrame([(k, t, "x") for k, t in docs], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(table, region=500).collect()}
+    assert got == brute(docs)
+
+
 def test_recursion_inside_a_region_equals_all_pairs(monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
     docs = [(k, t) for k, t in corpus(9, 400) if (t or "").split()]
