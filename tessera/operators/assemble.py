@@ -108,7 +108,7 @@ def scored_filter(train: DataFrame, template: DataFrame, columns: list[str]) ->
 
 def scored_rows(df: DataFrame, template: DataFrame, columns: list[str]) -> DataFrame:
     """The rows whose values the template has, in every scored column."""
-    return reduce(lambda d, c: d.join(F.broadcast(template.select(c).distinct()), c, "left_semi"), columns, df)
+    return reduce(lambda d, c: d.join(template.select(c).distinct(), c, "left_semi"), columns, df)
 
 
 def numeric_only(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

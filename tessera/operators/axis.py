@@ -17,7 +17,7 @@ def attach_rank(df: DataFrame, ranks: DataFrame, period: str) -> DataFrame:
     missing = df.select(period).distinct().join(ranks, period, "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"periods without a rank: {[r[0] for r in missing]}")
-    return df.join(F.broadcast(ranks), period)
+    return df.join(ranks, period)
 
 
 def opaque_rank(train: DataFrame, val: DataFrame, period: str) -> DataFrame:
@@ -70,7 +70,7 @@ def codebook(spark, entries: dict[str, str]) -> DataFrame:
 
 def codebook_features(df: DataFrame, book: DataFrame, key: str) -> DataFrame:
     """month (median where unmapped), quarter and is_quarter_start of each row's period."""
-    joined = df.join(F.broadcast(book.withColumnRenamed("period_id", key)), key, "left")
+    joined = df.join(book.withColumnRenamed("period_id", key), key, "left")
     middle = joined.select(F.month("date").alias("m")).agg(F.median("m").alias("middle"))
     out = joined.crossJoin(F.broadcast(middle))
     month = F.coalesce(F.month("date").cast("double"), F.col("middle"))

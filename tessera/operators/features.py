@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import entropy, harmonics, log1p_floor, ordered, ratio
+from tessera.operators.running import running_sums
 
 
 def depths(min_periods: int) -> dict[str, list[int]]:
@@ -59,11 +60,10 @@ def rolling_z(column: str, groups: list[str], axis: str, width: int = 4) -> Colu
 
 
 def ecdf(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """Adds ecdf: the share of train's values at or below each row's. Values are counted first, so the running sum goes over distinct values."""
+    """Adds ecdf: the share of train's values at or below each row's. Values are counted first, and sums run over slices of them."""
     both = train.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")).unionByName(rows.select(F.col(column).alias("v")).distinct().withColumn("n", F.lit(0)))
     counts = both.where("v is not null").groupBy("v").agg(F.sum("n").alias("n"))
-    share = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())
-    table = counts.select(F.col("v").alias(column), share.alias("ecdf"))
+    table = running_sums(counts, "v", ["n"]).select(F.col("v").alias(column), (F.col("cum_n") / F.col("all_n")).alias("ecdf"))
     return rows.join(table, column, "left")
 
 
@@ -71,7 +71,7 @@ def category_codes(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """Adds {column}_code: the place of the value among all values, from 0; -1 for null."""
     values = train.select(column).union(rows.select(column)).where(F.col(column).isNotNull()).distinct()
     codes = values.select(column, (F.dense_rank().over(Window.orderBy(column)) - 1).alias("_code"))
-    return rows.join(F.broadcast(codes), column, "left").withColumn(f"{column}_code", F.coalesce("_code", F.lit(-1))).drop("_code")
+    return rows.join(codes, column, "left").withColumn(f"{column}_code", F.coalesce("_code", F.lit(-1))).drop("_code")
 
 
 def annual(axis: str, period: float = 52, orders: int = 2) -> list[Column]:

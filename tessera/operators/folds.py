@@ -32,7 +32,7 @@ def stratified(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     rows = df.withColumns({"_h": h, "_p": part})
     before = rows.groupBy(label, "_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", key)) - 1
-    out = rows.withColumn("_n", place).join(F.broadcast(before.select(label, "_p", "_before")), [label, "_p"])
+    out = rows.withColumn("_n", place).join(before.select(label, "_p", "_before"), [label, "_p"])
     return out.withColumn("fold_id", ((F.col("_n") + F.col("_before")) % k).cast("int")).drop("_h", "_p", "_n", "_before")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import running_sums
+
 
 def mae_by(df: DataFrame, keys: list[str], y: str, p: str, scored: str) -> DataFrame:
     """n, mae and mae of scored rows by keys."""
@@ -57,8 +59,7 @@ def best_threshold(sweep: DataFrame, gain: float = 0.02) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Rank-sum AUC with average ranks on ties; equal scores are counted before ranks are taken."""
     c = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = c.select("pos", "n", (before + (F.col("n") + 1) / 2).alias("rank"))
+    r = running_sums(c, "s", ["n"]).select("pos", "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
     g = r.agg(F.sum(F.col("rank") * F.col("pos")).alias("sum_rank"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return g.select(F.try_divide(F.col("sum_rank") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.running import exact_percentiles, running_sums
+
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """(keep, feature, value) rows without nulls: one pass for all columns."""
@@ -18,8 +20,8 @@ def ks(a: DataFrame, b: DataFrame, columns: list[str], least: int = 20, d_min: f
     """Two-sample Kolmogorov-Smirnov by column: statistic, p_value, flagged. Equal values are counted before anything is ordered."""
     both = long_form(a, columns).withColumn("side", F.lit(0)).union(long_form(b, columns).withColumn("side", F.lit(1)))
     counts = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
-    run, all_ = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("feature")
-    steps = counts.select("feature", F.sum("x").over(run).alias("cx"), F.sum("y").over(run).alias("cy"), F.sum("x").over(all_).alias("nx"), F.sum("y").over(all_).alias("ny"))
+    run = running_sums(counts, "value", ["x", "y"], ["feature"])
+    steps = run.select("feature", F.col("cum_x").alias("cx"), F.col("cum_y").alias("cy"), F.col("all_x").alias("nx"), F.col("all_y").alias("ny"))
     gap = F.abs(F.try_divide(F.col("cx"), F.col("nx")) - F.try_divide(F.col("cy"), F.col("ny")))
     out = steps.groupBy("feature").agg(F.max(gap).alias("statistic"), F.max("nx").alias("n_a"), F.max("ny").alias("n_b")).where((F.col("n_a") >= least) & (F.col("n_b") >= least))
     n = F.col("n_a").cast("double") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
@@ -80,7 +82,7 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def percentiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.25, 0.75, 0.99)) -> DataFrame:
     """One row of exact percentiles, p01, p25 ..."""
-    return df.agg(*(F.percentile(column, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in at))
+    return exact_percentiles(df, column, {f"p{round(p * 100):02d}": p for p in at})
 
 
 def weights_from_scores(df: DataFrame, score: str, auc: float | None = None, auc_min: float = 0.55) -> DataFrame:
