@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.store import materialise
-from tessera.llm.text import SHINGLE_WORDS, mix, shingle_sets
+from tessera.llm.store import materialise, trim
+from tessera.llm.text import SHINGLE_WORDS, mix, shingle_sets, slices
 
 PERCENT = 75
 BUCKET_BITS = 22
@@ -46,12 +46,6 @@ FILTER = 1 << 24
 _U = np.uint64
 
 
-def _rows(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, size):
-            yield b.slice(at, size)
-
-
 def digest(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit digests of a set, as signed numbers."""
     pair = np.array([len(s), ~len(s)], np.int64).view(_U) + np.array([mix(s).sum(dtype=_U), mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)], _U)
@@ -141,7 +135,7 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
                 counts[:] += np.bincount((np.concatenate(held) >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             held = []
 
-        for b in _rows(batches):
+        for b in slices(batches):
             found = shingle_sets(b.column(1), words)
             pairs = [digest(s) for s in found]
             held += found
@@ -154,6 +148,7 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
             part = counts[i * width : (i + 1) * width]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:5]] + [pa.array([i], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d long, e long, sketch binary, part int, counts binary")
 
@@ -184,7 +179,7 @@ def listed(docs: DataFrame, levels, words: int, percent: int, common: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
-        for b in _rows(batches):
+        for b in slices(batches):
             tokens, digests, sizes = [], [], []
             for s in shingle_sets(b.column(1), words):
                 d = digest(s)[0]
@@ -201,6 +196,7 @@ def listed(docs: DataFrame, levels, words: int, percent: int, common: bool) -> D
                 sizes.append(len(t))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(digests, np.int64), sizes))], names=["token", "d"])
+        trim()
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "token long, d long")
 
@@ -339,6 +335,8 @@ def joined(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 texts.append(pa.array(b.column(5).slice(lo, hi - lo).to_pylist(), pa.string()))
         if len(ids) > 1 and (out := solve(ids, blocks, texts, key[1] != key[2])):
             yield out
+        del ids, blocks, texts
+        trim()
 
     return rows.select("region", "i", "j", "block", "doc_id", "text").mapInArrow(run, "a long, b long")
 

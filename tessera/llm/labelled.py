@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import trim
+
 ROWS = 12_000
 CHARS = 20_000
 
@@ -28,6 +30,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     ids = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
     found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").limit(2 * rows).toArrow()
+    trim()
     return found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialise
+from tessera.llm.store import materialise, trim
 from tessera.llm.tokens import TOKENIZER, as_arrow, encoder, token_path
 
 LENGTH = 2048
@@ -45,6 +45,7 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None = END
                     offsets = offsets + np.arange(len(offsets))
                 sizes = pa.array(np.diff(offsets), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, as_arrow(ids, offsets).cast(pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary")
 
@@ -106,6 +107,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
                     [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(begin - at[doc]), pa.array(stop - begin), pa.array(ids, pa.binary()), pa.array(n[doc]), pa.array(seq), pa.array(begin - seq * length)],
                     names=["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
+        trim()
 
     return placed.mapInArrow(cut, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

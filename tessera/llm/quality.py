@@ -84,9 +84,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -
     bad, good = (dictionary(t) if t else b"" for t in by_class)
     rest = np.flatnonzero(~built)
     x = measures(texts.take(pa.array(rest)), compressor(good), compressor(bad)) if len(rest) else np.zeros(0)
-    del rows, texts, by_class
+    knots, shares = isotonic(x, y[rest])
+    del rows, texts, by_class, x
     trim()
-    return Model(good, bad, *isotonic(x, y[rest]))
+    return Model(good, bad, knots, shares)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

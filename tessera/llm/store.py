@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,7 +59,11 @@ def filesystem(uri: str):
 
 
 def trim() -> None:
-    """Hands memory that this process has freed back to the system, where the C library can."""
+    """Hands memory that this process has freed back to the system, where Arrow's pool and the C library can."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

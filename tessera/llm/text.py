@@ -6,6 +6,8 @@ bounded by SEGMENT bytes and the words of one Arrow batch, however long a text i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +27,13 @@ _BASE = 0x9E3779B97F4A7C15
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is computed from one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
     x = x ^ (x >> _U(30))

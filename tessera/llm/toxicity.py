@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.labelled import fold, sample
 from tessera.llm.store import trim
-from tessera.llm.text import buffers, word_spans
+from tessera.llm.text import buffers, slices, word_spans
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -131,8 +131,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = _keep(model)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), model, keep))], names=["doc_id", "score"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -149,7 +150,8 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = _keep(model)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(_scores(b.column(at), model, keep) < THRESHOLD))
+        trim()
 
     return docs.mapInArrow(run, schema)
