@@ -12,8 +12,8 @@ into Voronoi cells; a set goes to each cell whose pivot is no farther than the c
 the link distance (triangle inequality), and cells are joined in the same way until they are small. Sets that
 are in one component already are not compared. 5. The links, as stars, give components across regions.
 
-A region whose sets don't fit ``REGION`` shingles is split into blocks and every pair of blocks is joined, so
-nothing unbounded comes to a task and no link is lost. Shingles whose count stands out get their
+A region whose sets don't fit ``REGION`` shingles is cut by the distances from its first document into near, boundary and outer
+blocks, of which those pairs are joined that can hold a link (``split``), so nothing unbounded comes to a task and no link is lost. Shingles whose count stands out get their
 pivots from partial aggregates.
 
 Defined results: a null text or one without words has no shingles and is linked with nothing; one of fewer words than
@@ -341,6 +341,45 @@ def joined(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.select("region", "i", "j", "block", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
+def split(rows: DataFrame, held: DataFrame, words: int, percent: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """Regions that are too large for a task, (region, doc_id, n), as (rows of pairs of blocks, stars of documents linked to a pivot).
+
+    A region's first document is its pivot, and every document's distance from it is measured. Those within the link distance are
+    linked to it and so need no comparison with each other. By the triangle inequality only documents within twice the link distance can be linked
+    to one of those; the others are compared among themselves. So blocks of near documents meet blocks of the boundary, and blocks
+    of all but near ones meet each other.
+    """
+    texts = rows.join(held, "doc_id")
+    pivots = rows.groupBy("region").agg(F.min("doc_id").alias("pivot"))
+    pivots = pivots.join(held.withColumnsRenamed({"doc_id": "pivot", "text": "pivot_text"}), "pivot")
+    least = 1 - 2 * (1 - percent / 100) - 1e-9
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for b in slices(batches):
+            kinds = []
+            for own, text in zip(shingle_sets(b.column(4), words), b.column(5).to_pylist(), strict=True):
+                if text not in known:
+                    known = {text: shingle_sets(pa.array([text]), words)[0]}
+                p = known[text]
+                both = len(np.intersect1d(own, p, assume_unique=True))
+                union = len(own) + len(p) - both
+                kinds.append(0 if 100 * both >= percent * union else 1 if both >= least * union else 2)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(kinds, pa.int32())], names=["region", "pivot", "doc_id", "n", "kind"])
+
+    measured = texts.join(pivots, "region").select("region", "pivot", "doc_id", "n", "text", "pivot_text")
+    measured = materialise(measured.mapInArrow(measure, "region long, pivot long, doc_id long, n long, kind int"), "measured")
+    stars = measured.where("kind = 0 and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    weight = lambda k: F.ceil(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) / F.lit(region)).cast("int").alias(f"k{k}")
+    counts = measured.groupBy("region").agg(*(weight(k) for k in range(3)))
+    blocks = lambda k: F.when(F.col(f"k{k}") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(f"k{k}") - 1, F.lit(0))), lambda x: x + k * (1 << 20))).otherwise(F.array().cast("array<int>"))
+    own = F.when(F.col("kind") == 0, F.col("k0")).when(F.col("kind") == 1, F.col("k1")).otherwise(F.col("k2"))
+    out = measured.join(counts, "region").withColumn("block", (F.pmod(F.xxhash64("doc_id"), own) + F.col("kind") * (1 << 20)).cast("int"))
+    others = F.when(F.col("kind") == 0, blocks(1)).when(F.col("kind") == 1, F.concat(blocks(0), blocks(1), blocks(2))).otherwise(F.concat(blocks(1), blocks(2)))
+    out = out.select("region", "doc_id", "block", F.explode(others).alias("o"))
+    return out.select("region", "doc_id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")), stars
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among the doc_ids of ``ids``, rows whose key surely is not): a bitmap of hashes of FILTER bits,
     broadcast as at most FILTER / 64 rows, so that few others are shuffled."""
@@ -378,14 +417,14 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     whole = near.join(hot, "region").select("region", F.lit(0).cast("long").alias("part"), "doc_id", "n")
     parts = materialise(parted(few, percent).unionByName(whole), "parts")
     sizes = parts.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
-    blocks = sizes.select("region", "part", F.ceil(F.col("weight") / F.lit(region)).cast("int").alias("k"))
-    placed = parts.join(blocks, ["region", "part"]).withColumn("region", F.xxhash64("region", "part")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    placed = placed.select("region", "doc_id", "block", other)
-    placed = placed.select("region", "doc_id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    placed = parts.join(sizes.select("region", "part", "weight"), ["region", "part"]).withColumn("region", F.xxhash64("region", "part"))
     held, _ = by_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
-    rows = held.join(placed, "doc_id").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "doc_id")
-    found = components(materialise(joined(rows, words, percent), "links"))
+    zero = F.lit(0).cast("int")
+    fit = placed.where(F.col("weight") <= region).select("region", "doc_id", zero.alias("block"), zero.alias("i"), zero.alias("j"))
+    cut, stars = split(placed.where(F.col("weight") > region).select("region", "doc_id", "n"), held, words, percent, region)
+    rows = held.join(fit.unionByName(cut), "doc_id").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "doc_id")
+    links = joined(rows, words, percent).unionByName(stars)
+    found = components(materialise(links, "links"))
 
     labels = groups.join(found, groups["rep"] == found["id"], "left").select("d", "e", "copies", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("linked"))
     labels = materialise(labels.where("copies > 1 or linked").drop("linked"), "labels")

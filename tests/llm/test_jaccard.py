@@ -51,7 +51,7 @@ def corpus(seed, n=260):
     return docs
 
 
-@pytest.mark.parametrize("seed,few,small,region", [(1, 512, 24, 4_000_000), (2, 3, 4, 4_000_000), (3, 3, 4, 600)])
+@pytest.mark.parametrize("seed,few,small,region", [(1, 512, 24, 4_000_000), (2, 3, 4, 4_000_000), (3, 3, 4, 600), (5, 3, 4, 150)])
 def test_components_equal_those_of_all_pairs(spark, seed, few, small, region, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "SMALL", small)
