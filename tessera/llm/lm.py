@@ -1,11 +1,12 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, scored from memory maps.
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, stored as sorted hash arrays, scored from memory maps.
 
 Tokens are words (``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z) and one end a text. Counts cover every training text: unigrams by 64-bit
 hash, bigrams by pairs of 48-bit word hashes, merged shard by shard (a shard is a range of pair
 hashes, so no word's pairs lie in one task). P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w); P(w) discounts the number of
 words that w follows in the same way and mixes in 1 / (V + 1), which is also an unknown word's share. The
-discounts D1, D2 and D3+ come from the counts of counts. Pairs seen less than ``keep`` times stay in all counts but not in the
-arrays: their mass goes to g(v), so the probabilities after every word still add up to 1.
+discounts D1, D2 and D3+ come from the counts of counts. All pairs are stored; with a ``keep`` above 1, those seen less often stay in all counts but not
+in the arrays: their mass goes to g(v), so the probabilities after every word still add up to 1. With ``order`` 3 the same holds for P(w | u v) over triples,
+P(w | v) counts the distinct words before vw (the texts where vw begins one), and ``keep`` is about triples.
 
 Arrays lie in the shared folder as raw files, a pair of files a shard, and workers map them; only from a file system that can't be
 mapped they are read. Defined results: a null or empty text is its end token. An empty training set gives uniform 1 / (V + 1) = 1. A null doc_id
@@ -30,9 +31,12 @@ from tessera.llm.text import mix, slices, word_hashes
 _U = np.uint64
 END = _U(0xE4D0E4D0E4D0E4D1)
 BEGIN = _U(0xB361B361B3610000)  # only a context, so its lower 16 bits must be those that pairs leave out
+NONE = _U(0x7C9D7C9D7C9D0000)  # stands before BEGIN
 FLUSH = 1_000_000
-KEEP = 2
+KEEP = 1
+ORDER = 2
 PAIR = np.dtype([("key", "<u8"), ("n", "<u4")])
+CONTEXT = np.dtype([("key", "<u8"), ("total", "<u4"), ("back", "<f4")])
 WORD = np.dtype([("key", "<u8"), ("c", "<i8"), ("p", "<f8"), ("back", "<f8"), ("total", "<f8")])
 
 
@@ -44,6 +48,8 @@ class Model:
     vocabulary: int  # V
     unknown: float
     discounts: tuple[float, float, float]
+    order: int = 2
+    long: tuple[float, float, float] = (0.0, 0.0, 0.0)  # discounts of triples
 
 
 def sequence(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,6 +68,23 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix((first >> _U(16)) * _U(0x9FB21C651E98DF25) + mix(second >> _U(16)))
 
 
+def second_before(before: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The token before the token before each."""
+    out = np.empty_like(before)
+    out[1:] = before[:-1]
+    out[offsets[:-1]] = NONE
+    return out
+
+
+def gram_keys(words: list[np.ndarray], bits: int) -> np.ndarray:
+    """Hash of two or three words; its first bits, which give the shard, are those of the last two."""
+    key = pair_keys(*words[-2:])
+    if len(words) == 3:
+        top = _U(64 - bits)
+        key = (key >> top << top) | (mix((words[0] >> _U(16)) * _U(0xD6E8FEB86659FD93) + key) >> _U(bits))
+    return key
+
+
 def _six(x: np.ndarray) -> bytes:
     return (x >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -94,30 +117,32 @@ def unigrams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def pairs(texts: DataFrame, bits: int) -> DataFrame:
-    """(shard, first, second, n): packed pair counts, a row for each shard now and then."""
+def grams(texts: DataFrame, bits: int, order: int = 2) -> DataFrame:
+    """(shard, w0, w1 and so on, n): packed counts of pairs or triples, a row for each shard now and then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            words = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            k, at, n = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
+            k, at, n = np.unique(gram_keys(words, bits), return_index=True, return_counts=True)
             cuts = np.searchsorted(k, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).tolist() + [len(k)]
-            rows = [(i, _six(v[at[a:b]]), _six(w[at[a:b]]), n[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 3))], names=["shard", "first", "second", "n"])
+            rows = [(i, *(_six(w[at[a:b]]) for w in words), n[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            kinds = (pa.int32(), *[pa.binary()] * (order + 1))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", *names])
 
         for b in slices(batches):
-            tokens, before, _ = sequence(b.column(0))
-            held.append((before, tokens))
+            tokens, before, offsets = sequence(b.column(0))
+            held.append([before, tokens] if order == 2 else [second_before(before, offsets), before, tokens])
             if sum(len(x[0]) for x in held) > FLUSH:
                 yield flush()
         if held:
             yield flush()
         trim()
 
-    return texts.mapInArrow(run, "shard int, first binary, second binary, n binary")
+    names = [*(f"w{i}" for i in range(order)), "n"]
+    return texts.mapInArrow(run, "shard int, " + ", ".join(f"{n} binary" for n in names))
 
 
 def _store(folder: str, name: str, array: np.ndarray) -> None:
@@ -132,44 +157,112 @@ def _store(folder: str, name: str, array: np.ndarray) -> None:
     fs.move(temporary, f"{path}/{name}")
 
 
-def merged(packed: DataFrame, folder: str, shards: int, keep: int) -> DataFrame:
-    """Stores each shard's sorted pairs; returns partial sums by word: w (48 bits), total, n1 to n4 and types as context, after: words it follows."""
-    names = ["w", "total", "types", "n1", "n2", "n3", "n4", "lost", "after"]
+def _summed(k: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys, the sum of n and the words of each."""
+    order = np.argsort(k)
+    k = k[order]
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[head], np.add.reduceat(n[order], head), [w[order[head]] for w in words]
+
+
+def _pairs_of(k: np.ndarray, n: np.ndarray, keep: int) -> np.ndarray:
+    often = n >= keep
+    array = np.zeros(int(often.sum()), PAIR)
+    array["key"], array["n"] = k[often], np.minimum(n[often], 2**32 - 1)
+    return array
+
+
+def merged(packed: DataFrame, folder: str, shards: int, keep: int, order: int = 2) -> DataFrame:
+    """Stores each shard's sorted pairs; returns partial sums by word: w (48 bits), total, n1 to n4 and types as context, after: words it follows.
+
+    With order 3 it stores triples too and returns rows of their contexts besides, without w: the shard to which keys (of u and v) and n go, t1 to t4.
+    """
+    names, longer = ["w", "total", "types", "n1", "n2", "n3", "n4", "lost", "after"], ["shard", "t1", "t2", "t3", "t4"]
+    bits = shards.bit_length() - 1
+    schema = ", ".join(f"{n} long" for n in names) + (", " + ", ".join(f"{n} long" for n in longer) + ", keys binary, n binary" if order == 3 else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
-        def done() -> pa.RecordBatch:
-            v, w = (np.concatenate([_words(r[i]) for r in held]) for i in (0, 1))
-            n = np.concatenate([np.frombuffer(r[2], "<u4") for r in held]).astype(np.int64)
+        def contexts(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            k = pair_keys(u, v)
+            at = np.argsort(k)
+            k, n = k[at], n[at]
+            cuts = np.searchsorted(k, np.arange(shards, dtype=_U) << _U(64 - bits)).tolist() + [len(k)]
+            parts = [(i, k[a:b], n[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            sums = [[i, *(int((m == j).sum()) for j in (1, 2, 3, 4))] for i, _, m in parts]
+            packed = [pa.array([x.tobytes() for _, x, _ in parts], pa.binary()), pa.array([np.minimum(m, 2**32 - 1).astype("<u4").tobytes() for *_, m in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(parts), pa.int64())] * len(names), *(pa.array([r[j] for r in sums], pa.int64()) for j in range(5)), *packed], names=[*names, *longer, "keys", "n"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = [np.concatenate([_words(r[i]) for r in held]) for i in range(order)]
+            n = np.concatenate([np.frombuffer(r[order], "<u4") for r in held]).astype(np.int64)
             held.clear()
-            k = pair_keys(v, w)
-            order = np.argsort(k)
-            k = k[order]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            n, v, w, k = np.add.reduceat(n[order], head), v[order[head]], w[order[head]], k[head]
-            often = n >= keep
-            array = np.zeros(int(often.sum()), PAIR)
-            array["key"], array["n"] = k[often], np.minimum(n[often], 2**32 - 1)
-            _store(folder, f"pairs-{shard:05d}", array)
+            k, n, found = _summed(gram_keys(found, bits), n, found)
+            least = keep
+            if order == 3:
+                u, v, w = found
+                inside = u != NONE
+                _store(folder, f"triples-{shard:05d}", _pairs_of(k[inside], n[inside], keep))
+                yield contexts(u[inside], v[inside], n[inside])
+                k, n, found = _summed(pair_keys(v, w), np.where(inside, 1, n), [v, w])
+                least = 1
+            v, w = found
+            often = n >= least
+            _store(folder, f"pairs-{shard:05d}", _pairs_of(k, n, least))
             words, inverse = np.unique(np.concatenate([v, w]), return_inverse=True)
             a, b, m = inverse[: len(v)], inverse[len(v) :], len(words)
             sums = [np.bincount(a, n, m), np.bincount(a, minlength=m), *(np.bincount(a, n == i, m) for i in (1, 2, 3, 4)), np.bincount(a, np.where(often, 0, n), m), np.bincount(b, minlength=m)]
-            return pa.RecordBatch.from_arrays([pa.array((words >> _U(16)).view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)], names=names)
+            columns = [pa.array((words >> _U(16)).view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)]
+            if order == 3:
+                columns += [*[pa.nulls(m, pa.int64())] * len(longer), *[pa.nulls(m, pa.binary())] * 2]
+            yield pa.RecordBatch.from_arrays(columns, names=names if order == 2 else [*names, *longer, "keys", "n"])
+
+        for b in batches:
+            for i, *row in zip(*(b.column(j) for j in range(order + 2)), strict=True):
+                if i.as_py() != shard and held:
+                    yield from done()
+                    trim()
+                shard = i.as_py()
+                held.append([x.as_py() for x in row])
+        if held:
+            yield from done()
+        trim()
+
+    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, schema)
+
+
+def contexts(rows: DataFrame, folder: str, shards: int, keep: int, d: tuple[float, float, float]) -> DataFrame:
+    """Stores the total and the back-off weight of each context of two words; rows are those that merged() returns for contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+
+        def done() -> pa.RecordBatch:
+            k, n = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in enumerate(("<u8", "<u4")))
+            held.clear()
+            at = np.argsort(k)
+            k, n = k[at], n[at].astype(np.int64)
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            off = np.where(n >= keep, np.array(d)[np.minimum(n, 3) - 1], n)
+            array, total = np.zeros(len(head), CONTEXT), np.add.reduceat(n, head)
+            array["key"], array["total"], array["back"] = k[head], np.minimum(total, 2**32 - 1), np.add.reduceat(off, head) / total
+            _store(folder, f"contexts-{shard:05d}", array)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(array)], pa.int64())], names=["shard", "contexts"])
 
         for b in batches:
-            for i, first, second, n in zip(*(b.column(j) for j in range(4)), strict=True):
+            for i, keys, n in zip(*(b.column(j) for j in range(3)), strict=True):
                 if i.as_py() != shard and held:
                     yield done()
                     trim()
                 shard = i.as_py()
-                held.append((first.as_py(), second.as_py(), n.as_py()))
+                held.append((keys.as_py(), n.as_py()))
         if held:
             yield done()
         trim()
 
-    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.select("shard", "keys", "n").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, contexts long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -181,8 +274,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
-def train(texts: DataFrame, keep: int = KEEP) -> Model:
+def train(texts: DataFrame, keep: int = KEEP, order: int = ORDER) -> Model:
     """Counts a table's ``text`` column and stores the model in a new folder of the shared folder."""
+    if order not in (2, 3):
+        raise ValueError(f"order is {order}, not 2 or 3")
     spark = texts.sparkSession
     texts = texts.select("text")
     bits = 1 + int(math.log2(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))
@@ -191,7 +286,14 @@ def train(texts: DataFrame, keep: int = KEEP) -> Model:
     tokens, vocabulary = single.agg(F.sum("c"), F.count("*")).first()
     tokens = tokens or 0
     sums = [F.sum(c).alias(c) for c in ("total", "types", "n1", "n2", "n3", "n4", "lost", "after")]
-    stats = merged(pairs(texts, bits), folder, shards, keep).groupBy("w").agg(*sums)
+    found, long = merged(grams(texts, bits, order), folder, shards, keep, order), (0.0, 0.0, 0.0)
+    if order == 3:
+        found, triples, keep = materialise(found, "triples"), keep, 1
+        t = found.agg(*(F.sum(f"t{i}") for i in (1, 2, 3, 4))).first()
+        long = discounts(*(x or 0 for x in t))
+        materialise(contexts(found.where("shard is not null"), folder, shards, triples, long), "contexts")
+        found = found.where("w is not null")
+    stats = found.groupBy("w").agg(*sums)
     words = single.join(stats, F.shiftrightunsigned("h", 16) == stats["w"], "full").select(
         F.coalesce("h", F.shiftleft("w", 16)).alias("h"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("c", "total", "types", "n1", "n2", "n3", "n4", "lost", "after"))
     )
@@ -240,7 +342,7 @@ def train(texts: DataFrame, keep: int = KEEP) -> Model:
 
     sharded = rows.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("shard"), "*").repartition(shards, "shard").sortWithinPartitions("shard")
     materialise(sharded.mapInArrow(write, "shard int, words long"), "shards")
-    return Model(folder, shards, int(tokens), int(vocabulary), unknown, d)
+    return Model(folder, shards, int(tokens), int(vocabulary), unknown, d, order, long)
 
 
 _maps: dict[str, np.ndarray | None] = {}
@@ -276,6 +378,11 @@ def look_up(m: Model, name: str, keys: np.ndarray, kind: np.dtype) -> tuple[np.n
     return found, out
 
 
+def discounted(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return n - np.select([n == 0, n == 1, n == 2], [0.0, d[0], d[1]], d[2])
+
+
 def log_probabilities(m: Model, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(log10 P by the model, log10 P by the smoothed unigrams, tokens, known tokens) of each text."""
     tokens, before, offsets = sequence(texts)
@@ -285,9 +392,16 @@ def log_probabilities(m: Model, texts) -> tuple[np.ndarray, np.ndarray, np.ndarr
     plain = np.where(known & (words["p"] > 0), words["p"], m.unknown)
     back, total = np.where(known, words["back"], 1.0), np.where(known, words["total"], 1.0)
     k, same = np.unique(pair_keys(before, tokens), return_inverse=True)
-    n = look_up(m, "pairs", k, PAIR)[1]["n"].astype(float)
-    n -= np.select([n == 0, n == 1, n == 2], [0.0, m.discounts[0], m.discounts[1]], m.discounts[2])
-    p = np.log10(n[same] / total[v] + back[v] * plain[w])
+    n = discounted(look_up(m, "pairs", k, PAIR)[1]["n"], m.discounts)
+    p = n[same] / total[v] + back[v] * plain[w]
+    if m.order == 3:
+        first = second_before(before, offsets)
+        k, same = np.unique(gram_keys([first, before, tokens], m.shards.bit_length() - 1), return_inverse=True)
+        n = discounted(look_up(m, "triples", k, PAIR)[1]["n"], m.long)
+        k, at = np.unique(pair_keys(first, before), return_inverse=True)
+        met, context = look_up(m, "contexts", k, CONTEXT)
+        p = np.where(met[at], n[same] / np.maximum(context["total"], 1)[at] + context["back"][at] * p, p)
+    p = np.log10(p)
     base = np.log10((words["c"][w] + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
     starts = offsets[:-1]
     return np.add.reduceat(p, starts), np.add.reduceat(base, starts), np.diff(offsets), np.add.reduceat((words["c"][w] > 0).astype(np.int64), starts)
@@ -306,9 +420,9 @@ def scored(docs: DataFrame, m: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def held_out_scores(docs: DataFrame) -> DataFrame:
+def held_out_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """The model of all documents outside fold 1 of 5, applied to every document."""
-    m = train(docs.where(fold(5) != 1))
+    m = train(docs.where(fold(5) != 1), order=order)
     out = scored(docs, m)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))

@@ -92,3 +92,70 @@ def test_no_training_texts(spark):
 def test_pairs_are_packed_in_six_bytes():
     x = np.array([0x123456789ABC0000, 0xFFFFFFFFFFFF0000], np.uint64)
     assert (lm._words(lm._six(x)) == x).all()
+
+
+def test_pairs_seen_once_count(spark):
+    train = spark.createDataFrame([(1, "a b c d"), (2, "a c b d"), (3, "a d d b")], "doc_id long, text string")
+    m = lm.train(train)
+    once, never = lm.log_probabilities(m, pa.array(["b c", "b b"]))[0]
+    p = plain_model(["a b c d", "a c b d", "a d d b"], 1)[0]
+    for t, x in (("b c", once), ("b b", never)):
+        row = [*t.split(), END]
+        assert math.isclose(x, sum(math.log10(p(w, b)) for b, w in zip([BEGIN, *row], row, strict=False)), rel_tol=1e-9)
+
+
+def plain_triples(train, keep):
+    """The model of order 3 with dictionaries: P(word | two before)."""
+    rows = [t.split() + [END] for t in train]
+    single = Counter(w for r in rows for w in r)
+    triples = Counter(x for r in rows for x in zip([BEGIN, *r], r, r[1:], strict=False))
+    starts = Counter((BEGIN, r[0]) for r in rows)
+    pairs = Counter((v, w) for _, v, w in triples) + starts
+    after = Counter(w for _, w in pairs)
+
+    def off(counts, least):
+        d = lm.discounts(*([sum(c == i for c in counts) for i in range(1, 5)]))
+        return lambda c: d[min(c, 3) - 1] if c >= least else c
+
+    o3, o2, o1 = off(triples.values(), keep), off(pairs.values(), 1), off(after.values(), 1)
+    follow = sum(after.values())
+    unknown = sum(map(o1, after.values())) / follow / (len(single) + 1)
+    low = {w: (c - o1(c)) / follow + unknown for w, c in after.items()}
+
+    def level(counts, o, lower):
+        total, back = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            back[g[:-1]] += o(c)
+
+        def p(*g):
+            if g[:-1] not in total:
+                return lower(*g[1:])
+            c = counts.get(g, 0)
+            return ((c - o(c) if c else 0) + back[g[:-1]] * lower(*g[1:])) / total[g[:-1]]
+
+        return p
+
+    two = level(pairs, o2, lambda w: low.get(w, unknown))
+    return level(triples, o3, two), two, single
+
+
+@pytest.mark.parametrize("keep", [1, 2])
+def test_order_three_equals_dictionaries_and_adds_up_to_one(spark, keep):
+    train = texts(4)
+    m = lm.train(spark.createDataFrame([(i, t, "x") for i, t in enumerate(train)], SCHEMA).repartition(3), keep, order=3)
+    three, two, single = plain_triples(train, keep)
+    fresh = texts(5, 20) + train[:5] + ["new words here", "", "w1 unknown w1"]
+    for t, x in zip(fresh, lm.log_probabilities(m, pa.array(fresh))[0], strict=True):
+        row = [*t.split(), END]
+        want = math.log10(two(BEGIN, row[0])) + sum(math.log10(three(*g)) for g in zip([BEGIN, *row], row, row[1:], strict=False))
+        assert math.isclose(x, want, rel_tol=1e-6)
+    for before in (("w0", "w1"), (BEGIN, "w0"), ("unseen", "w2")):
+        assert math.isclose(sum(three(*before, w) for w in single) + three(*before, "none"), 1)
+
+
+def test_order_is_a_parameter(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts(6))], SCHEMA)
+    assert len(lm.held_out_scores(docs, order=3).collect()) == 120 and lm.held_out_scores(docs.limit(0), order=3).collect() == []
+    with pytest.raises(ValueError):
+        lm.train(docs, order=4)
