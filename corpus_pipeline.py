@@ -28,7 +28,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics meet their target shares of tokens."""
+    """A sample whose sources, languages and topics meet their target shares of tokens; one with fewer tokens than its share gives all that it has."""
     return mixing.sampled(docs)
 
 

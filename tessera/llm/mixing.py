@@ -1,9 +1,12 @@
-"""Mixing by iterative proportional fitting: token weights raked to source, language and topic marginals. DataFrame functions only.
+"""Mixing by iterative proportional fitting: token weights raked to source, language and topic marginals. DataFrame functions only, but for a few cells that are raked on the driver.
 
 Documents are counted into cells (source, language, topic). Each round scales the cells' weights so that every source's
-weight meets its target share, then every language's, then every topic's. A document's factor is its cell's weight by its cell's tokens; it is
-kept with the probability min(1, k * factor), where k makes the expected tokens ``fraction`` of all, and by a hash of its doc_id,
-so the choice never depends on the order or place of rows.
+weight meets its target share, then every language's, then every topic's. A document's factor is its cell's weight by its cell's tokens.
+
+The sample is ``fraction`` of all tokens, and no cell gives more than it has: from ``fraction`` of the weights, cells that are full are held at probability 1 and
+the others raked again, until all marginals of the expected tokens meet their goals within ``CLOSE`` of the sample. A goal is the target's share of the sample; where a source, language or topic has fewer tokens
+than that, its goal is all that it has, and the others of its kind share the rest by their targets. ``marginals`` gives target, goal and expected share of each value; goals that
+can't be met together are a warning. A document is kept with its cell's probability by a hash of its doc_id, so the choice never depends on the order or place of rows.
 
 Targets that are not given are the tempered shares (tokens ^ ``TEMPER``, made to add up to 1). Topics are told from a text's form unless a column is named: ``listing``
 (bars between items), ``contact`` (an @ within a word), ``figures`` (over a tenth of the characters are digits), ``shouting`` (no
@@ -16,6 +19,9 @@ columns named like those that are added (``topic``, ``tokens``, ``factor``, ``pr
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +33,8 @@ ROUNDS = 12
 TEMPER = 0.7
 FRACTION = 0.5
 SMALL = 20_000  # cells that are broadcast, or raked in one task, at most
-GRID = 64
+CLOSE = 1e-4
+MOST = 96  # rounds within the cells' capacities
 
 
 def topic_of(text: Column) -> Column:
@@ -47,17 +54,24 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """cells (source, lang, topic without nulls, tokens) with ``weight``, whose marginals meet the targets as far as they agree."""
+def shares(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> dict[str, DataFrame]:
+    """(value, goal, has) of each dimension: target shares that add up to 1, and tokens."""
     goals = {}
     for d in DIMENSIONS:
-        goal = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), temper).alias("goal"))
+        has = F.sum("tokens").cast("double")
+        goal = cells.groupBy(d).agg(F.pow(has, temper).alias("goal"), has.alias("has"))
         if targets and d in targets:
             given = F.create_map(*[x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))])
-            goal = goal.select(d, F.coalesce(F.element_at(given, F.col(d)), F.lit(0.0)).alias("goal"))
+            goal = goal.select(d, F.coalesce(F.element_at(given, F.col(d)), F.lit(0.0)).alias("goal"), "has")
         goal = materialise(goal, "goals")
         every = goal.agg(F.sum("goal").alias("s")).first()["s"] or 1.0
-        goals[d] = goal.select(d, (F.col("goal") / F.lit(every)).alias("goal"))
+        goals[d] = goal.select(d, (F.col("goal") / F.lit(every)).alias("goal"), "has")
+    return goals
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """cells (source, lang, topic without nulls, tokens) with ``weight``, whose marginals meet the targets as far as they agree."""
+    goals = {d: g.drop("has") for d, g in (known or shares(cells, targets, temper)).items()}
     sums = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     total = sums["t"] or 1
     out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
@@ -82,36 +96,122 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     return out.withColumn("weight", F.col("weight") * F.lit(float(total)))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, topic: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The documents with topic, tokens, factor, probability and kept."""
+def within(goals: dict[str, DataFrame], wanted: float, n: int) -> dict[str, DataFrame]:
+    """Adds ``_<dimension>``, the tokens that each value is to give: ``wanted`` by the shares, but no more than it has; what is missing goes to the others by their shares."""
+    if n <= SMALL:  # no files are read again
+        goals = {d: g.sparkSession.createDataFrame(g.collect(), g.schema) for d, g in goals.items()}
+    most = [g.agg(F.sum(F.when(F.col("goal") > 0, F.col("has")))).first()[0] or 0.0 for g in goals.values()]
+    wanted, out = min(wanted, *most), {}
+    for d, g in goals.items():
+        level, before = wanted, -1.0
+        while level > before * (1 + 1e-12):
+            full = F.col("has") <= F.col("goal") * F.lit(level)
+            held, rest = g.agg(F.sum(F.when(full, F.col("has"))), F.sum(F.when(~full, F.col("goal")))).first()
+            before, level = level, (wanted - (held or 0.0)) / rest if rest else level
+        out[d] = g.withColumn(f"_{d}", F.least("has", F.col("goal") * F.lit(before)) if before > 0 else F.lit(0.0))
+    return out
+
+
+def fill(cells: DataFrame, goals: dict[str, DataFrame], n: int) -> DataFrame:
+    """cells (source, lang, topic, tokens, expected) with ``expected`` raked to the goals, between 0 and tokens.
+
+    A few cells are raked on the driver, more by joins; both do the same.
+    """
+    out = cells
+    for d in DIMENSIONS:
+        out = out.join(goals[d].select(d, f"_{d}"), d)
+    sample = goals["source"].agg(F.sum("_source")).first()[0] or 1.0
+    off = 0.0
+    if n <= SMALL:
+        table = out.collect()
+        tokens, e = (np.array([r[c] for r in table], float) for c in ("tokens", "expected"))
+        places = [np.unique([r[d] for r in table], return_inverse=True)[1] for d in DIMENSIONS] if table else []
+        wanted = [np.array([r[f"_{d}"] for r in table], float) for d in DIMENSIONS]
+        for i in range(MOST):
+            for at, goal in zip(places, wanted, strict=False):
+                full = e >= tokens
+                held, free = (np.bincount(at, x)[at] for x in (np.where(full, tokens, 0), np.where(full, 0, e)))
+                now = held + free
+                more = np.where(full, tokens, np.minimum(tokens, e * np.divide(goal - held, free, out=np.ones(len(e)), where=free > 0)))
+                e = np.where(now > goal, e * goal / np.where(now > 0, now, 1), more)
+            if i % 6 == 5:
+                off = max((float(np.abs(np.bincount(at, e)[at] - goal).max()) for at, goal in zip(places, wanted, strict=False)), default=0.0)
+                if off <= CLOSE * sample:
+                    break
+        schema = ", ".join(f"{c} {kind}" for c, kind in cells.dtypes)
+        rows = [(*(float(x) if c == "expected" else r[c] for c in cells.columns),) for r, x in zip(table, e, strict=True)]
+        out = cells.sparkSession.createDataFrame(rows, schema)
+    else:
+        out = materialise(out, "filled")
+        full = F.col("expected") >= F.col("tokens")
+        held, free = F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("expected")))
+        for i in range(MOST):
+            for d in DIMENSIONS:
+                out = out.join(out.groupBy(d).agg(held.alias("_held"), free.alias("_free")), d)
+                now, goal, e = F.col("_held") + F.col("_free"), F.col(f"_{d}"), F.col("expected")
+                more = F.when(full, F.col("tokens").cast("double")).otherwise(F.least(F.col("tokens").cast("double"), e * F.coalesce(F.try_divide(goal - F.col("_held"), F.col("_free")), F.lit(1.0))))
+                out = out.withColumn("expected", F.when(now > goal, e * goal / now).otherwise(more)).drop("_held", "_free")
+            out = materialise(out, "filled")
+            if i % 6 == 5:
+                off = max((out.groupBy(d).agg(F.abs(F.sum("expected") - F.first(f"_{d}")).alias("off")).agg(F.max("off")).first()[0] or 0.0) for d in DIMENSIONS)
+                if off <= CLOSE * sample:
+                    break
+        out = out.drop(*(f"_{d}" for d in DIMENSIONS))
+    if off > CLOSE * sample:
+        warnings.warn(f"the goals of the mix don't agree: after {MOST} rounds one is off by {off / sample:.2g} of the sample", stacklevel=2)
+    return out
+
+
+def _keyed(docs: DataFrame, topic: str | None) -> tuple[DataFrame, dict[str, Column]]:
     text = F.coalesce("text", F.lit(""))
     named = (F.col(topic) if topic else topic_of(text)).cast("string")
-    plain = docs.drop("tokens", "factor", "probability", "kept")
-    keyed = plain.withColumns({"topic": named, "tokens": words(text)})
+    keyed = docs.drop("tokens", "factor", "probability", "kept").withColumns({"topic": named, "tokens": words(text)})
     # a null is told from any string by what stands before them
-    keys = {f"_{d}": F.concat(F.when(F.col(d).isNull(), "0").otherwise("1"), F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in DIMENSIONS}
+    return keyed, {f"_{d}": F.concat(F.when(F.col(d).isNull(), "0").otherwise("1"), F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in DIMENSIONS}
+
+
+def fit(keyed: DataFrame, keys: dict[str, Column], targets: dict[str, dict[str, float]] | None, fraction: float, rounds: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(cells with factor, expected, probability and rows; goals of each dimension)."""
     counted = keyed.withColumns(keys).groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     cells = materialise(counted.toDF(*DIMENSIONS, "tokens", "rows"), "cells")
     if targets:
         targets = {d: {f"1{k}": v for k, v in t.items()} for d, t in targets.items()}
-    raked = rake(cells.drop("rows"), targets, rounds)
-    cells = materialise(raked.join(cells.select(*DIMENSIONS, "rows"), list(DIMENSIONS)).withColumn("factor", F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0))), "factors")
-    # k by a grid in steps of a sixth: the least that reaches the fraction, then straight between the two
-    grid = [1.15 ** (i - GRID // 2) * fraction for i in range(GRID)]
-    sums = cells.agg(F.sum("tokens").alias("all"), F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * k)).alias(f"k{i}") for i, k in enumerate(grid))).first()
-    wanted = fraction * (sums["all"] or 0)
-    at = next((i for i in range(1, GRID) if (sums[f"k{i}"] or 0) >= wanted), GRID - 1)
-    low, high = sums[f"k{at - 1}"] or 0, sums[f"k{at}"] or 0
-    k = grid[at - 1] + (grid[at] - grid[at - 1]) * (min(1.0, max(0.0, (wanted - low) / (high - low))) if high > low else 1.0)
-    facts = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "factor", "rows")
+    n, every = cells.agg(F.count("*"), F.sum("tokens")).first()
+    goals = shares(cells, targets)
+    raked = rake(cells.drop("rows"), targets, rounds, known=goals)
+    goals = within(goals, fraction * (every or 0), n)
+    start = raked.select(*DIMENSIONS, "tokens", "weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.lit(fraction)).alias("expected"))
+    filled = fill(start, goals, n).join(cells.select(*DIMENSIONS, "rows"), list(DIMENSIONS))
+    chance = F.coalesce(F.least(F.lit(1.0), F.try_divide("expected", "tokens")), F.lit(float(min(1.0, fraction))))
+    return materialise(filled.withColumns({"factor": F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)), "probability": chance}), "factors"), goals
+
+
+def marginals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, topic: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """dimension, value, and shares of the sample: target, goal (the target within the tokens there are) and expected."""
+    cells, goals = fit(*_keyed(docs, topic), targets, fraction, rounds)
+    every, out = cells.agg(F.sum("expected")).first()[0] or 1.0, None
+    for d, g in goals.items():
+        sample = g.agg(F.sum(f"_{d}")).first()[0] or 1.0
+        value = F.when(F.startswith(d, F.lit("1")), F.substring(F.col(d), F.lit(2), F.length(d)))
+        part = cells.groupBy(d).agg((F.sum("expected") / F.lit(every)).alias("expected")).join(g, d)
+        part = part.select(F.lit(d).alias("dimension"), value.alias("value"), F.col("goal").alias("target"), (F.col(f"_{d}") / F.lit(sample)).alias("goal"), "expected")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, topic: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """The documents with topic, tokens, factor, probability and kept."""
+    keyed, keys = _keyed(docs, topic)
+    cells, _ = fit(keyed, keys, targets, fraction, rounds)
+    n, count = cells.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    facts = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "factor", "probability", "rows")
     rows = keyed.withColumns(keys)
-    if sums["n"] <= SMALL:
+    if n <= SMALL:
         out = rows.join(F.broadcast(facts.drop("rows")), list(keys), "left")
     else:
-        out = lookup(rows, facts, list(keys), "rows", sums["rows"])
-    chance = F.least(F.lit(1.0), F.col("factor") * F.lit(k))
+        out = lookup(rows, facts, list(keys), "rows", count)
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mixing")), 11) / F.lit(float(1 << 53))
-    return out.drop(*keys).withColumns({"probability": chance, "kept": draw < chance})
+    return out.drop(*keys).withColumn("kept", draw < F.col("probability"))
 
 
 def sampled(docs: DataFrame, topic: str | None = None, **options) -> DataFrame:

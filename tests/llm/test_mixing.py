@@ -75,3 +75,27 @@ def test_topics(spark):
     texts = {"a | b": "listing", "me@home": "contact", "12345": "figures", "LOUD TEXT": "shouting", "quiet": "prose", "": "prose"}
     got = {r.t: r.topic for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", mixing.topic_of(F.col("t")).alias("topic")).collect()}
     assert got == texts
+
+
+def test_expected_shares_of_all_marginals_meet_their_goals(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    out = mixing.mixed(docs, {"source": {"s0": 1, "s1": 2, "s2": 1}}, fraction=0.5)
+    report = mixing.marginals(docs, {"source": {"s0": 1, "s1": 2, "s2": 1}}, fraction=0.5).collect()
+    every = out.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    assert abs(every[1] / every[0] - 0.5) < 1e-3 and out.where("probability > 1").isEmpty()
+    seen = {(d, r[0]): r[1:] for d in mixing.DIMENSIONS for r in out.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens")).collect()}
+    assert len(report) == len(seen) and len({r.dimension for r in report}) == 3
+    short = 0
+    for r in report:
+        kept, has = seen[r.dimension, r.value]
+        assert abs(kept / every[1] - r.goal) < 1e-3 and abs(r.expected - r.goal) < 1e-3
+        if r.goal < r.target - 1e-3:  # gives all that it has
+            short += 1
+            assert kept > 0.998 * has
+    assert short
+
+
+def test_targets_are_met_where_there_are_tokens(spark):
+    docs = spark.createDataFrame(rows(seed=2), SCHEMA)
+    for r in mixing.marginals(docs, fraction=0.3).collect():
+        assert abs(r.expected - r.target) < 1e-3 and abs(r.goal - r.target) < 1e-9
