@@ -1,7 +1,10 @@
-"""A bounded sample of labelled documents, and the monotone calibration of one measure."""
+"""A bounded sample of labelled documents, fits in one task, and the monotone calibration of one measure."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +13,6 @@ from pyspark.sql import functions as F
 from tessera.llm.store import trim
 
 ROWS = 12_000
-CHARS = 20_000
 
 
 def fold(folds: int):
@@ -18,20 +20,36 @@ def fold(folds: int):
     return F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(folds))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = ROWS, chars: int = CHARS) -> pa.Table:
-    """(doc_id, text, y) of at most ``rows`` labelled documents outside the held-out fold, by doc_id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = ROWS) -> DataFrame:
+    """(doc_id, y, text) of at most ``rows`` labelled documents outside the held-out fold: the first by hash of doc_id, with their whole texts.
 
-    The first ``rows`` by hash of doc_id are taken; of these, texts of more than ``chars`` characters are left out, so that
-    what comes to the driver is bounded by rows * chars. Labels other than 0 and 1, and nulls, are ignored; of a doc_id with several labels
-    the largest holds. The ids are broadcast: rows * 16 bytes at most.
+    Labels other than 0 and 1, and nulls, are ignored; of a doc_id with several labels the largest holds, and of one with several texts
+    the least. So the sample doesn't depend on the order or place of rows. The ids are broadcast: rows * 16 bytes at most.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(folds) != held_out)
-    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("y"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
     ids = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
-    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").limit(2 * rows).toArrow()
-    trim()
-    return found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a bounded table, rows by doc_id, on an executor: only its result comes to the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.cast(schema) for b in batches]
+        table = pa.Table.from_batches(held, schema).sort_by("doc_id")
+        del held
+        made = pickle.dumps(fit(table))
+        del table
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit(schema.empty_table())
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:

@@ -5,8 +5,8 @@ it, and every block is compressed with either dictionary. The difference of the
 text's bytes is the measure; a rising curve fitted to labelled documents that the dictionaries have
 not seen turns it into a score.
 
-The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents of at most 20,000 characters). Defined results: a null or empty text has the
-measure 0. With labels of one class only, the score is that class's smoothed share; with none, 0.5. Rows
+The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents, with their whole texts) and runs in one task of an executor.
+Defined results: a null or empty text has the measure 0. With labels of one class only, the score is that class's smoothed share; with none, 0.5. Rows
 with the same doc_id are scored one by one. An empty table gives an empty result. Other input columns are not read.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import fold, isotonic, sample
+from tessera.llm.labelled import fold, in_one_task, isotonic, sample
 from tessera.llm.store import trim
 from tessera.llm.text import buffers
 
@@ -75,21 +75,23 @@ def measures(texts, good, bad) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
-    """Dictionaries from every other sampled document, the curve from the rest."""
-    rows = sample(docs, labels, "quality", folds, held_out)
+def learn(rows: pa.Table) -> Model:
+    """A model of (doc_id, y, text): dictionaries from every other document, the curve from the rest."""
     y, texts = rows["y"].to_numpy(), rows["text"].combine_chunks()
     built = np.arange(len(y)) % 2 == 0
-    by_class = [[t.as_py().encode() for t, own, c in zip(texts, built, y, strict=True) if own and c == k and t.as_py()] for k in (0, 1)]
+    by_class = [[t.as_py().encode() for t in texts.filter(pa.array(built & (y == k))) if t.as_py()] for k in (0, 1)]
     bad, good = (dictionary(t) if t else b"" for t in by_class)
     rest = np.flatnonzero(~built)
     x = measures(texts.take(pa.array(rest)), compressor(good), compressor(bad)) if len(rest) else np.zeros(0)
     knots, shares = isotonic(x, y[rest])
-    del rows, texts, by_class, x
-    trim()
     return Model(good, bad, knots, shares)
 
 
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
+    """The model of a sample of labelled documents; it alone comes to the driver."""
+    return in_one_task(sample(docs, labels, "quality", folds, held_out), learn)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, measure) of every row of documents."""
 

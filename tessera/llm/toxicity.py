@@ -1,12 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text (``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, without ASCII punctuation at their ends) and their
-first four, five and six bytes, hashed to 2^20 buckets; a text has each term once. Of the buckets, those
-whose share differs between the classes are kept (at most ``TERMS``); over these the machine has a bias, a weight a term
-and ``RANK`` factors a term, so that pairs of terms count for more or less than their sum.
+first four, five and six bytes, hashed to 2^20 buckets; a text has each term once. Kept are those buckets
+whose share differs between the classes (at most ``TERMS``) and, of the ``PAIRED`` that divide the texts most evenly, those whose odds are changed by
+another's presence (at most ``PARTNERS``), so a word that tells nothing by itself is kept for what it tells in company. Over these the machine
+has a bias, a weight a term and ``RANK`` factors a term, so that pairs of terms count for more or less than their sum.
 
-The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents of at most 20,000 characters). Defined results: a null
-or empty text has no terms and the bias's score. With labels of one class only or none, the score is the smoothed share of label 1. Rows
+The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents, with their whole texts); their terms are found where
+they lie, and one task of an executor fits the machine. Defined results: a null or empty text has no terms and the bias's score. With labels of one class only or none, the score is the smoothed share of label 1. Rows
 with the same doc_id are scored one by one. An empty table gives an empty result. Other input columns are not read.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import fold, sample
+from tessera.llm.labelled import fold, in_one_task, sample
 from tessera.llm.store import trim
 from tessera.llm.text import buffers, slices, word_spans
 
@@ -30,6 +31,8 @@ TERMS = 4096
 RANK = 4
 THRESHOLD = 0.3
 CLEAR = 3.5  # standard errors by which a term's log odds must differ from those of all texts
+PAIRED, PARTNERS = 1024, 256
+CHANGED = 6.0  # standard errors by which one term must change another's log odds: there are half a million pairs
 
 
 @dataclass(frozen=True)
@@ -65,37 +68,61 @@ def margins(rows: np.ndarray, cols: np.ndarray, n: int, m: Model) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, steps: int = 150, seed: int = 7) -> Model:
-    """Adam on the whole sample's log loss with L2 penalties; the same sample gives the same model."""
-    table = sample(docs, labels, "toxic", folds, held_out)
+def interacting(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Of the terms ``among``, those of pairs (a, b) where b's log odds ratio with a present differs from that with a absent by over
+    CHANGED standard errors; the clearest pairs' first, at most PARTNERS."""
+    n, k = len(y), len(among)
+    index = np.full(1 << BITS, -1)
+    index[among] = np.arange(k)
+    at = index[cols]
+    x = np.zeros((n, k), np.float32)
+    x[rows[at >= 0], at[at >= 0]] = 1
+    delta, error = np.zeros((k, k)), np.zeros((k, k))
+    for c, sign in ((y == 1, 1), (y == 0, -1)):
+        own = x[c]
+        both, each = (own.T @ own).astype(float), own.sum(0, dtype=float)
+        for cell, way in ((both, 1), (each[:, None] - both, -1), (each[None, :] - both, -1), (len(own) - each[:, None] - each[None, :] + both, 1)):
+            delta += sign * way * np.log(cell + 0.5)
+            error += 1 / (cell + 0.5)
+    z = np.triu(np.abs(delta) / np.sqrt(error), 1)
+    a, b = np.unravel_index(np.argsort(-z, axis=None, kind="stable")[: PARTNERS * 8], z.shape)
+    clear = z[a, b] >= CHANGED
+    found = dict.fromkeys(np.stack([a[clear], b[clear]], 1).reshape(-1).tolist())
+    return among[np.array(sorted(list(found)[:PARTNERS]), np.int64)]
+
+
+def learn(table: pa.Table, steps: int = 150, seed: int = 7) -> Model:
+    """Adam on the log loss of all (doc_id, y, terms) with L2 penalties; the same table gives the same model."""
     y = table["y"].to_numpy().astype(float)
     n, up = len(y), y.sum()
     prior = (up + 1) / (n + 2)
     bias = float(np.log(prior / (1 - prior)))
     if not up or up == n:
         return Model(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, RANK)))
+    data, offsets = buffers(table["terms"])
+    cols, rows = data.view("<i4"), np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets) // 4)
     size = 1 << BITS
-    seen, bad = np.zeros(size, np.int32), np.zeros(size, np.int32)
-    for at in range(0, n, 500):  # twice over the texts, so that only kept terms are held
-        r, c = terms(table["text"].slice(at, 500))
-        seen += np.bincount(c, minlength=size).astype(np.int32)
-        bad += np.bincount(c[y[at + r] == 1], minlength=size).astype(np.int32)
+    seen, bad = np.bincount(cols, minlength=size), np.bincount(cols[y[rows] == 1], minlength=size)
     often = np.flatnonzero(seen >= 3)
-    bad, good = bad[often], (seen - bad)[often]
+    if not len(often):
+        return Model(often, bias, np.zeros(0), np.zeros((0, RANK)))
+    counts, bad = seen[often], bad[often]
+    good = counts - bad
     odds = np.log((bad + 0.5) / (up - bad + 0.5)) - np.log((good + 0.5) / (n - up - good + 0.5))
     error = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) + 1 / (up - bad + 0.5) + 1 / (n - up - good + 0.5))
     z = np.abs(odds) / error
-    best = np.sort(np.argsort(-z, kind="stable")[:TERMS])
+    best = np.argsort(-z, kind="stable")[:TERMS]
     best = best[z[best] >= CLEAR]
+    even = np.argsort(-np.minimum(counts, n - counts), kind="stable")[:PAIRED]
+    paired = np.searchsorted(often, interacting(rows, cols, y, often[even]))
+    best = np.union1d(best, paired)
     kept, odds = often[best], odds[best]
     if not len(kept):
         return Model(kept, bias, np.zeros(0), np.zeros((0, RANK)))
     index = np.full(size, -1)
     index[kept] = np.arange(len(kept))
-    parts = [(at, *terms(table["text"].slice(at, 500), index)) for at in range(0, n, 500)]
-    rows, cols = np.concatenate([at + r for at, r, _ in parts]), np.concatenate([c for _, _, c in parts])
-    del table, parts
-    trim()
+    at = index[cols]
+    rows, cols = rows[at >= 0], at[at >= 0]
     k = len(kept)
     w = np.concatenate([[bias], np.clip(odds, -1, 1) * 0.5])
     v = np.random.default_rng(seed).normal(0, 0.01, (k, RANK))
@@ -115,6 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, s
     return Model(kept, float(w[0]), w[1:], v)
 
 
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
+    """The machine of a sample of labelled documents; it alone comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            r, c = terms(b.column(2))
+            ends = np.searchsorted(r, np.arange(b.num_rows + 1))
+            found = c.astype("<i4")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([found[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "y", "terms"])
+
+    rows = sample(docs, labels, "toxic", folds, held_out).mapInArrow(run, "doc_id long, y int, terms binary")
+    return in_one_task(rows.repartition(1), learn)
+
+
 def _scores(texts, m: Model, keep: np.ndarray) -> np.ndarray:
     rows, cols = terms(texts, keep) if len(m.buckets) else (np.zeros(0, np.int64),) * 2
     return 1 / (1 + np.exp(-np.clip(margins(rows, cols, len(texts), m), -30, 30)))

@@ -41,3 +41,31 @@ def test_edges(spark):
     assert [r.score for r in toxicity.classified(docs, none).collect()] == [0.5] * 3
     assert toxicity.classified(docs.limit(0), none).collect() == []
     assert toxicity.accepted(docs, toxicity.fit(docs, none)).columns == docs.columns
+
+
+def test_words_that_tell_nothing_by_themselves(spark):
+    """Toxic with just one of two words: neither has a marginal effect, so only their pair can bring them in."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(1600):
+        a, b = rng.random(2) < 0.5
+        rows.append((i, " ".join(f"w{x}" for x in rng.integers(0, 40, 12)) + " insult" * int(a) + " people" * int(b)))
+        labels.append((i, int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = dict(labels)
+    got = toxicity.scored(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in got]) > 0.97
+
+
+def test_the_sample_is_the_first_by_hash_and_does_not_depend_on_places(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import labelled
+
+    docs = spark.createDataFrame([(i // 2, f"t{i % 3} " * (40_000 if i == 6 else 1)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i // 2, i % 2) for i in range(80)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    a, b = ({(r.doc_id, r.y, r.text) for r in labelled.sample(d, labels, "toxic", 4, 2, 10).collect()} for d in (docs, docs.repartition(7)))
+    hashed = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), labelled.fold(4).alias("f")).distinct().where("f <> 2").orderBy("h").limit(10).collect()
+    assert a == b and {x[0] for x in a} == {r.doc_id for r in hashed} and {x[1] for x in a} == {1}
+    whole = labelled.sample(docs, labels, "toxic", 1, 5, 100).where("doc_id = 3").first()
+    assert len(whole.text) == min((120_000, "t0 " * 40_000), (3, "t1 "), key=lambda x: x[1])[0]
