@@ -4,7 +4,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
@@ -51,26 +50,72 @@ def test_every_id_lies_in_one_piece(spark):
         assert begin == len(want)
 
 
-@pytest.mark.parametrize("targets", [None, {"a": 0.6, "b": 0.3, "c": 0.1}])
-def test_order_is_that_of_round_by_round_deficits(spark, targets):
+@pytest.mark.parametrize("targets", [None, {"a": 0.6, "b": 0.3, "c": 0.1, "nobody": 5.0}])
+def test_every_window_has_its_quota_of_every_source(spark, targets):
+    """Against a plain loop over windows: each source's tokens are within one of its quota and what it has carried on."""
     rng = random.Random(2)
-    rows = [(i, i, rng.choice("aaaabbc"), rng.choice([1, 50, 300, 2500, 9000])) for i in range(300)]
-    queue = spark.createDataFrame(rows, "row long, doc_id long, source string, n_tokens long")
-    placed = {r.row: r["at"] for r in packing.schedule(queue, targets).collect()}
-    hashed = {r.row: (r.s, r.h) for r in queue.select("row", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(packing.SLICES)).alias("s")).collect()}
-    total = sum(r[3] for r in rows)
-    queues = {s: sorted((r for r in rows if r[2] == s), key=lambda r: hashed[r[0]]) for s in "abc"}
-    share = targets or {s: sum(r[3] for r in q) / total for s, q in queues.items()}
-    deficit, at, expected = dict.fromkeys("abc", 0.0), 0, {}
-    while any(queues.values()):
-        for s in "abc":
-            deficit[s] += share[s] * packing.LENGTH
-            while queues[s] and queues[s][0][3] <= deficit[s] + 1e-6:
-                r = queues[s].pop(0)
-                deficit[s] -= r[3]
-                expected[r[0]] = at
-                at += r[3]
-    assert placed == expected
+    names = "aaaabbc" if targets else "aaaaaaaaaaaabbbbcd"
+    texts = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([1, 50, 300, 2500]))), rng.choice(names), 1) for i in range(400)]
+    docs = spark.createDataFrame(texts, SCHEMA).repartition(3)
+    got = packing.pack(docs, targets, 256).select("source", "sequence_id", "offset", "length").collect()
+    total = {s: sum(r["length"] for r in got if r.source == s) for s in "abcd"}
+    every = sum(total.values())
+    windows: dict[int, dict[str, int]] = {}
+    filled: dict[int, int] = {}
+    for r in got:
+        windows.setdefault(r.sequence_id, dict.fromkeys("abcd", 0))[r.source] += r["length"]
+        filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r["length"]
+    assert sorted(windows) == list(range(len(windows))) and all(filled[w] == 256 for w in range(len(windows) - 1))
+    sent, deficit, checked = dict.fromkeys("abcd", 0), dict.fromkeys("abcd", 0.0), 0
+    for w in range(len(windows) - 1):
+        live = [s for s in "abcd" if total[s] > sent[s]]
+        share = {s: (targets or {}).get(s, total[s] / every) for s in live}
+        quota = {s: 256 * x / sum(share.values()) for s, x in share.items()}
+        full = all(total[s] - sent[s] > quota[s] + 1 for s in live)
+        for s in live:
+            if full:
+                deficit[s] += quota[s] - windows[w][s]
+                assert abs(deficit[s]) <= 1 + (w + 1) / packing.BLOCK  # quanta are rounded to 1 / BLOCK
+            sent[s] += windows[w][s]
+        if not full:
+            deficit = dict.fromkeys("abcd", 0.0)
+        checked += full
+    assert checked > 0.9 * len(windows) if targets is None else checked > 20
+
+
+def test_plan_is_that_of_counters_carried_on(spark):
+    """Blocks against a loop without blocks: the counters, whole tokens by window, and all tokens sent."""
+    rng = np.random.default_rng(0)
+    for k in (1, 2, 7, 60):
+        share = rng.random(k) ** 4 + 1e-4
+        tokens = rng.integers(1, 400_000, k)
+        phases = packing.plan(tokens.tolist(), share.tolist(), 512)
+        sent = np.zeros(k, np.int64)
+        for n, p in enumerate(phases):
+            assert (p.base == sent[p.queues]).all()
+            size, quota = len(p.offset), share[p.queues] / share[p.queues].sum() * 512
+            for w in range(p.windows):
+                took = p.sent[w % size + 1] - p.sent[w % size]
+                assert (took >= 0).all() and (took.sum() == 512 or n == len(phases) - 1)
+                sent[p.queues] += took
+                if size > 1 or p.windows > 1:
+                    assert np.abs(sent[p.queues] - p.base - quota * (w + 1)).max() < 1.2 + w / packing.BLOCK
+        assert (sent == tokens).all()
+
+
+def test_one_text_over_many_windows_and_sources_that_share_a_queue(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    rows = [(1, "long " * 9000, "a", 1)] + [(i, "x y z " * 30, f"s{i % 7}", 1) for i in range(2, 80)] + [(i, "q " * 40, None, 1) for i in range(90, 95)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(packing.pack(docs, {"a": 1.0}).collect(), key=lambda r: (r.sequence_id, r.offset))
+    at = 0
+    for r in got:
+        assert r.sequence_id * 2048 + r.offset == at
+        at += r.length
+    assert at == sum(len(ids(t)) for _, t, _, _ in rows)
+    own = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.start)
+    assert [r.start for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and len(own) > 4
+    assert b"".join(r.ids for r in own) == np.array(ids("long " * 9000), "<u4").tobytes()
 
 
 def test_no_rows_and_bad_targets(spark):
