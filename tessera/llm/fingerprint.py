@@ -2,12 +2,14 @@
 
 A sketch keeps every distinct shingle hash below ``fraction`` of the 64-bit range, so the sketch of
 a union is the union of sketches and containment can be estimated between texts of very
-unequal length. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a shingle is five words, or all
+unequal length. A text of fewer than ``FLOOR`` shingles keeps all its hashes, and so do merged sketches until they have as many; two
+sketches of which one is whole are compared below the threshold. Should no hash of a longer text lie below it, its least one stays, so only
+texts without words have an empty sketch. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a shingle is five words, or all
 words of a shorter text.
 
 Defined results: a null text is the empty text; it and a text without words have the fingerprint
-``0:``. A text all of whose hashes lie above the threshold has an empty sketch: its likeness is 1
-to an equal fingerprint, else 0. Equal texts have equal fingerprints. Rows that share a doc_id stay
+``0:``, their likeness is 1 among themselves and 0 to others, and nothing of them is contained in another. Equal texts have equal
+fingerprints, and texts whose shingle sets differ have the likeness 1 only if their sketches are equal. Rows that share a doc_id stay
 separate rows, ordered by their text. A null doc_id sorts first. An empty table gives an empty
 result. Other input columns are ignored.
 """
@@ -26,38 +28,68 @@ from pyspark.sql import functions as F
 from tessera.llm.text import shingle_sets
 
 FRACTION = 1 / 4
+FLOOR = 64
+Sketch = tuple[int, np.ndarray]  # number of distinct shingles, sorted hashes that are kept
 
 
-def sketches(texts, fraction: float = FRACTION) -> list[tuple[int, np.ndarray]]:
-    """(number of distinct shingles, sorted hashes below the threshold) of each text."""
-    limit = np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))
-    return [(len(s), s[: np.searchsorted(s, limit)]) for s in shingle_sets(texts)]
+def threshold(fraction: float) -> np.uint64:
+    return np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of two texts taken together."""
-    return np.union1d(a, b)
+def sketch(n: int, hashes: np.ndarray, fraction: float = FRACTION) -> Sketch:
+    """What is kept of a set of n shingles, given all its sorted hashes or all below the threshold."""
+    if n < FLOOR:
+        return n, hashes
+    return n, hashes[: max(1, int(np.searchsorted(hashes, threshold(fraction))))]
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def sketches(texts, fraction: float = FRACTION) -> list[Sketch]:
+    """The sketch of each text."""
+    return [sketch(len(s), s, fraction) for s in shingle_sets(texts)]
+
+
+def whole(s: Sketch) -> bool:
+    return len(s[1]) == s[0]
+
+
+def merge(a: Sketch, b: Sketch, fraction: float = FRACTION) -> Sketch:
+    """The sketch of two texts taken together; beyond FLOOR shingles their number is estimated."""
+    both = np.union1d(a[1], b[1])
+    if whole(a) and whole(b):
+        return sketch(len(both), both, fraction)
+    below = both[: np.searchsorted(both, threshold(fraction))]
+    return max(FLOOR, a[0], b[0], round(len(below) / fraction)), below if len(below) else both[:1]
+
+
+def _comparable(a: Sketch, b: Sketch, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    if whole(a) == whole(b):
+        return a[1], b[1]
+    limit = threshold(fraction)
+    return tuple(s[1][: np.searchsorted(s[1], limit)] if whole(s) else s[1] for s in (a, b))
+
+
+def likeness(a: Sketch, b: Sketch, fraction: float = FRACTION) -> float:
     """Estimated Jaccard similarity of two shingle sets."""
-    if not len(a[1]) and not len(b[1]):
-        return float(a[0] == b[0])
-    common = len(np.intersect1d(a[1], b[1], assume_unique=True))
-    return common / (len(a[1]) + len(b[1]) - common)
+    if not a[0] and not b[0]:
+        return 1.0
+    x, y = _comparable(a, b, fraction)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - common
+    return common / union if union else 0.0
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated share of a's shingles that b has too; 0 where a's sketch is empty."""
-    return len(np.intersect1d(a[1], b[1], assume_unique=True)) / len(a[1]) if len(a[1]) else 0.0
+def containment(a: Sketch, b: Sketch, fraction: float = FRACTION) -> float:
+    """Estimated share of a's shingles that b has too; 0 where a has none that can be compared."""
+    x, y = _comparable(a, b, fraction)
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
 
 
-def encode(sketch: tuple[int, np.ndarray]) -> str:
+def encode(sketch: Sketch) -> str:
     """The number of shingles, a colon, and the hashes as little-endian 64-bit words in base 64."""
     return f"{sketch[0]}:{base64.b64encode(sketch[1].astype('<u8').tobytes()).decode()}"
 
 
-def decode(fingerprint: str) -> tuple[int, np.ndarray]:
+def decode(fingerprint: str) -> Sketch:
     """The sketch that encode() wrote."""
     n, _, words = fingerprint.partition(":")
     return int(n), np.frombuffer(base64.b64decode(words), "<u8")
@@ -101,21 +133,19 @@ def with_next(docs: DataFrame, key: str, columns: list[str], buckets: int | None
     bucket = bucket_of(F.col(key), bounds)
     firsts = docs.groupBy(bucket.alias("b")).agg(F.min(key).alias("k"), F.max(F.col(key).isNull()).alias("null")).collect()
     order = sorted((r["b"], None if r["null"] else r["k"]) for r in firsts)
-    halo = F.lit(None).cast("int")
-    for i, (_, k) in enumerate(order):
-        to = F.lit(order[i - 1][0])
-        halo = F.when(F.col(key).isNull() if k is None else F.col(key) == k, to).otherwise(halo) if i < 64 else halo
-    if len(order) > 64:  # a map lookup in place of a long chain
-        target = F.create_map(*[x for i, (_, k) in enumerate(order) if k is not None for x in (F.lit(k), F.lit(order[i - 1][0]))])
-        halo = F.when(F.col(key).isNull(), F.lit(order[-1][0])) if order[0][1] is None else F.lit(None).cast("int")
-        halo = F.coalesce(halo, F.element_at(target, F.col(key)))
+    keys = [(k, order[i - 1][0]) for i, (_, k) in enumerate(order) if k is not None]
+    at = bucket_of(F.col(key), [k for k, _ in keys]) - 1
+    starts, targets = (F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<bigint>") for xs in ([k for k, _ in keys], [t for _, t in keys]))
+    halo = F.when(F.get(starts, at) == F.col(key), F.get(targets, at).cast("int"))
+    if order and order[0][1] is None:
+        halo = F.when(F.col(key).isNull(), F.lit(order[-1][0])).otherwise(halo)
     place = F.array(F.struct(bucket.alias("b"), F.lit(0).alias("h")), F.struct(halo.alias("b"), F.lit(1).alias("h")))
     dealt = docs.select(key, *columns, F.explode(F.filter(place, lambda p: p["b"].isNotNull())).alias("_p"))
     dealt = dealt.select(key, *columns, F.col("_p.b").alias("_bucket"), F.col("_p.h").alias("_halo"))
     return dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_halo", key, *columns)
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
 
 
 def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
@@ -140,10 +170,9 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFram
                 pa.array([hashlib.sha256(m.encode()).hexdigest() for m in made], pa.string()),
                 pa.array([encode(s) for s in own], pa.string()),
                 pa.array([encode(s) for s in edited], pa.string()),
-                pa.array([likeness(a, b) for a, b in zip(own, edited, strict=True)], pa.float64()),
-                pa.array([likeness(a, b) for a, b in zip(own, following, strict=True)], pa.float64()),
+                *(pa.array([f(a, b, fraction) for a, b in zip(own, others, strict=True)], pa.float64()) for f in (likeness, containment) for others in (edited, following)),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
