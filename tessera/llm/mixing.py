@@ -1,7 +1,8 @@
-"""Mixing by iterative proportional fitting: token weights raked to source, language and topic marginals. DataFrame functions only, but for a few cells that are raked on the driver.
+"""Mixing by iterative proportional fitting: token weights raked to source, language and topic marginals. DataFrame functions only.
 
 Documents are counted into cells (source, language, topic). Each round scales the cells' weights so that every source's
-weight meets its target share, then every language's, then every topic's. A document's factor is its cell's weight by its cell's tokens.
+weight meets its target share, then every language's, then every topic's. Up to ``SMALL`` cells are raked as the arrays of one row, inside one
+expression; more are raked by joins. A document's factor is its cell's weight by its cell's tokens.
 
 The sample is ``fraction`` of all tokens, and no cell gives more than it has: from ``fraction`` of the weights, cells that are full are held at probability 1 and
 the others raked again, until all marginals of the expected tokens meet their goals within ``CLOSE`` of the sample. A goal is the target's share of the sample; where a source, language or topic has fewer tokens
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import warnings
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 12
 TEMPER = 0.7
 FRACTION = 0.5
-SMALL = 20_000  # cells that are broadcast, or raked in one task, at most
+SMALL = 20_000  # cells that are broadcast, or raked as one row, at most
 CLOSE = 1e-4
 MOST = 96  # rounds within the cells' capacities
 
@@ -69,23 +69,54 @@ def shares(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return goals
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _row(cells: DataFrame, value: str, goals: dict[str, DataFrame], goal: str) -> DataFrame:
+    """The cells as one row: ``cells`` (all columns, sorted), ``e`` (their values) and, of each dimension, ``g_`` goals by value, ``m_`` the cells of each value
+    and ``p_`` the value of each cell. At most SMALL cells come here."""
+    out = cells.agg(F.array_sort(F.collect_list(F.struct(*cells.columns))).alias("cells"))
+    for d in DIMENSIONS:
+        found = goals[d].agg(F.array_sort(F.collect_list(F.struct(F.col(d).alias("v"), F.col(goal).cast("double").alias("g")))).alias(f"_{d}"))
+        out = out.crossJoin(F.broadcast(found))
+    at = F.sequence(F.lit(0), F.size("cells") - 1)
+
+    def place(d: str) -> Column:
+        return F.transform("cells", lambda c: F.array_position(F.col(f"v_{d}"), c[d]).cast("int") - 1)
+
+    def members(d: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(f"v_{d}") - 1), lambda j: F.filter(at, lambda i: F.get(F.col(f"p_{d}"), i) == j))
+
+    out = out.where(F.size("cells") > 0).withColumns({"e": F.transform("cells", lambda c: c[value].cast("double"))} | {f"{k}_{d}": F.col(f"_{d}")[k] for d in DIMENSIONS for k in ("v", "g")})
+    out = out.withColumns({f"p_{d}": place(d) for d in DIMENSIONS})
+    return out.withColumns({f"m_{d}": members(d) for d in DIMENSIONS})
+
+
+def _sums(e: Column, members: Column, own=None) -> Column:
+    """The sum of e (or of own(i, e[i])) over each value's cells."""
+    one = own or (lambda i, x: x)
+    return F.transform(members, lambda m: F.aggregate(m, F.lit(0.0), lambda a, i: a + one(i, F.get(e, i))))
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, known: dict[str, DataFrame] | None = None) -> DataFrame:
     """cells (source, lang, topic without nulls, tokens) with ``weight``, whose marginals meet the targets as far as they agree."""
     goals = {d: g.drop("has") for d, g in (known or shares(cells, targets, temper)).items()}
     sums = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     total = sums["t"] or 1
     out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    if sums["n"] <= SMALL:  # a few cells: all rounds in one task, without shuffles
-        out = materialise(out, "cells").coalesce(1)
-        for d in DIMENSIONS:
-            out = out.join(F.broadcast(goals[d].withColumnRenamed("goal", f"_{d}")), d)
-        for i in range(rounds):
-            for d in DIMENSIONS:
-                now = F.sum("weight").over(Window.partitionBy(d))
-                out = out.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"_{d}"), now), F.lit(0.0)))
-            if i % 6 == 5 and i < rounds - 1:
-                out = materialise(out, "weights").coalesce(1)
-        out = materialise(out.drop(*(f"_{d}" for d in DIMENSIONS)), "weights")
+    if sums["n"] <= SMALL:
+        row = materialise(_row(out, "weight", goals, "goal"), "row")
+
+        def step(e: Column, k: Column) -> Column:
+            pick = lambda kind: F.when(k == 0, F.col(f"{kind}_source")).when(k == 1, F.col(f"{kind}_lang")).otherwise(F.col(f"{kind}_topic"))
+            scale = F.zip_with(pick("g"), _sums(e, pick("m")), lambda g, now: F.coalesce(F.try_divide(g, now), F.lit(0.0)))
+            return _let(scale, lambda s: F.zip_with(e, pick("p"), lambda x, j: x * F.get(s, j)))
+
+        steps = F.array(*(F.lit(k) for _ in range(rounds) for k in range(3)))
+        row = row.select("cells", F.aggregate(steps, F.col("e"), step).alias("e"))
+        out = materialise(row.select(F.inline(F.zip_with("cells", "e", lambda c, x: c.withField("weight", x)))), "weights")
     else:
         for i in range(rounds):
             for d in DIMENSIONS:
@@ -96,10 +127,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     return out.withColumn("weight", F.col("weight") * F.lit(float(total)))
 
 
-def within(goals: dict[str, DataFrame], wanted: float, n: int) -> dict[str, DataFrame]:
+def within(goals: dict[str, DataFrame], wanted: float) -> dict[str, DataFrame]:
     """Adds ``_<dimension>``, the tokens that each value is to give: ``wanted`` by the shares, but no more than it has; what is missing goes to the others by their shares."""
-    if n <= SMALL:  # no files are read again
-        goals = {d: g.sparkSession.createDataFrame(g.collect(), g.schema) for d, g in goals.items()}
     most = [g.agg(F.sum(F.when(F.col("goal") > 0, F.col("has")))).first()[0] or 0.0 for g in goals.values()]
     wanted, out = min(wanted, *most), {}
     for d, g in goals.items():
@@ -115,33 +144,41 @@ def within(goals: dict[str, DataFrame], wanted: float, n: int) -> dict[str, Data
 def fill(cells: DataFrame, goals: dict[str, DataFrame], n: int) -> DataFrame:
     """cells (source, lang, topic, tokens, expected) with ``expected`` raked to the goals, between 0 and tokens.
 
-    A few cells are raked on the driver, more by joins; both do the same.
+    A few cells are raked as one row, more by joins; both do the same.
     """
-    out = cells
-    for d in DIMENSIONS:
-        out = out.join(goals[d].select(d, f"_{d}"), d)
     sample = goals["source"].agg(F.sum("_source")).first()[0] or 1.0
     off = 0.0
     if n <= SMALL:
-        table = out.collect()
-        tokens, e = (np.array([r[c] for r in table], float) for c in ("tokens", "expected"))
-        places = [np.unique([r[d] for r in table], return_inverse=True)[1] for d in DIMENSIONS] if table else []
-        wanted = [np.array([r[f"_{d}"] for r in table], float) for d in DIMENSIONS]
-        for i in range(MOST):
-            for at, goal in zip(places, wanted, strict=False):
-                full = e >= tokens
-                held, free = (np.bincount(at, x)[at] for x in (np.where(full, tokens, 0), np.where(full, 0, e)))
-                now = held + free
-                more = np.where(full, tokens, np.minimum(tokens, e * np.divide(goal - held, free, out=np.ones(len(e)), where=free > 0)))
-                e = np.where(now > goal, e * goal / np.where(now > 0, now, 1), more)
-            if i % 6 == 5:
-                off = max((float(np.abs(np.bincount(at, e)[at] - goal).max()) for at, goal in zip(places, wanted, strict=False)), default=0.0)
-                if off <= CLOSE * sample:
-                    break
-        schema = ", ".join(f"{c} {kind}" for c, kind in cells.dtypes)
-        rows = [(*(float(x) if c == "expected" else r[c] for c in cells.columns),) for r, x in zip(table, e, strict=True)]
-        out = cells.sparkSession.createDataFrame(rows, schema)
+        row = materialise(_row(cells, "expected", {d: goals[d].select(d, F.col(f"_{d}").alias("goal")) for d in DIMENSIONS}, "goal").withColumn("cap", F.transform("cells", lambda c: c["tokens"].cast("double"))), "row")
+
+        def step(state: Column, k: Column) -> Column:
+            pick = lambda kind: F.when(k == 0, F.col(f"{kind}_source")).when(k == 1, F.col(f"{kind}_lang")).otherwise(F.col(f"{kind}_topic"))
+
+            def moved(e: Column) -> Column:
+                most = lambda i: F.get(F.col("cap"), i)
+                held, free = _sums(e, pick("m"), lambda i, x: F.when(x >= most(i), x).otherwise(0.0)), _sums(e, pick("m"), lambda i, x: F.when(x >= most(i), 0.0).otherwise(x))
+                # of each value: how much all its cells fall, or those that aren't full rise
+                facts = F.zip_with(pick("g"), F.arrays_zip(held.alias("held"), free.alias("free")), lambda g, s: F.struct(
+                    F.when(s["held"] + s["free"] > g, g / (s["held"] + s["free"])).alias("fall"), F.coalesce(F.try_divide(g - s["held"], s["free"]), F.lit(1.0)).alias("rise")))
+                return _let(facts, lambda f: F.transform(e, lambda x, i: _let(F.get(f, F.get(pick("p"), i)), lambda v: F.when(v["fall"].isNotNull(), x * v["fall"]).when(x >= most(i), x).otherwise(F.least(most(i), x * v["rise"])))))
+
+            def checked(e: Column) -> Column:
+                gaps = F.concat(*(F.zip_with(F.col(f"g_{d}"), _sums(e, F.col(f"m_{d}")), lambda g, now: F.abs(now - g)) for d in DIMENSIONS))
+                return F.struct(e.alias("e"), F.coalesce(F.array_max(gaps), F.lit(0.0)).alias("off"))
+
+            # a step 3 asks whether all goals are met, after which nothing moves
+            met = state["off"] <= F.lit(CLOSE * sample)
+            return F.when(met, state).when(k == 3, checked(state["e"])).otherwise(F.struct(_let(state["e"], moved).alias("e"), state["off"].alias("off")))
+
+        steps = F.array(*(F.lit(k) for i in range(MOST) for k in ((0, 1, 2, 3) if i % 6 == 5 else (0, 1, 2))))
+        start = F.struct(F.col("e").alias("e"), F.lit(float("inf")).alias("off"))
+        done = materialise(row.select("cells", F.aggregate(steps, start, step).alias("s")), "filled")
+        off = (done.select("s.off").first() or [0.0])[0]
+        out = done.select(F.inline(F.zip_with("cells", F.col("s.e"), lambda c, x: c.withField("expected", x))))
     else:
+        out = cells
+        for d in DIMENSIONS:
+            out = out.join(goals[d].select(d, f"_{d}"), d)
         out = materialise(out, "filled")
         full = F.col("expected") >= F.col("tokens")
         held, free = F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("expected")))
@@ -179,7 +216,7 @@ def fit(keyed: DataFrame, keys: dict[str, Column], targets: dict[str, dict[str,
     n, every = cells.agg(F.count("*"), F.sum("tokens")).first()
     goals = shares(cells, targets)
     raked = rake(cells.drop("rows"), targets, rounds, known=goals)
-    goals = within(goals, fraction * (every or 0), n)
+    goals = within(goals, fraction * (every or 0))
     start = raked.select(*DIMENSIONS, "tokens", "weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.lit(fraction)).alias("expected"))
     filled = fill(start, goals, n).join(cells.select(*DIMENSIONS, "rows"), list(DIMENSIONS))
     chance = F.coalesce(F.least(F.lit(1.0), F.try_divide("expected", "tokens")), F.lit(float(min(1.0, fraction))))
