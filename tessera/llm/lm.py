@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, stored as sorted hash arrays, scored from memory maps.
 
 Tokens are words (``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z) and one end a text. Counts cover every training text: unigrams by 64-bit
-hash, bigrams by pairs of 48-bit word hashes, merged shard by shard (a shard is a range of pair
-hashes, so no word's pairs lie in one task). P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w); P(w) discounts the number of
+hash, bigrams by pairs of 48-bit word hashes, merged shard by shard. A shard is a range of pair
+hashes, so no word's pairs lie in one task; there is one for every ``SHARD_TOKENS`` training tokens, a task each, so a task holds the same however large the table. P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w); P(w) discounts the number of
 words that w follows in the same way and mixes in 1 / (V + 1), which is also an unknown word's share. The
 discounts D1, D2 and D3+ come from the counts of counts. All pairs are stored; with a ``keep`` above 1, those seen less often stay in all counts but not
 in the arrays: their mass goes to g(v), so the probabilities after every word still add up to 1. With ``order`` 3 the same holds for P(w | u v) over triples,
@@ -15,7 +15,6 @@ belongs to fold 0. Rows with the same doc_id are scored one by one. Other input
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +32,7 @@ END = _U(0xE4D0E4D0E4D0E4D1)
 BEGIN = _U(0xB361B361B3610000)  # only a context, so its lower 16 bits must be those that pairs leave out
 NONE = _U(0x7C9D7C9D7C9D0000)  # stands before BEGIN
 FLUSH = 1_000_000
+SHARD_TOKENS = 2_000_000
 KEEP = 1
 ORDER = 2
 PAIR = np.dtype([("key", "<u8"), ("n", "<u4")])
@@ -229,7 +229,7 @@ def merged(packed: DataFrame, folder: str, shards: int, keep: int, order: int =
             yield from done()
         trim()
 
-    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = packed.repartitionById(shards, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, schema)
 
 
@@ -262,7 +262,7 @@ def contexts(rows: DataFrame, folder: str, shards: int, keep: int, d: tuple[floa
             yield done()
         trim()
 
-    return rows.select("shard", "keys", "n").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, contexts long")
+    return rows.select("shard", "keys", "n").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(run, "shard long, contexts long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -280,11 +280,11 @@ def train(texts: DataFrame, keep: int = KEEP, order: int = ORDER) -> Model:
         raise ValueError(f"order is {order}, not 2 or 3")
     spark = texts.sparkSession
     texts = texts.select("text")
-    bits = 1 + int(math.log2(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    shards, folder = 1 << bits, scratch(spark, "lm")
     single = materialise(unigrams(texts), "unigrams")
     tokens, vocabulary = single.agg(F.sum("c"), F.count("*")).first()
     tokens = tokens or 0
+    bits = max(1, (tokens // SHARD_TOKENS).bit_length())
+    shards, folder = 1 << bits, scratch(spark, "lm")
     sums = [F.sum(c).alias(c) for c in ("total", "types", "n1", "n2", "n3", "n4", "lost", "after")]
     found, long = merged(grams(texts, bits, order), folder, shards, keep, order), (0.0, 0.0, 0.0)
     if order == 3:
@@ -340,7 +340,7 @@ def train(texts: DataFrame, keep: int = KEEP, order: int = ORDER) -> Model:
         if held:
             yield done()
 
-    sharded = rows.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("shard"), "*").repartition(shards, "shard").sortWithinPartitions("shard")
+    sharded = rows.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("shard"), "*").repartitionById(shards, "shard").sortWithinPartitions("shard")
     materialise(sharded.mapInArrow(write, "shard int, words long"), "shards")
     return Model(folder, shards, int(tokens), int(vocabulary), unknown, d, order, long)
 
