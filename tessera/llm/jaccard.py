@@ -2,18 +2,20 @@
 
 Jaccard distance is a metric, and most documents lie at distance 1 from most others, so pivots are taken where
 documents meet. 1. Documents with equal sets become one set. 2. Every set lists its rarest shingles, just as many as
-make sure that two linked sets list one in common; rarity comes from counts of all shingles in a
-table of fixed size, which sets an order and can't change results. 3. Of the sets that list a shingle the one
+make sure that two linked sets list one in common; rarity comes from exact counts of all shingles of one set in ``SAMPLED``, of
+which the ``COMMON`` most frequent are told apart; it sets an order and can't change results. 3. Of the sets that list a shingle the one
 with the smallest digest is its pivot, and a pivot's region holds all sets it was chosen for: two linked
 sets always share a region. Before any text moves, regions of up to ``FEW`` sets are parted by a lower bound of the
 distance: the number of bits in which two parity sketches differ, which never exceeds the symmetric
-difference of the sets. 4. A region is joined recursively: further pivots, farthest first, cut it
-into Voronoi cells; a set goes to each cell whose pivot is no farther than the cell's radius plus
-the link distance (triangle inequality), and cells are joined in the same way until they are small. Sets that
-are in one component already are not compared. 5. The links, as stars, give components across regions.
-
-A region whose sets don't fit ``REGION`` shingles is cut by the distances from its first document into near, boundary and outer
-blocks, of which those pairs are joined that can hold a link (``split``), so nothing unbounded comes to a task and no link is lost. Shingles whose count stands out get their
+difference of the sets. 4. A region of over ``REGION`` shingles is cut in Spark: up to ``PIVOTS`` further pivots that aren't linked with each other,
+every set's distance from each, and Voronoi cells; a set goes to its nearest pivot's cell and, as the boundary, to each cell whose pivot is farther by
+no more than twice the link distance and no farther than the cell's radius plus the link distance (triangle inequality). Rows of (cell, document)
+are dealt anew and cut again while they are too large (``cells``). Sets linked with a cell's pivot are in one component at once, so a cell of only
+such is done. 5. What fits a task is joined there in the same way: pivots, farthest first, cells with windows, and those again until they are
+small. Sets that are in one component already are not compared. 6. The links, as stars, give components across regions.
+
+A cell that pivots cannot make smaller is cut into near, boundary and outer blocks by the distance from its pivot, of which those pairs are joined that
+can hold a link, so nothing unbounded comes to a task and no link is lost. Shingles that are common are dealt out by shingle and set, and get their
 pivots from partial aggregates.
 
 Defined results: a null text or one without words has no shingles and is linked with nothing; one of fewer words than
@@ -24,6 +26,7 @@ nothing and has a null component. An empty table gives an empty result. Other in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,11 @@ from tessera.llm.store import materialise, trim
 from tessera.llm.text import SHINGLE_WORDS, mix, shingle_sets, slices
 
 PERCENT = 75
-BUCKET_BITS = 22
-SLICES = 64
-REGION = 4_000_000
+SAMPLED = 16
+COMMON = 1 << 18
+OFTEN = 4  # times in the sample from which a shingle may be common
+REGION = 1 << 16
+DEPTH = 4
 PIVOTS = 8
 SMALL = 24
 HOT = 1024
@@ -120,67 +125,55 @@ def parted(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
-    """A row a document (doc_id, n, d, e: digests, sketch) and, from each task, slices of shingle counts by bucket (part, counts)."""
-    width = (1 << BUCKET_BITS) // SLICES
+    """A row a document (doc_id, n, d, e: digests, sketch) and, of one set in SAMPLED by digest, the shingles (token, c) as each task has counted them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "d", "e", "sketch", "part", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        names = ["doc_id", "n", "d", "e", "sketch", "token", "c"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         held: list[np.ndarray] = []
+        seen: set[int] = set()
 
-        def count() -> None:
-            nonlocal held
-            if held:
-                counts[:] += np.bincount((np.concatenate(held) >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            held = []
+        def count() -> pa.RecordBatch:
+            t, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(t), k) for k in kinds[:5]] + [pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=names)
 
         for b in slices(batches):
             found = shingle_sets(b.column(1), words)
             pairs = [digest(s) for s in found]
-            held += found
-            if sum(map(len, held)) > 2_000_000:
-                count()
+            for s, (d, _) in zip(found, pairs, strict=True):  # copies count once a task, or seldom more
+                if d % SAMPLED == 0 and len(s) and d not in seen:
+                    held.append(s)
+                    seen.add(d)
+            if len(seen) > 1_000_000:
+                seen.clear()
             columns = [b.column(0), [len(s) for s in found], [p[0] for p in pairs], [p[1] for p in pairs], [parity(s).tobytes() for s in found], [None] * len(found), [None] * len(found)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-        count()
-        for i in range(SLICES):
-            part = counts[i * width : (i + 1) * width]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:5]] + [pa.array([i], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names=names)
+            if sum(map(len, held)) > 500_000:
+                yield count()
+        if held:
+            yield count()
         trim()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d long, e long, sketch binary, part int, counts binary")
-
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d long, e long, sketch binary, token long, c long")
 
-def common_levels(counted: DataFrame, total: int) -> np.ndarray:
-    """A level for each bucket: 0, or from 1 on by how far its count stands out. 2^BUCKET_BITS bytes, whatever the input."""
-    width, mean = (1 << BUCKET_BITS) // SLICES, total / (1 << BUCKET_BITS)
-    least = mean + 8 * mean**0.5 + 16
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums.setdefault(i, np.zeros(width, np.int64))
-                sums[i] += np.frombuffer(raw.as_buffer(), "<u4")
-        for i, n in sums.items():
-            levels = np.where(n > least, 1 + 2 * np.log2(np.maximum(n / least, 1)), 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["part", "levels"])
-
-    out = np.zeros((SLICES, width), np.uint8)
-    for r in counted.where("part is not null").select("part", "counts").repartition(SLICES, "part").mapInArrow(add, "part int, levels binary").collect():
-        out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
-    return out.reshape(-1)
+def common_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles that stand out, how much by: a level from 1 on); at most COMMON of them come to the driver."""
+    often = counted.where("token is not null").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
+    found = often.orderBy(F.desc("c"), "token").limit(COMMON).toArrow()
+    tokens, c = found["token"].to_numpy().view(_U), found["c"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], (1 + 2 * np.log2(c[order] / OFTEN)).astype(np.uint8)
 
 
-def listed(docs: DataFrame, levels, words: int, percent: int, common: bool) -> DataFrame:
-    """(token, d): the rarest shingles of each set, enough for any linked set to share one; common ones or the others."""
+def listed(docs: DataFrame, common, words: int, percent: int) -> DataFrame:
+    """(token, d, common): the rarest shingles of each set, enough for any linked set to share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = levels.value, set()
+        (known, level), seen = common.value, set()
         for b in slices(batches):
-            tokens, digests, sizes = [], [], []
+            tokens, digests, often, sizes = [], [], [], []
             for s in shingle_sets(b.column(1), words):
                 d = digest(s)[0]
                 if not len(s) or d in seen:  # a set is listed once a task, or seldom more
@@ -188,41 +181,47 @@ def listed(docs: DataFrame, levels, words: int, percent: int, common: bool) -> D
                 seen.add(d)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                own = level[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)]
+                own = np.zeros(len(s), np.uint8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    own = np.where(known[at] == s, level[at], 0)
                 order = np.argsort(own, kind="stable")[: len(s) - (percent * len(s) + 99) // 100 + 1]
-                t = s[order[(own[order] > 0) == common]]
-                tokens.append(t)
+                tokens.append(s[order])
+                often.append(own[order] > 0)
                 digests.append(d)
-                sizes.append(len(t))
+                sizes.append(len(order))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(digests, np.int64), sizes))], names=["token", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(digests, np.int64), sizes)), pa.array(np.concatenate(often))], names=["token", "d", "common"])
         trim()
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "token long, d long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "token long, d long, common boolean")
 
 
 def elected(postings: DataFrame) -> DataFrame:
-    """(pivot, d) from (token, d) rows that lie together and in order: a token's first d is its pivot. Tokens of one set give nothing."""
+    """(pivot, d, token) from (token, d, common) rows that lie together and in order: a token's first d is its pivot, and tokens of one set give
+    nothing. The distinct rows of a common token, which lie in several places, come back without a pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = pivot = None
-        alone = False
         for b in batches:
             if not b.num_rows:
                 continue
-            t, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            t, d, common = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             first = np.concatenate([[token is None or t[0] != token], t[1:] != t[:-1]])
-            group = np.cumsum(first)
             heads = np.concatenate([[pivot if pivot is not None else 0], d[first]])
-            pivots = heads[group]
-            other = d != pivots
+            pivots = heads[np.cumsum(first)]
+            other = (d != pivots) & ~common
             members = np.stack([pivots[other], d[other]], 1)
             out = np.unique(np.concatenate([members, np.stack([members[:, 0]] * 2, 1)]), axis=0)
+            often = np.unique(np.stack([t[common], d[common]], 1), axis=0)
             token, pivot = t[-1], pivots[-1]
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["pivot", "d"])
+            n, m = len(out), len(often)
+            if n + m:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([out[:, 0], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([out[:, 1], often[:, 1]])),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), often[:, 0]]), mask=np.arange(n + m) < n)], names=["pivot", "d", "token"])
 
-    return postings.mapInArrow(run, "pivot long, d long")
+    return postings.mapInArrow(run, "pivot long, d long, token long")
 
 
 class Region:
@@ -341,43 +340,88 @@ def joined(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.select("region", "i", "j", "block", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
-def split(rows: DataFrame, held: DataFrame, words: int, percent: int, region: int) -> tuple[DataFrame, DataFrame]:
-    """Regions that are too large for a task, (region, doc_id, n), as (rows of pairs of blocks, stars of documents linked to a pivot).
+def voronoi(rows: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """The cells of regions (region, doc_id, n, weight, act): a row for each cell that a document belongs to or borders on, (region: the cell's own, weight: of
+    the region it was cut from, pivot, doc_id, n, core: whether the pivot is its nearest, kind: 0 linked with the pivot, 1 within twice the link distance, 2 beyond).
 
-    A region's first document is its pivot, and every document's distance from it is measured. Those within the link distance are
-    linked to it and so need no comparison with each other. By the triangle inequality only documents within twice the link distance can be linked
-    to one of those; the others are compared among themselves. So blocks of near documents meet blocks of the boundary, and blocks
-    of all but near ones meet each other.
+    A document borders only on cells before its own, so two documents meet in the cell of one of them, once. Only pairs with one that has ``act`` are
+    called for, so cells without any are left out. Pivots are the first documents of PIVOTS hash classes, without those linked with one before them. A region's documents meet its pivots by
+    region and salt, so they never lie in one task.
     """
-    texts = rows.join(held, "doc_id")
-    pivots = rows.groupBy("region").agg(F.min("doc_id").alias("pivot"))
-    pivots = pivots.join(held.withColumnsRenamed({"doc_id": "pivot", "text": "pivot_text"}), "pivot")
-    least = 1 - 2 * (1 - percent / 100) - 1e-9
+    far = 1 - percent / 100
+    salts = 16
+    chosen = rows.groupBy("region", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("k")).agg(F.min("doc_id").alias("doc_id"))
+    # of texts that share the pivot's doc_id one is the pivot; all are measured
+    chosen = chosen.join(held, "doc_id").groupBy("region", "doc_id").agg(F.min("text").alias("text"))
+    pivots = chosen.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("pivots"))
+    pivots = pivots.select("region", "pivots", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    texts = rows.join(held, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(pivots, ["region", "salt"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        held_pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
         for b in slices(batches):
-            kinds = []
-            for own, text in zip(shingle_sets(b.column(4), words), b.column(5).to_pylist(), strict=True):
-                if text not in known:
-                    known = {text: shingle_sets(pa.array([text]), words)[0]}
-                p = known[text]
-                both = len(np.intersect1d(own, p, assume_unique=True))
-                union = len(own) + len(p) - both
-                kinds.append(0 if 100 * both >= percent * union else 1 if both >= least * union else 2)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(kinds, pa.int32())], names=["region", "pivot", "doc_id", "n", "kind"])
-
-    measured = texts.join(pivots, "region").select("region", "pivot", "doc_id", "n", "text", "pivot_text")
-    measured = materialise(measured.mapInArrow(measure, "region long, pivot long, doc_id long, n long, kind int"), "measured")
-    stars = measured.where("kind = 0 and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    weight = lambda k: F.ceil(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) / F.lit(region)).cast("int").alias(f"k{k}")
-    counts = measured.groupBy("region").agg(*(weight(k) for k in range(3)))
-    blocks = lambda k: F.when(F.col(f"k{k}") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(f"k{k}") - 1, F.lit(0))), lambda x: x + k * (1 << 20))).otherwise(F.array().cast("array<int>"))
-    own = F.when(F.col("kind") == 0, F.col("k0")).when(F.col("kind") == 1, F.col("k1")).otherwise(F.col("k2"))
-    out = measured.join(counts, "region").withColumn("block", (F.pmod(F.xxhash64("doc_id"), own) + F.col("kind") * (1 << 20)).cast("int"))
-    others = F.when(F.col("kind") == 0, blocks(1)).when(F.col("kind") == 1, F.concat(blocks(0), blocks(1), blocks(2))).otherwise(F.concat(blocks(1), blocks(2)))
-    out = out.select("region", "doc_id", "block", F.explode(others).alias("o"))
-    return out.select("region", "doc_id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")), stars
+            out: list[tuple] = []
+            for region, i, n, weight, act, own, found in zip(*(b.column(c).to_pylist() for c in range(5)), shingle_sets(b.column(5), words), b.column(6), strict=True):
+                if region not in held_pivots:
+                    if len(held_pivots) > 64:
+                        held_pivots.clear()
+                    known = held_pivots[region] = []
+                    raw = found.as_py()
+                    for p, s in zip(raw, shingle_sets(pa.array([x["text"] for x in raw], pa.string()), words), strict=True):
+                        if all(100 * (c := len(np.intersect1d(s, o, assume_unique=True))) < percent * (len(s) + len(o) - c) for _, o in known):
+                            known.append((p["doc_id"], s))
+                known = held_pivots[region]
+                both = np.array([len(np.intersect1d(own, s, assume_unique=True)) for _, s in known])
+                union = np.array([len(own) + len(s) for _, s in known]) - both
+                d = 1 - both / union
+                least = d.min()
+                core = int(d.argmin())
+                for j in np.flatnonzero(d[: core + 1] <= least + 2 * far + 1e-9).tolist():
+                    kind = 0 if 100 * both[j] >= percent * union[j] else 1 if d[j] <= 2 * far + 1e-9 else 2
+                    out.append((region, known[j][0], i, n, weight, kind, act, j == core, float(d[j])))
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.bool_(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["region", "pivot", "doc_id", "n", "weight", "kind", "act", "core", "d"])
+        trim()
+
+    measured = texts.select("region", "doc_id", "n", "weight", "act", "text", "pivots").mapInArrow(measure, "region long, pivot long, doc_id long, n long, weight long, kind int, act boolean, core boolean, d double")
+    measured = materialise(measured, "measured")
+    radius = measured.groupBy("region", "pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("radius"), F.max("act").alias("any")).where("any").drop("any")
+    found = measured.join(radius, ["region", "pivot"]).where(F.col("d") <= F.col("radius") + far + 1e-9)
+    return found.select(F.xxhash64("region", "pivot").alias("region"), "weight", "pivot", "doc_id", "n", "core", "kind")
+
+
+def cells(rows: DataFrame, held: DataFrame, words: int, percent: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """Regions that are too large for a task, (region, doc_id, n, weight), as (rows for joined() without texts, stars of documents linked with a pivot).
+
+    Cells that are too large are cut again; after DEPTH rounds, or where a cell is not a fifth smaller than what it was cut from, by blocks of classes. Those
+    linked with the pivot are in one component, by the triangle inequality only documents within twice the link distance of it can be linked with
+    one of those, and documents that border on a cell meet elsewhere: so only those blocks are paired that can hold a link which no other place finds.
+    """
+    zero = F.lit(0).cast("int")
+    out, stars, stuck = [], [], []
+    rows = rows.withColumn("act", F.lit(True))
+    for depth in range(DEPTH):
+        found = materialise(voronoi(rows, held, words, percent), "cells")
+        stars.append(found.where("kind = 0 and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+        sizes = found.groupBy("region").agg(F.sum("n").alias("now"), F.count_if(F.col("kind") > 0).alias("open")).where("open > 0").drop("open")
+        found = materialise(found.join(sizes, "region"), "open")
+        out.append(found.where(F.col("now") <= region).select("region", "doc_id", zero.alias("block"), zero.alias("i"), zero.alias("j")))
+        large = found.where(F.col("now") > region)
+        smaller = (F.col("now") < F.col("weight") * 0.8) & F.lit(depth < DEPTH - 1)
+        stuck.append(large.where(~smaller).select("region", "doc_id", "n", (F.col("kind") + F.when(F.col("core"), 0).otherwise(3)).alias("class")))
+        rows = large.where(smaller).groupBy("region", "doc_id").agg(F.max("n").alias("n"), F.max("now").alias("weight"), F.max("core").alias("act"))
+        if rows.isEmpty():
+            break
+    left = reduce(DataFrame.unionByName, stuck)
+    # classes 0 to 2 are a cell's own documents by kind, 3 to 5 those that border on it
+    meets = [(1, 4), (0, 1, 2, 3, 4, 5), (1, 2, 4, 5), (1,), (0, 1, 2), (1, 2)]
+    counts = left.groupBy("region").agg(*(F.ceil(F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)) / F.lit(region)).cast("int").alias(f"k{k}") for k in range(6)))
+    blocks = [F.when(F.col(f"k{k}") > 0, F.sequence(F.lit(k << 20), F.greatest(F.col(f"k{k}"), F.lit(1)) + ((k << 20) - 1))).otherwise(F.array().cast("array<int>")) for k in range(6)]
+    pick = lambda of: F.coalesce(*(F.when(F.col("class") == k, of(k)) for k in range(6)))
+    left = left.join(counts, "region").withColumn("block", (F.pmod(F.xxhash64("doc_id"), pick(lambda k: F.col(f"k{k}"))) + F.shiftleft("class", 20)).cast("int"))
+    left = left.select("region", "doc_id", "block", F.explode(pick(lambda k: F.concat(*(blocks[m] for m in meets[k])))).alias("o"))
+    left = left.select("region", "doc_id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    return reduce(DataFrame.unionByName, [*out, left]).distinct(), reduce(DataFrame.union, stars)
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -396,17 +440,19 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id) of every row of documents."""
     spark = docs.sparkSession
     counted = materialise(sets_and_counts(docs, words), "sets")
-    own = counted.where("part is null").select("doc_id", "n", "d", "e", "sketch")
-    total = own.agg(F.sum("n").alias("t")).first()["t"] or 0
-    levels = spark.sparkContext.broadcast(common_levels(counted, total))
+    own = counted.where("token is null").select("doc_id", "n", "d", "e", "sketch")
+    common = spark.sparkContext.broadcast(common_shingles(counted))
     groups = own.where("n > 0 and doc_id is not null").groupBy("d", "e").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     groups = materialise(groups, "groups")
 
-    rare = listed(docs, levels, words, percent, common=False).repartition("token").sortWithinPartitions("token", "d")
-    often = listed(docs, levels, words, percent, common=True).distinct()
-    chosen = often.groupBy("token").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot <> last")
+    # the rows of a common token, which may be in a third of all sets, are dealt out by token and set
+    salt = F.when(F.col("common"), F.pmod("d", F.lit(64))).otherwise(F.lit(0))
+    lists = listed(docs, common, words, percent).withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "salt", "d")
+    lists = materialise(elected(lists.select("token", "d", "common")), "lists")
+    often = lists.where("token is not null").select("token", "d")
+    chosen = F.broadcast(often.groupBy("token").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot <> last"))  # at most COMMON rows
     among = often.join(chosen, "token").select("pivot", "d")
-    members = materialise(elected(rare).union(among.union(among.select("pivot", F.col("pivot").alias("d")))).distinct(), "members")
+    members = lists.where("token is null").select("pivot", "d").union(among.union(among.select("pivot", F.col("pivot").alias("d")))).distinct()
 
     near = members.join(groups.select("d", "rep", "n", "sketch"), "d").select(F.col("pivot").alias("region"), F.col("rep").alias("doc_id"), "n", "sketch")
     near = materialise(near, "near")
@@ -421,9 +467,13 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     held, _ = by_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
     zero = F.lit(0).cast("int")
     fit = placed.where(F.col("weight") <= region).select("region", "doc_id", zero.alias("block"), zero.alias("i"), zero.alias("j"))
-    cut, stars = split(placed.where(F.col("weight") > region).select("region", "doc_id", "n"), held, words, percent, region)
-    rows = held.join(fit.unionByName(cut), "doc_id").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "doc_id")
-    links = joined(rows, words, percent).unionByName(stars)
+    large, stars = placed.where(F.col("weight") > region).select("region", "doc_id", "n", "weight"), None
+    if not large.isEmpty():
+        cut, stars = cells(large, held, words, percent, region)
+        fit = fit.unionByName(cut)
+    rows = held.join(fit, "doc_id").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "doc_id")
+    links = joined(rows, words, percent)
+    links = links.unionByName(stars) if stars is not None else links
     found = components(materialise(links, "links"))
 
     labels = groups.join(found, groups["rep"] == found["id"], "left").select("d", "e", "copies", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("linked"))

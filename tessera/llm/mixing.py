@@ -9,7 +9,7 @@ the others raked again, until all marginals of the expected tokens meet their go
 than that, its goal is all that it has, and the others of its kind share the rest by their targets. ``marginals`` gives target, goal and expected share of each value; goals that
 can't be met together are a warning. A document is kept with its cell's probability by a hash of its doc_id, so the choice never depends on the order or place of rows.
 
-Targets that are not given are the tempered shares (tokens ^ ``TEMPER``, made to add up to 1). Topics are told from a text's form unless a column is named: ``listing``
+Targets that are not given are the tempered shares (tokens ^ ``TEMPER``, made to add up to 1). The topic should be a column of the documents, named by the caller (``topic``); where there is none, a text's form stands in for it: ``listing``
 (bars between items), ``contact`` (an @ within a word), ``figures`` (over a tenth of the characters are digits), ``shouting`` (no
 lower-case ASCII letter but upper-case ones) and ``prose``.
 
@@ -87,7 +87,7 @@ def _row(cells: DataFrame, value: str, goals: dict[str, DataFrame], goal: str) -
         return F.transform("cells", lambda c: F.array_position(F.col(f"v_{d}"), c[d]).cast("int") - 1)
 
     def members(d: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(f"v_{d}") - 1), lambda j: F.filter(at, lambda i: F.get(F.col(f"p_{d}"), i) == j))
+        return _let(F.struct(F.col(f"p_{d}").alias("p"), at.alias("at")), lambda x: F.transform(F.sequence(F.lit(0), F.size(f"v_{d}") - 1), lambda j: F.filter(x["at"], lambda i: F.get(x["p"], i) == j)))
 
     out = out.where(F.size("cells") > 0).withColumns({"e": F.transform("cells", lambda c: c[value].cast("double"))} | {f"{k}_{d}": F.col(f"_{d}")[k] for d in DIMENSIONS for k in ("v", "g")})
     out = out.withColumns({f"p_{d}": place(d) for d in DIMENSIONS})
@@ -202,7 +202,7 @@ def fill(cells: DataFrame, goals: dict[str, DataFrame], n: int) -> DataFrame:
 def _keyed(docs: DataFrame, topic: str | None) -> tuple[DataFrame, dict[str, Column]]:
     text = F.coalesce("text", F.lit(""))
     named = (F.col(topic) if topic else topic_of(text)).cast("string")
-    keyed = docs.drop("tokens", "factor", "probability", "kept").withColumns({"topic": named, "tokens": words(text)})
+    keyed = docs.withColumn("topic", named).drop("tokens", "factor", "probability", "kept").withColumn("tokens", words(text))
     # a null is told from any string by what stands before them
     return keyed, {f"_{d}": F.concat(F.when(F.col(d).isNull(), "0").otherwise("1"), F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in DIMENSIONS}
 
@@ -238,7 +238,10 @@ def marginals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = Non
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, topic: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """The documents with topic, tokens, factor, probability and kept."""
-    keyed, keys = _keyed(docs, topic)
+    return _drawn(*_keyed(docs, topic), targets, fraction, rounds)
+
+
+def _drawn(keyed: DataFrame, keys: dict[str, Column], targets: dict[str, dict[str, float]] | None, fraction: float, rounds: int) -> DataFrame:
     cells, _ = fit(keyed, keys, targets, fraction, rounds)
     n, count = cells.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     facts = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "factor", "probability", "rows")
@@ -259,5 +262,7 @@ def sampled(docs: DataFrame, topic: str | None = None, **options) -> DataFrame:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, factor, probability and kept of every document."""
-    return mixed(docs).select("doc_id", "source", "lang", "topic", "tokens", "factor", "probability", "kept")
+    """doc_id, source, lang, topic, tokens, factor, probability and kept of every document. Texts are read once."""
+    keyed, keys = _keyed(docs, None)
+    facts = materialise(keyed.select("doc_id", "source", "lang", "topic", "tokens"), "facts")
+    return _drawn(facts, keys, None, FRACTION, ROUNDS).select("doc_id", "source", "lang", "topic", "tokens", "factor", "probability", "kept")

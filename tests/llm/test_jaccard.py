@@ -107,3 +107,38 @@ def test_links_are_followed_over_chains(spark):
     edges = [(i, i + 1) for i in range(0, n)] + [(100, 101), (101, 102), (None, 3), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_a_large_region_of_near_copies_is_cut_without_all_pairs(spark):
+    """Two far groups of near copies and some documents between, in one region: cells hold the groups, and few rows are left to compare."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    left = [f"a{i}" for i in range(80)]
+    right = left[:36] + [f"b{i}" for i in range(44)]
+    docs = []
+    for i in range(3000):
+        t = list(left if i % 2 else right)
+        if i % 50 == 0:
+            t = left[:60] + [f"c{i}x{j}" for j in range(20)]
+        t[rng.randrange(len(t))] = f"z{i}"
+        docs.append((i, " ".join(t)))
+    held = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = held.select(F.lit(1).cast("long").alias("region"), "doc_id", F.lit(76).cast("long").alias("n"), F.lit(3000 * 76).cast("long").alias("weight"))
+    found, stars = jaccard.cells(rows, held, 5, 75, 4000)
+    by_cell = found.groupBy("region", "i", "j").count().collect()
+    left_over = sum(r["count"] for r in by_cell)
+    assert len(by_cell) > 1 and left_over < 4 * len(docs) and stars.count() > 2500
+    assert max(r["count"] for r in by_cell) < len(docs) / 5
+    table = spark.createDataFrame([(k, t, "x") for k, t in docs], SCHEMA).repartition(6)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(table, region=4000).collect()}
+    assert got[1] == got[2999] == 1 and got[2] == got[2998] == 2 and len({got[i] for i in range(0, 3000, 50)}) == 60
+
+
+def test_common_shingles_meet_across_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "OFTEN", 1)
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    docs = corpus(12, 200)
+    table = spark.createDataFrame([(k, t, "x") for k, t in docs], SCHEMA).repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(table).collect()}
+    assert got == brute(docs)

@@ -99,3 +99,21 @@ def test_targets_are_met_where_there_are_tokens(spark):
     docs = spark.createDataFrame(rows(seed=2), SCHEMA)
     for r in mixing.marginals(docs, fraction=0.3).collect():
         assert abs(r.expected - r.target) < 1e-3 and abs(r.goal - r.target) < 1e-9
+
+
+def test_goals_that_contradict_each_other_warn_and_missing_sources_are_ignored(spark):
+    data = [(i, "word " * 10, "en" if i < 50 else "fr", "a" if i < 50 else "b", "", 0) for i in range(100)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    with pytest.warns(UserWarning, match="don't agree"):
+        out = mixing.mixed(docs, {"source": {"a": 0.9, "b": 0.1, "nobody": 4.0}, "lang": {"en": 0.1, "fr": 0.9}}, fraction=0.3).collect()
+    assert len(out) == 100 and all(0 <= r.probability <= 1 for r in out)
+    out = mixing.mixed(docs, {"source": {"a": 0.75, "b": 0.25, "nobody": 4.0}, "lang": {"en": 0.75, "fr": 0.25}}, fraction=0.3).groupBy("source").agg(F.sum(F.col("tokens") * F.col("probability")).alias("e"))
+    got = {r.source: r.e for r in out.collect()}
+    assert abs(got["a"] / (got["a"] + got["b"]) - 0.75) < 1e-3
+
+
+def test_a_named_topic_column(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 5), "en", "s", "t" + str(i % 3), 0) for i in range(90)], SCHEMA)
+    report = [r for r in mixing.marginals(docs, {"topic": {"t0": 1, "t1": 1, "t2": 2}}, fraction=0.3, topic="tokens").collect() if r.dimension == "topic"]
+    assert sorted((r.value, round(r.target, 6)) for r in report) == [("t0", 0.25), ("t1", 0.25), ("t2", 0.5)]
+    assert all(abs(r.expected - r.target) < 1e-3 for r in report)
