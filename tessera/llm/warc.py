@@ -1,16 +1,18 @@
 """WARC archives as a chunked record table.
 
-Payloads travel as rows (record_id, chunk_no, data) of at most ``CHUNK`` bytes, in order, with the
-digest carried from chunk to chunk, so neither writer nor reader holds a whole record. An archive is
+Payloads travel as rows (record number, chunk number, data) of at most ``CHUNK`` bytes, in order. They are cut before anything else is done with
+them; a digest is carried from chunk to chunk and stands, with the length, on a record's last row, so neither writer nor reader holds a whole
+record, and only those last rows are compared to find equal payloads. An archive is
 a sequence of gzip members, one a record. Archives are written to the shared folder under a temporary name and
 renamed when complete, so a task that runs again replaces its own file and nothing else.
 
 Records with equal payloads of at least ``MIN_DUPLICATE`` bytes: the one with the smallest page_id is a
 response, the others are revisits that refer to it and carry no payload. Smaller ones are all responses.
 
-Defined results: null html is an empty payload; a null url is an empty target. Rows that share a page_id and payload become
-records of their own; of these the first written (smallest url) is the response. An empty table
-gives an empty result. Other input columns are ignored. page_id must not be null: such a row is an error.
+Defined results: null html is an empty payload; a null url is an empty target. A row with a null page_id has a record whose identifier is empty and
+comes back with a null page_id; among copies it counts as the largest, and what revisits it refers to null. Rows that share a page_id and payload become
+records of their own; of these the first written (smallest url, then the first read) is the response. An empty table
+gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import filesystem, materialise, scratch
@@ -30,28 +32,49 @@ MIN_DUPLICATE = 100
 DATE = "2024-01-01T00:00:00Z"
 
 
-def decisions(pages: DataFrame, minimum: int = MIN_DUPLICATE) -> DataFrame:
-    """(row, record_type, refers_to, payload_digest) of each row of a table with row, page_id, digest, n, url.
+def decisions(ends: DataFrame, minimum: int = MIN_DUPLICATE) -> DataFrame:
+    """(rec, digest, n, record_type, refers_to) of each row of a table with rec, page_id, url, digest, n.
 
     The first row of each digest comes from partial aggregates, which are dealt out by digest and salt before they meet, so
     copies in any number shuffle as a row for each task.
     """
-    big = pages.where(F.col("n") >= minimum)
-    first = big.groupBy("digest").agg(F.min(F.struct("page_id", "url", "row")).alias("f"), F.count("*").alias("copies"))
+    big = ends.where(F.col("n") >= minimum)
+    first = big.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "rec")).alias("f"), F.count("*").alias("copies"))
     repeated = first.where("copies > 1").select("digest", "f", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int"))
-    revisit = F.coalesce((F.col("n") >= minimum) & (F.col("row") != F.col("f.row")), F.lit(False))
+    salted = ends.withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(16)).cast("int"))
+    revisit = F.coalesce((F.col("n") >= minimum) & (F.col("rec") != F.col("f.rec")), F.lit(False))
     return salted.join(repeated, ["digest", "salt"], "left").select(
-        "row", "page_id", "digest", "n", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("f.page_id")).alias("refers_to")
+        "rec", "digest", "n", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("f.page_id")).alias("refers_to")
     )
 
 
-def chunks(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Adds (chunk_no, last, data) in place of ``payload``: pieces of at most ``size`` bytes, cut inside Spark, a record's in order."""
+def chunks(pages: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The chunk rows of a table of page_id, url and html: rec (a number of the record), page_id, url, chunk_no, last, data and, on the last row, digest and n
+    of the whole payload. A record's rows lie together, in order."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    held = pages.select(F.monotonically_increasing_id().alias("rec"), F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     n = F.greatest(F.ceil(F.octet_length("payload") / F.lit(size)), F.lit(1)).cast("int")
-    cut = records.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    cut = held.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     piece = F.substring(F.col("payload"), F.col("chunk_no") * size + 1, F.lit(size))
-    return cut.withColumns({"last": F.col("chunk_no") == n - 1, "data": piece}).drop("payload")
+    cut = cut.withColumns({"last": F.col("chunk_no") == n - 1, "data": piece}).drop("payload")
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, so_far = hashlib.sha256(), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                ends: list[tuple] = []
+                for no, last, data in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
+                    if no == 0:
+                        sha, so_far = hashlib.sha256(), 0
+                    raw = data.as_buffer()
+                    sha.update(raw)
+                    so_far += raw.size
+                    ends.append((sha.hexdigest(), so_far) if last else (None, None))
+                made = [pa.array([e[0] for e in ends], pa.string()), pa.array([e[1] for e in ends], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "digest", "n"])
+
+    return cut.mapInArrow(carry, "rec long, page_id long, url string, chunk_no int, last boolean, data binary, digest string, n long")
 
 
 class Member:
@@ -68,13 +91,14 @@ class Member:
         self.sink.write(self.z.flush())
 
 
-def header(page_id: int, url: str, kind: str, digest: str, length: int, refers_to: int | None) -> bytes:
+def header(page_id: int | None, url: str, kind: str, digest: str, length: int, refers_to: int | None) -> bytes:
     """A record's headers; a revisit, which has no block, keeps the length of the full payload in a field of our own."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    name = lambda i: "<urn:page:>" if i is None else f"<urn:page:{i}>"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
     if url:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {length}"]
+        lines += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {length}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if kind == 'revisit' else length}", "", ""]
     return "\r\n".join(lines).encode()
 
@@ -184,9 +208,9 @@ def read_chunks(archives: DataFrame, size: int = CHUNK) -> DataFrame:
                 fs, where = filesystem(path)
                 with fs.open_input_stream(where, compression=None) as stream:
                     for fields, pieces in parts(stream, size):
-                        refers = int(fields["WARC-Refers-To"][10:-1]) if "WARC-Refers-To" in fields else None
+                        record, refers = (int(i) if (i := fields.get(f, "")[10:-1]) else None for f in ("WARC-Record-ID", "WARC-Refers-To"))
                         full = int(fields.get("X-Payload-Length", fields["Content-Length"]))
-                        own = (int(fields["WARC-Record-ID"][10:-1]), fields["WARC-Type"], refers, fields["WARC-Payload-Digest"][7:], full)
+                        own = (record, fields["WARC-Type"], refers, fields["WARC-Payload-Digest"][7:], full)
                         sha, so_far, no, before = hashlib.sha256(), 0, 0, b""
                         for piece in pieces:  # a row waits until it is known whether it is the last
                             if no:
@@ -211,16 +235,13 @@ def read_chunks(archives: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def archive(pages: DataFrame, folder: str | None = None, minimum: int = MIN_DUPLICATE) -> DataFrame:
     """Writes the pages to WARC archives in ``folder`` (default: a new one in the shared folder); returns the table of archives."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    held = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("url", "digest"))  # tells rows with one page_id apart
-    known = held.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n"), nth.alias("k"))
-    kinds = decisions(known.withColumn("row", F.struct("page_id", "k")), minimum).select("page_id", F.col("row.k").alias("j"), "n", "record_type", "refers_to")
-    texts = held.withColumn("k", nth)
-    # with page_id as its only key, the join takes the payloads as the window has dealt them out
-    records = texts.join(kinds, (texts["page_id"] == kinds["page_id"]) & (F.abs(texts["k"] - kinds["j"]) < 1)).drop(kinds["page_id"])
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return materialise(write(chunks(records.withColumn("payload", body)), folder or scratch(pages.sparkSession, "warc")), "archives")
+    table = materialise(chunks(pages), "chunks")
+    kinds = decisions(table.where("last").select("rec", "page_id", "url", "digest", "n"), minimum)
+    # dealt out by record, so that its chunks stay together however the join with the decisions is done
+    records = table.drop("digest", "n").repartition("rec").join(kinds, "rec").where("record_type = 'response' or chunk_no = 0")
+    full = F.col("record_type") == "response"
+    records = records.withColumns({"data": F.when(full, F.col("data")).otherwise(F.lit(b"")), "last": F.col("last") | ~full})
+    return materialise(write(records.sortWithinPartitions("rec", "chunk_no"), folder or scratch(pages.sparkSession, "warc")), "archives")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

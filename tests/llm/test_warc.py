@@ -64,3 +64,19 @@ def test_a_broken_archive_is_an_error(cut):
     with pytest.raises((ValueError, zlib.error)):
         for _, pieces in warc.parts(io.BytesIO(whole[: len(whole) - cut] if cut < len(whole) else whole[:15])):
             list(pieces)
+
+
+def test_null_page_ids_have_records(spark):
+    rows = [(None, "u", "q" * 200), (None, "v", "r" * 200), (4, "w", "q" * 200), (None, None, None)]
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()), key=str)
+    assert got == sorted([(None, 200, "revisit", 4), (None, 200, "response", None), (4, 200, "response", None), (None, 0, "response", None)], key=str)
+
+
+def test_a_payload_of_many_chunks_carries_its_digest(spark):
+    text = "".join(chr(65 + i % 50) for i in range(70_001))
+    rows = warc.chunks(spark.createDataFrame([(1, "u", "short", "", ""), (2, "u", text, "", ""), (3, "u", None, "", "")], SCHEMA).coalesce(1), 1000).orderBy("rec", "chunk_no").collect()
+    big = [r for r in rows if r.page_id == 2]
+    assert [r.chunk_no for r in big] == list(range(71)) and [r.last for r in big] == [False] * 70 + [True] and max(len(r.data) for r in big) == 1000
+    assert b"".join(r.data for r in big) == text.encode() and big[-1].digest == hashlib.sha256(text.encode()).hexdigest() and big[-1].n == 70_001
+    assert all(r.digest is None and r.n is None for r in big[:-1])
+    assert [(r.n, r.digest) for r in rows if r.page_id == 3] == [(0, hashlib.sha256(b"").hexdigest())]
