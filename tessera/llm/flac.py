@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import buffers
+from tessera.llm.store import materialise
+from tessera.llm.text import buffers, slices
 
 BLOCK = 576
 LANES = 2048
@@ -551,7 +552,7 @@ def digests(media: DataFrame) -> DataFrame:
     fails a checksum, or whose samples differ from its MD5, is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 500):
             stored = [m.as_py() for m in b.column(2)]
             rows, parts, at = [], [], 0
 
@@ -585,5 +586,5 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every text through the codec and back."""
-    return digests(encoded(docs))
+    """Every text through the codec and back; the streams are written to the shared folder and read from there."""
+    return digests(materialise(encoded(docs), "media"))
