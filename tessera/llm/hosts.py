@@ -4,8 +4,7 @@ A rule is a host and a path: it fits that host and its subdomains where a url's
 hosts' other pages, personalised PageRank starts at the hosts of pages that a rule allows and follows links, and distrust starts at those that
 a rule blocks and follows links backwards. Links are absolute hrefs and srcs between different hosts, counted; besides, every host and
 the domain above it (of two labels at least) are linked both ways with the weight ``KIN``, so that a domain's hosts share a fate where no links tell.
-Ranks are the sums of all walks, round by round, until what a round adds is below ``CLOSE`` of them (``DAMPING`` to the power of ``ROUNDS`` is), and add up to 1 of
-each kind, which is the same as walks that begin anew at the seeds from hosts without links. A host is blocked if its distrust exceeds ``SHARE`` of trust and distrust together. A host that neither reaches is allowed.
+Ranks grow round by round, until what four rounds add is below ``CLOSE`` of them (what is missing then is about as much), and are made to add up to 1 of each kind, which is the same as walks that begin anew at the seeds from hosts without links. A host is blocked if its distrust exceeds ``SHARE`` of trust and distrust together. A host that neither reaches is allowed.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is allowed. Null html has no links. Rows with the same page_id
 are judged one by one. An empty table gives an empty result. Other input columns are ignored.
@@ -72,19 +71,24 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     hubs = out.where(F.col("links") > least).select("kind", "src", F.lit(True).alias("hub"))
     moves = shares.join(F.broadcast(hubs), ["kind", "src"], "left").select("kind", "src", "dst", (F.col("w") / F.col("all") * damping).alias("p"), F.coalesce("hub", F.lit(False)).alias("hub"))
     moves = materialise(moves, "moves")
-    state = materialise(seeds.select("kind", "host", F.col("seed").alias("step"), F.lit(0.0).alias("sum")), "walks")
-    for _ in range(rounds):
-        now = state.where("step > 0").select("kind", F.col("host").alias("src"), "step")
+    start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
+    rank, before = materialise(start, "rank"), 0.0
+    for i in range(rounds):
+        now = rank.withColumnRenamed("host", "src")
         few = F.broadcast(now.join(F.broadcast(hubs.drop("hub")), ["kind", "src"]))
-        reached = moves.where("hub").join(few, ["kind", "src"]).unionByName(moves.where("not hub").join(now, ["kind", "src"]))
-        reached = reached.select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("step")).alias("step"), F.lit(0.0).alias("sum"))
-        before = state.select("kind", "host", F.lit(0.0).alias("step"), (F.col("sum") + F.col("step")).alias("sum"))
-        state = materialise(reached.union(before).groupBy("kind", "host").agg(F.sum("step").alias("step"), F.sum("sum").alias("sum")), "walks")
-        added, every = state.agg(F.sum("step"), F.sum("sum")).first()
-        if (added or 0.0) <= close * (every or 0.0):
-            break
-    total = state.groupBy("kind").agg(F.sum(F.col("sum") + F.col("step")).alias("all"))
-    return state.join(F.broadcast(total), "kind").select("kind", "host", ((F.col("sum") + F.col("step")) / F.col("all")).alias("rank"))
+        reached = moves.where("hub").join(few, ["kind", "src"])
+        if least:  # else every host with links is a hub
+            reached = reached.unionByName(moves.where("not hub").join(now, ["kind", "src"]))
+        step = reached.select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("rank")).alias("rank"))
+        rank = step.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        if i % 4 == 3 or i == rounds - 1:
+            rank = materialise(rank, "rank")
+            every = rank.agg(F.sum("rank")).first()[0] or 0.0
+            if every - before <= close * every:  # no rank ever falls, so this is all that has changed
+                break
+            before = every
+    total = rank.groupBy("kind").agg(F.sum("rank").alias("all"))
+    return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
 
 def judged(pages: DataFrame, rules: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
