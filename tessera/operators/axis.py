@@ -75,3 +75,18 @@ def codebook_features(df: DataFrame, book: DataFrame, key: str) -> DataFrame:
     out = joined.crossJoin(F.broadcast(middle))
     month = F.coalesce(F.month("date").cast("double"), F.col("middle"))
     return out.select(*df.columns, month.alias("month"), F.quarter("date").alias("quarter"), F.coalesce((F.pmod(F.month("date") - 1, F.lit(3)) == 0) & (F.dayofmonth("date") == 1), F.lit(False)).alias("is_quarter_start"))
+
+
+def generic_ranks(train: DataFrame, val: DataFrame, period: str, least: float = 0.9) -> DataFrame | None:
+    """period, period_rank of periods as text or numbers: in order of time where nine tenths read as dates, else in order of size where as many read
+    as numbers, else None. A period that reads as neither comes last, in order of its text."""
+    both = train.select(period).union(val.select(period)).where(F.col(period).isNotNull()).distinct()
+    text = F.col(period).cast("string")
+    read = both.select(period, F.try_to_timestamp(text).cast("double").alias("date"), text.try_cast("double").alias("number"))
+    dates, numbers = read.agg(F.avg(F.col("date").isNotNull().cast("double")), F.avg(F.col("number").isNotNull().cast("double"))).first()
+    if dict(both.dtypes)[period] not in ("string", "date") and not dict(both.dtypes)[period].startswith("timestamp"):
+        dates = 0.0  # a number is no date
+    order = "date" if (dates or 0) >= least else "number" if (numbers or 0) >= least else None
+    if order is None:
+        return None
+    return read.select(period, (F.dense_rank().over(Window.orderBy(F.col(order).asc_nulls_last(), F.when(F.col(order).isNull(), text))) - 1).alias("period_rank"))

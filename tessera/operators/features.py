@@ -10,6 +10,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.expr import entropy, harmonics, log1p_floor, ordered, ratio
 from tessera.operators.running import running_sums
@@ -188,3 +189,21 @@ def shift_aware(df: DataFrame, column: str, groups: list[str], axis: str) -> Dat
     stats = df.agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))
     out = df.crossJoin(F.broadcast(stats))
     return out.select(*df.columns, F.try_divide(c - F.col("_m"), F.nullif(F.col("_s"), F.lit(0.0))).alias(f"{column}_global_z"), rolling_z(column, groups, axis), (c - F.avg(column).over(own)).alias(f"{column}_group_dev"), (c * F.col(axis)).alias(f"{column}_x_time"))
+
+
+def contract(train: DataFrame, val: DataFrame, target: str, groups: list[str], exclude: tuple[str, ...] = (), most: int = 50) -> DataFrame:
+    """What later stages do with each column that train and val share: impute (a null in either), scale (numbers), encode (groups and text of up to
+    ``most`` values in train). The target and ``exclude`` are no features."""
+    numbers = [f.name for f in train.schema if isinstance(f.dataType, T.NumericType)]
+    names = [c for c in train.columns if c in val.columns and c != target and c not in exclude]
+    both = train.select(*names).unionByName(val.select(*names))
+    nulls = both.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("n_null")) for c in names)).alias("p")).select(F.inline("p"))
+    texts = [c for c in names if c not in numbers]
+    values = None
+    if texts:
+        cells = train.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in texts)))).where("v is not null")
+        values = cells.distinct().groupBy("column").agg(F.count("*").alias("n_values"))
+    out = nulls.join(F.broadcast(values), "column", "left") if values is not None else nulls.withColumn("n_values", F.lit(None).cast("long"))
+    c = F.col("column")
+    few = c.isin(*texts) & (F.coalesce("n_values", F.lit(0)) <= most) if texts else F.lit(False)
+    return out.select("column", (F.col("n_null") > 0).alias("impute"), (c.isin(*numbers) & ~c.isin(*groups)).alias("scale"), (c.isin(*groups) | few).alias("encode"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import hash_fold
+from tessera.sources.shared import own_path
 
 
 @dataclass(frozen=True)
@@ -97,6 +98,19 @@ def assign(df: DataFrame, rank: str, spans: list[Span]) -> DataFrame:
     return df.select("*", F.inline(F.array(*cells))).where("role is not null")
 
 
+def stored(assigned: DataFrame) -> DataFrame:
+    """The rows of assign(), written to the shared folder by fold and read again: a fold's readers open that fold's files alone."""
+    path = own_path(assigned.sparkSession, "folds")
+    assigned.write.partitionBy("fold_id").parquet(path)
+    return assigned.sparkSession.read.schema(assigned.schema).parquet(path)
+
+
+def mean_length(df: DataFrame, groups: list[str], splits: int = 5) -> DataFrame:
+    """mean_length of the groups and the validation size that follows from it where no periods are known: a fold's share, one row at least."""
+    n = df.groupBy(*groups).agg(F.count("*").alias("n"))
+    return n.agg(F.avg("n").alias("mean_length")).withColumn("valid_size", F.greatest(F.lit(1), F.floor(F.col("mean_length") / (splits + 1)).cast("int")))
+
+
 def fold_sizes(assigned: DataFrame, rank: str) -> DataFrame:
     """fold_id, rows and period bounds of either role."""
     t, v = (F.col("role") == r for r in ("train", "valid"))

@@ -95,3 +95,23 @@ def transforms(name: str):
         "sqrt": (lambda c: F.sqrt(up(c)), lambda c: up(c) * up(c)),
         "log1p": (lambda c: F.log1p(up(c)), lambda c: up(F.expm1(c))),
     }[name]
+
+
+def probability_ensemble(df: DataFrame, key: list[str], label: str, p: str) -> DataFrame:
+    """The class with the greatest mean probability over the seeds of a row (the least of equals), and that mean. Rows: key, seed, label, p."""
+    means = df.groupBy(*key, label).agg(F.avg(p).alias("_p"))
+    return means.groupBy(*key).agg(F.min(F.struct((-F.col("_p")).alias("p"), F.col(label).alias("v"))).alias("_b")).select(*key, F.col("_b.v").alias("prediction"), (-F.col("_b.p")).alias("probability"))
+
+
+def recursion_choice(df: DataFrame, step: str, y: str, recursive: str, last_known: str) -> DataFrame:
+    """A row a step and one for all (step null): the MAE of recursive predictions and of the last known value, and which is better; equals go to recursion."""
+    err = lambda p: F.avg(F.abs(F.col(y) - F.col(p)))
+    out = df.rollup(step).agg(F.count("*").alias("n"), err(recursive).alias("recursive_mae"), err(last_known).alias("last_known_mae"))
+    return out.withColumn("choice", F.when(F.col("recursive_mae") <= F.col("last_known_mae"), "recursive").otherwise("last_known"))
+
+
+def transform_choice(df: DataFrame, transform: str, y: str, p: str, scored: str) -> DataFrame:
+    """transform, mae over scored rows, and whether it is the least (of equals the first by name)."""
+    mae = df.where(F.col(scored)).groupBy(transform).agg(F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"))
+    best = mae.agg(F.min(F.struct("mae", transform)).alias("b"))
+    return mae.crossJoin(F.broadcast(best)).select(transform, "mae", (F.col(transform) == F.col(f"b.{transform}")).alias("chosen"))

@@ -14,7 +14,13 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import metrics
+from tessera.operators.folds import assign, purged, stored
+from tessera.sources.shared import own_path
+
+# fixed values
 SEEDS = (42, 7, 123)
+ENSEMBLE_SEEDS = (42, 7, 123, 2024, 999)
 
 
 def assembler(df: DataFrame, features: list[str], categorical: list[str] | None = None) -> list:
@@ -51,7 +57,9 @@ def fit_predict(train: DataFrame, rows: DataFrame, features: list[str], model, c
 
 
 def cv_oof(assigned: DataFrame, key: list[str], target: str, features: list[str], seeds: tuple[int, ...] = SEEDS[:1], **settings) -> DataFrame:
-    """Out-of-fold predictions (key, fold_id, seed, target, prediction) of rows from folds.assign(): one fit a fold and seed."""
+    """Out-of-fold predictions (key, fold_id, seed, target, prediction) of rows from folds.assign(): one fit a fold and seed. The rows are
+    written once (folds.stored), so that fits read their fold's files and don't make its features again."""
+    assigned = stored(assigned)
     ids = [r[0] for r in assigned.select("fold_id").distinct().orderBy("fold_id").collect()]
     out = []
     for f in ids:
@@ -71,6 +79,7 @@ def ridge(df: DataFrame, target: str, features: list[str], alpha: float):
 
 def ridge_probe(assigned: DataFrame, target: str, features: list[str], alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> DataFrame:
     """alpha, mae over the folds' validation rows: scored on the folds that all models are scored on."""
+    assigned = stored(assigned)
     ids = [r[0] for r in assigned.select("fold_id").distinct().orderBy("fold_id").collect()]
     out = []
     for f in ids:
@@ -87,7 +96,7 @@ def importance(fitted, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, map(float, values), strict=False), key=lambda x: (-x[1], x[0]))
 
 
-def adversarial(train: DataFrame, val: DataFrame, key: str, features: list[str], folds: int = 3, rounds: int = 10) -> DataFrame:
+def adversarial(train: DataFrame, val: DataFrame, key: str, features: list[str], folds: int = 5, rounds: int = 10) -> DataFrame:
     """(key, is_train, score): out-of-fold probability that a row is from train."""
     from tessera.functions.expr import hash_fold
 
@@ -114,8 +123,8 @@ def search(assigned: DataFrame, key: list[str], target: str, features: list[str]
 
 
 def recursive_forecast(train: DataFrame, val: DataFrame, groups: list[str], axis: str, target: str, lags: list[int], rounds: int = 10, ceiling: float = 10.0) -> DataFrame:
-    """val with predictions, period by period: each period's lags read the predictions before it. Every few periods the history is cut loose
-    from its plan by a reliable checkpoint."""
+    """val with predictions, period by period: each period's lags read the predictions before it. Every few periods they are
+    written to the shared folder and read again, so that plans don't grow with the periods."""
     from tessera.functions.expr import ordered
 
     names = [f"lag_{k}" for k in lags]
@@ -130,7 +139,10 @@ def recursive_forecast(train: DataFrame, val: DataFrame, groups: list[str], axis
         recent = history.where(F.col(axis) >= p - max(lags)).unionByName(rows)
         step = recent.select("*", *(F.lag(target, k).over(w).alias(n) for k, n in zip(lags, names, strict=True))).where(F.col(axis) == p)
         made = model.transform(filled(step, names)).select(*groups, axis, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(ceiling * top)).alias("prediction"))
-        made = made.checkpoint() if made.sparkSession.sparkContext.getCheckpointDir() and i % 3 == 2 else made
+        if i % 3 == 2:
+            path = own_path(made.sparkSession, "steps")
+            made.write.parquet(path)
+            made = made.sparkSession.read.schema(made.schema).parquet(path)
         out.append(made)
         history = history.unionByName(made.withColumnRenamed("prediction", target))
     return reduce(DataFrame.union, out)
@@ -147,3 +159,76 @@ def ablation(assigned: DataFrame, key: list[str], target: str, families: dict[st
     base = mae(every).withColumnRenamed("mae", "base")
     out = [mae([c for c in every if c not in cols]).join(base, "fold_id").select(F.lit(f).alias("family"), "fold_id", (F.col("mae") - F.col("base")).alias("delta")) for f, cols in families.items()]
     return reduce(DataFrame.union, out)
+
+
+def ridge_terms(fitted, features: list[str], n: int = 10) -> list[tuple[str, float]]:
+    """The n features with the largest coefficients by size."""
+    found = zip(features, map(float, fitted.stages[-1].coefficients), strict=True)
+    return sorted(found, key=lambda x: (-abs(x[1]), x[0]))[:n]
+
+
+def early_rounds(train: DataFrame, target: str, features: list[str], stop_on: str, most: int = 100, **settings) -> int:
+    """How many rounds a model is worth: a tenth more than those after which the rows flagged by ``stop_on`` gain no more."""
+    fitted = Pipeline(stages=[*assembler(train, features), gbt(target, rounds=most, stop_on=stop_on, **settings)]).fit(filled(train, features))
+    return max(1, int(fitted.stages[-1].getNumTrees * 1.1))
+
+
+def settled(found: list[dict]) -> dict:
+    """One setting from those of several folds or seeds: the median of each number, whole where all are."""
+    out = {}
+    for k in found[0] if found else ():
+        values = sorted(s[k] for s in found)
+        middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+        out[k] = round(middle) if all(isinstance(v, int) for v in values) else middle
+    return out
+
+
+def search_by_fold(assigned: DataFrame, key: list[str], target: str, features: list[str], trials: int = 8, seed: int = 42, seconds: float | None = None) -> dict:
+    """search() in each fold by itself, then the median of the folds' settings; no new fold is begun after ``seconds``."""
+    import time
+
+    began, found = time.monotonic(), []
+    for f in [r[0] for r in assigned.select("fold_id").distinct().orderBy("fold_id").collect()]:
+        if found and seconds is not None and time.monotonic() - began > seconds:
+            break
+        found.append(search(assigned.where(F.col("fold_id") == f), key, target, features, trials, seed)[0])
+    return settled(found)
+
+
+def transform_probe(train: DataFrame, valid: DataFrame, key: list[str], target: str, features: list[str], scored: str, rounds: int = 20) -> DataFrame:
+    """metrics.transform_choice() of one model a transform of the target, fitted on train and put back to the target's own scale on valid."""
+    out = []
+    for name in ("none", "sqrt", "log1p"):
+        forth, back = metrics.transforms(name)
+        p = fit_predict(train.withColumn("_z", forth(F.col(target))), valid, features, gbt("_z", rounds=rounds))
+        out.append(p.select(*key, F.lit(name).alias("transform"), target, scored, back(F.col("prediction")).alias("prediction")))
+    return metrics.transform_choice(reduce(DataFrame.union, out), "transform", target, "prediction", scored)
+
+
+def strict_cv(df: DataFrame, rank: str, periods: int, key: list[str], target: str, features: list[str], splits: int = 4, embargo: int = 2, **settings) -> DataFrame:
+    """fold_id, n, mae, rmse and so on of a re-run on purged walk-forward folds with the settings that were reported."""
+    from tessera.operators.folds import oof_metrics
+
+    return oof_metrics(cv_oof(assign(df, rank, purged(periods, splits, embargo)), key, target, features, **settings), target, "prediction")
+
+
+def without_each(df: DataFrame, rank: str, periods: int, key: list[str], target: str, shares: dict[str, float], least: float = 0.30, **settings) -> DataFrame:
+    """feature, share, loo_delta, relative: how much the MAE of strict_cv() changes without each feature that has ``least`` of all importance."""
+    features = list(shares)
+    mae = lambda names: strict_cv(df, rank, periods, key, target, names, **settings).agg(F.avg("mae")).first()[0]
+    chosen = [f for f in features if shares[f] >= least and len(features) > 1]
+    base = mae(features) if chosen else 0.0
+    rows = [(f, shares[f], mae([x for x in features if x != f]) - base) for f in chosen]
+    return df.sparkSession.createDataFrame([(*r, abs(r[2]) / base if base else None) for r in rows], "feature string, share double, loo_delta double, relative double")
+
+
+def retuned(settings: dict, verdicts: set[str], suspects: list[str]) -> dict:
+    """What a second cycle changes: the seeds' median where the cross-validation is at risk, wider bounds where it failed, and without suspect features."""
+    out = dict(settings)
+    if "CV_RISK" in verdicts:
+        out["ensemble"] = "median"
+    if "CV_INVALID" in verdicts:
+        out["bounds"] = "wide"
+    if suspects:
+        out["without"] = sorted(set(suspects))
+    return out

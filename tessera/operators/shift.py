@@ -94,19 +94,23 @@ def weights_from_scores(df: DataFrame, score: str, auc: float | None = None, auc
     return df.crossJoin(F.broadcast(mean)).withColumn("weight", raw / F.col("_mean")).drop("_mean")
 
 
+# fixed values: patterns of names that tell of the future, and marks of features that are made from the target's past
+FUTURE = (
+    r"_lead[_\d]",
+    r"[_\b]future",
+    r"_t\+\d+",
+    r"_lag_?0\b",
+    r"\blag0\b",
+    r"[_\b]leak[_\b]?",
+)
+DERIVED = r"_lag\d+|_roll|_mean|_std|_min|_max|_enc"
+
+
 def structural_leaks(names: list[str], target: str) -> list[tuple[str, str]]:
-    """(column, why) of columns whose names tell of the future or of the target."""
-    # fixed values: patterns of names
-    patterns = {r"(^|_)(future|next|lead|ahead)(_|$)": "names the future", r"(^|_)(actual|truth|label|outcome|result)(_|$)": "names the outcome", r"(^|_)post(_|$)": "names what comes after"}
-    out = []
-    for n in names:
-        low = n.lower()
-        why = next((w for p, w in patterns.items() if re.search(p, low)), None)
-        if why is None and target.lower() in low and low != target.lower() and not re.search(r"lag|roll|mean|std|enc", low):
-            why = "holds the target's name"
-        if why:
-            out.append((n, why))
-    return out
+    """(column, why) of columns whose names tell of the future or, without a mark of a feature made from the past, of the target."""
+    future, made = re.compile("|".join(FUTURE)), re.compile(DERIVED)
+    whys = ((n, "names the future" if future.search(n.lower()) else "holds the target's name" if target.lower() in n.lower() != target.lower() and not made.search(n.lower()) else None) for n in names)
+    return [(n, why) for n, why in whys if why]
 
 
 def leakage_risks(columns: list[str], target: str, time_in_val_before_train_end: bool, groups_overlap: bool) -> list[str]:

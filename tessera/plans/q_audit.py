@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, folds, metrics
@@ -141,11 +142,11 @@ def _(t):
     return audit.fold_drift(predicted(t), "y", "p")
 
 
-_IMP = "imp as (select fold_id, 'g' || g as feature, round(avg(y), 0) as importance from pred where g < 12 group by 1, 2)"
+_IMP = "imp as (select fold_id, 'g' || g as feature, round(avg(y), 0) as importance from pred group by 1, 2)"
 
 
 def _importance(t):
-    return predicted(t).where("g < 12").groupBy("fold_id", F.concat(F.lit("g"), F.col("g")).alias("feature")).agg(F.round(F.avg("y"), 0).alias("importance"))
+    return predicted(t).groupBy("fold_id", F.concat(F.lit("g"), F.col("g")).alias("feature")).agg(F.round(F.avg("y"), 0).alias("importance"))
 
 
 _SPEAR = f"{PRED_SQL}, {_IMP}, j as (select a.fold_id as fold_a, b.fold_id as fold_b, a.importance as x, b.importance as y from imp a join imp b on a.feature = b.feature and a.fold_id < b.fold_id), r as (select fold_a, fold_b, rank() over (partition by fold_a, fold_b order by x) + (count(*) over (partition by fold_a, fold_b, x) - 1) / 2.0 as rx, rank() over (partition by fold_a, fold_b order by y) + (count(*) over (partition by fold_a, fold_b, y) - 1) / 2.0 as ry from j), s as (select fold_a, fold_b, corr(rx, ry) as spearman from r group by 1, 2)"
@@ -198,3 +199,25 @@ def _(t):
     (fs, bs), (fl, bl) = metrics.transforms("sqrt"), metrics.transforms("log1p")
     y = F.col("y")
     return rounded(predicted(t).select("g", "t", fs(y).alias("s"), fl(y).alias("l"), bs(fs(y)).alias("back_s"), bl(fl(y)).alias("back_l")))
+
+
+@query("recursion_choice", f"with {PRED_SQL}, r as (select t, y, p, avg(y) over (partition by g order by t rows between 3 preceding and 1 preceding) as r from pred), e as (select * from r where r is not null and t >= 60), s as (select t, count(*) as n, avg(abs(y - r)) as a, avg(abs(y - p)) as b from e group by rollup (t)) select t, n, round(a, 4) as recursive_mae, round(b, 4) as last_known_mae, case when a <= b then 'recursive' else 'last_known' end as choice from s")
+def _(t):
+    r = predicted(t).withColumn("r", F.avg("y").over(Window.partitionBy("g").orderBy("t").rowsBetween(-3, -1))).where("r is not null and t >= 60")
+    return rounded(metrics.recursion_choice(r, "t", "y", "r", "p"))
+
+
+@query("transform_choice", f"with {PRED_SQL}, s as (select t % 2 = 0 as scored, y, p * f as p, name from pred, (values ('none', 1.0), ('sqrt', 0.97), ('log1p', 0.9)) v(name, f)), m as (select name as transform, avg(abs(y - p)) as mae from s where scored group by 1) select transform, round(mae, 4) as mae, transform = (select arg_min(transform, mae) from m) as chosen from m")
+def _(t):
+    names = F.array(*(F.struct(F.lit(n).alias("transform"), F.lit(f).alias("f")) for n, f in (("none", 1.0), ("sqrt", 0.97), ("log1p", 0.9))))
+    s = predicted(t).select("t", "y", "p", F.inline(names)).select("transform", "y", (F.col("p") * F.col("f")).alias("p"), (F.col("t") % 2 == 0).alias("scored"))
+    return rounded(metrics.transform_choice(s, "transform", "y", "p", "scored"))
+
+
+@query("probability_ensemble", "with s as (select vec_id, s, k, ((vec_id * 31 + s * 17 + k * 7) % 101) / 101.0::double as p from embeddings, range(3) a(s), range(4) b(k)), m as (select vec_id, k, avg(p) as p from s group by 1, 2), b as (select vec_id, max(p) as top from m group by 1) select m.vec_id, min(k)::bigint as prediction, round(max(p), 4) as probability from m join b on m.vec_id = b.vec_id and abs(p - top) < 1e-12 group by 1")
+def _(t):
+    seeds, labels = (F.array(*(F.lit(i).cast("long") for i in range(n))) for n in (3, 4))
+    s = t("embeddings").select("vec_id", F.explode(seeds).alias("s")).select("vec_id", "s", F.explode(labels).alias("k"))
+    s = s.withColumn("p", (F.col("vec_id") * 31 + F.col("s") * 17 + F.col("k") * 7) % 101)  # sums of whole numbers, so equals are equal
+    out = metrics.probability_ensemble(s, ["vec_id"], "k", "p")
+    return rounded(out.withColumn("probability", F.col("probability") / 101.0))

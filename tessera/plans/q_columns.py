@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import axis, profile, roles
+from tessera.operators import axis, features, profile, roles
 from tessera.plans.panels import DAILY_SQL, daily, month_index, rounded
 from tessera.plans.registry import query
 
@@ -86,7 +86,7 @@ def _(t):
     return roles.infer_target(train, train.select("o_orderkey"))
 
 
-@query("file_like_pages_url", "select round(avg((lower(url) similar to '.*[.](png|jpg|jpeg|gif|bmp|tif|tiff|csv|txt|json|pdf|wav|mp3)')::int), 4) as share, avg((lower(url) similar to '.*[.](png|jpg|jpeg|gif|bmp|tif|tiff|csv|txt|json|pdf|wav|mp3)')::int) >= 0.5 as file_like from pages")
+@query("file_like_pages_url", "select round(avg((lower(url) similar to '.*[.](png|jpg|jpeg|gif|bmp|tif|tiff|webp|wav|mp3|mp4|pdf|npz|npy|h5|parquet)')::int), 4) as share, avg((lower(url) similar to '.*[.](png|jpg|jpeg|gif|bmp|tif|tiff|webp|wav|mp3|mp4|pdf|npz|npy|h5|parquet)')::int) >= 0.5 as file_like from pages")
 def _(t):
     return rounded(roles.file_like(t("pages"), "url"))
 
@@ -163,3 +163,23 @@ def _(t):
     spark = d.sparkSession
     entries = {r.id: str(r.day) for r in d.where(F.dayofmonth("day") != 7).select(ident.alias("id"), "day").distinct().collect()}
     return axis.codebook_features(d.select("event_type", ident.alias("id")), axis.codebook(spark, entries), "id")
+
+
+@query("feature_contract", """
+with c as (select c_custkey, c_mktsegment, c_nationkey, case when c_custkey % 7 = 0 then null else c_acctbal end as b, 'n' || c_custkey as name from customer)
+select * from (values ('b', true, true, false), ('c_mktsegment', false, false, true), ('c_nationkey', false, false, true), ('name', false, false, (select count(distinct name) <= 50 from c where c_custkey % 4 <> 0))) v("column", "impute", "scale", "encode")""")
+def _(t):
+    c = t("customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("b"), F.concat(F.lit("n"), "c_custkey").alias("name"), F.col("c_acctbal").alias("y"))
+    return features.contract(c.where("c_custkey % 4 <> 0"), c.where("c_custkey % 4 = 0").drop("y"), "y", ["c_nationkey"], ("c_custkey",))
+
+
+@query("generic_ranks_numbers", "select p, (dense_rank() over (order by n) - 1)::int as period_rank from (select distinct l_linenumber::varchar || '0' as p, l_linenumber * 10 as n from lineitem)")
+def _(t):
+    p = t("lineitem").select(F.concat(F.col("l_linenumber").cast("string"), F.lit("0")).alias("p"))
+    return axis.generic_ranks(p, p.limit(0), "p")
+
+
+@query("generic_ranks_dates", "select strftime(d, '%d %b %Y') as label, strftime(d, '%Y-%m-%d') as p, (dense_rank() over (order by d) - 1)::int as period_rank from (select distinct cast(ts as date) as d from events)")
+def _(t):
+    p = t("events").select(F.date_format("ts", "yyyy-MM-dd").alias("p"))
+    return axis.generic_ranks(p, p.limit(0), "p").select(F.date_format(F.to_date("p"), "dd MMM yyyy").alias("label"), "p", "period_rank")

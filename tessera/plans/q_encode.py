@@ -29,47 +29,73 @@ def _(t):
     return folds.group_folds(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey")
 
 
-def _spans_sql(spans) -> str:
-    cells = ", ".join(f"({s.fold_id}, {s.train_from}, {s.train_to}, {s.valid_from}, {s.valid_to})" for s in spans)
-    return f"with {MONTHLY_SQL}, f(fold_id, fa, fb, fc, fd) as (values {cells}) select fold_id::int as fold_id, count(*) filter (t >= fa and t < fb) as n_train, count(*) filter (t >= fc and t < fd) as n_valid, min(t) filter (t >= fa and t < fb) as train_min, max(t) filter (t >= fa and t < fb) as train_max, min(t) filter (t >= fc and t < fd) as valid_min, max(t) filter (t >= fc and t < fd) as valid_max from monthly, f where t >= fa and t < fb or t >= fc and t < fd group by 1"
+def _spans_sql(spans: str) -> str:
+    """spans: SQL for rows (fold_id, fa, fb, fc, fd), of n, the number of periods, written without the code that makes them."""
+    inside = lambda a, b: f"t >= {a} and t < {b}"
+    train, valid = inside("fa", "fb"), inside("fc", "fd")
+    return (
+        f"with {MONTHLY_SQL}, p as (select max(t) + 1 as n from monthly), f as ({spans}) select fold_id::int as fold_id, count(*) filter ({train}) as n_train, count(*) filter ({valid}) as n_valid, "
+        f"min(t) filter ({train}) as train_min, max(t) filter ({train}) as train_max, min(t) filter ({valid}) as valid_min, max(t) filter ({valid}) as valid_max from monthly, f where {train} or {valid} group by 1"
+    )
 
 
-# spans written out, so that the SQL doesn't share the code that makes them: 80 months, 5 folds of 6 months, a gap of 1
-_EXPANDING = [folds.Span(0, 0, 49, 50, 56), folds.Span(1, 0, 55, 56, 62), folds.Span(2, 0, 61, 62, 68), folds.Span(3, 0, 67, 68, 74), folds.Span(4, 0, 73, 74, 80)]
-_SLIDING = [folds.Span(s.fold_id, s.train_to - 18, s.train_to, s.valid_from, s.valid_to) for s in _EXPANDING]
-_ROLLING = [folds.Span(0, 0, 6, 7, 13), folds.Span(1, 0, 12, 13, 19), folds.Span(2, 0, 18, 19, 25), folds.Span(3, 0, 24, 25, 31), folds.Span(4, 0, 30, 31, 37)]
-_PURGED = [folds.Span(0, 0, 14, 16, 32), folds.Span(1, 0, 30, 32, 48), folds.Span(2, 0, 46, 48, 64), folds.Span(3, 0, 62, 64, 80)]
+# 5 folds of 6 months with a gap of 1
+_EXPANDING = "select i as fold_id, 0 as fa, n - 6 * (5 - i) - 1 as fb, n - 6 * (5 - i) as fc, n - 6 * (4 - i) as fd from p, range(5) r(i)"
+_SLIDING = "select i as fold_id, n - 6 * (5 - i) - 19 as fa, n - 6 * (5 - i) - 1 as fb, n - 6 * (5 - i) as fc, n - 6 * (4 - i) as fd from p, range(5) r(i)"
+_ROLLING = "select i as fold_id, 0 as fa, 6 * i + 6 as fb, 6 * i + 7 as fc, 6 * i + 13 as fd from range(5) r(i)"
+# 4 folds, the first fifth of the periods before them, 2 left out
+_PURGED = "select i as fold_id, 0 as fa, n // 5 + i * ((n - n // 5) // 4) - 2 as fb, n // 5 + i * ((n - n // 5) // 4) as fc, case when i = 3 then n else n // 5 + (i + 1) * ((n - n // 5) // 4) end as fd from p, range(4) r(i)"
+
+
+def _periods(m) -> int:
+    return m.agg(F.max("t")).first()[0] + 1
 
 
 @query("folds_expanding", _spans_sql(_EXPANDING))
 def _(t):
-    return folds.fold_sizes(folds.assign(monthly(t), "t", folds.expanding(80, 5, 6, 1)), "t")
+    m = monthly(t)
+    return folds.fold_sizes(folds.assign(m, "t", folds.expanding(_periods(m), 5, 6, 1)), "t")
 
 
 @query("folds_sliding", _spans_sql(_SLIDING))
 def _(t):
-    return folds.fold_sizes(folds.assign(monthly(t), "t", folds.expanding(80, 5, 6, 1, 18)), "t")
+    m = monthly(t)
+    return folds.fold_sizes(folds.assign(m, "t", folds.expanding(_periods(m), 5, 6, 1, 18)), "t")
 
 
 @query("folds_rolling_origin", _spans_sql(_ROLLING))
 def _(t):
-    return folds.fold_sizes(folds.assign(monthly(t), "t", folds.rolling_origin(80, 5, 6, 1)), "t")
+    m = monthly(t)
+    return folds.fold_sizes(folds.assign(m, "t", folds.rolling_origin(_periods(m), 5, 6, 1)), "t")
 
 
 @query("folds_purged_embargo", _spans_sql(_PURGED))
 def _(t):
-    return folds.fold_sizes(folds.assign(monthly(t), "t", folds.purged(80, 4)), "t")
+    m = monthly(t)
+    return folds.fold_sizes(folds.assign(m, "t", folds.purged(_periods(m), 4)), "t")
 
 
 @query("fold_invariants", "select fold_id, train_max + 1 < valid_min as ordered, n_train, n_valid from (" + _spans_sql(_EXPANDING) + ")")
 def _(t):
-    return folds.invariants(folds.assign(monthly(t), "t", folds.expanding(80, 5, 6, 1)), "t", 1)
+    m = monthly(t)
+    return folds.invariants(folds.assign(m, "t", folds.expanding(_periods(m), 5, 6, 1)), "t", 1)
+
+
+@query("folds_stored", _spans_sql(_EXPANDING))
+def _(t):
+    m = monthly(t)
+    return folds.fold_sizes(folds.stored(folds.assign(m, "t", folds.expanding(_periods(m), 5, 6, 1))), "t")
+
+
+@query("holdout_split", f"with {MONTHLY_SQL}, p as (select max(t) + 1 as n from monthly) select t >= floor(0.8 * n) as valid, count(*) as n, min(t) as first, max(t) as last from monthly, p group by 1")
+def _(t):
+    m = monthly(t)
+    return m.groupBy((F.col("t") >= folds.holdout_cut(_periods(m))).alias("valid")).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
-@query("holdout_split", f"with {MONTHLY_SQL} select t >= 64 as valid, count(*) as n, min(t) as first, max(t) as last from monthly where t < 80 group by 1")
+@query("mean_group_length", "select round(avg(n), 4) as mean_length, greatest(1, floor(avg(n) / 6))::int as valid_size from (select o_orderpriority, count(*) as n from orders group by 1)")
 def _(t):
-    m = monthly(t).where("t < 80")
-    return m.groupBy((F.col("t") >= folds.holdout_cut(80)).alias("valid")).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    return rounded(folds.mean_length(t("orders"), ["o_orderpriority"]))
 
 
 _METRICS = f"{PRED_SQL}, m as (select fold_id, count(*) as n, avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse, avg(p) as pred_mean, stddev_samp(p) as pred_std from pred group by 1)"

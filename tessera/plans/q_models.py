@@ -8,6 +8,7 @@ from tessera.operators import features, folds, metrics, model
 from tessera.plans.panels import daily_ranked, rounded
 from tessera.plans.registry import query
 
+ROUNDS = 5  # boosting rounds of these queries; the operators' own default is 20
 _F = ["lag_1", "lag_2", "roll_mean_4"]
 
 
@@ -24,27 +25,46 @@ def _(t):
     return rounded(out.select("event_type", "t", "y", "prediction"))
 
 
+def _folded(t):
+    return folds.assign(_panel(t), "t", folds.expanding(30, 5, 4, 1))
+
+
 @query("nested_cv_oof")
 def _(t):
-    a = folds.assign(_panel(t), "t", folds.expanding(30, 2, 4, 1))
-    oof = model.cv_oof(a, ["event_type", "t"], "y", _F, model.SEEDS[:2], rounds=5)
+    oof = model.cv_oof(_folded(t), ["event_type", "t"], "y", _F, model.SEEDS, rounds=ROUNDS)
     out = metrics.seed_ensemble(oof, ["event_type", "t", "fold_id", "y"], "prediction")
     return rounded(out)
 
 
 @query("ridge_alpha_probe")
 def _(t):
-    return rounded(model.ridge_probe(folds.assign(_panel(t), "t", folds.expanding(30, 2, 4, 1)), "y", _F, (0.1, 10.0)))
+    return rounded(model.ridge_probe(_folded(t), "y", _F))
 
 
 @query("adversarial_auc")
 def _(t):
     o = t("orders").select("o_orderkey", "o_totalprice", F.month("o_orderdate").alias("m"), F.col("o_custkey").cast("double").alias("c"), "o_orderdate")
     late = F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
-    s = model.adversarial(o.where(~late), o.where(late), "o_orderkey", ["o_totalprice", "m", "c"], 2, 5)
+    s = model.adversarial(o.where(~late), o.where(late), "o_orderkey", ["o_totalprice", "m", "c"])
     return rounded(metrics.roc_auc(s, "is_train", "score"))
 
 
+@query("transform_probe")
+def _(t):
+    p = _panel(t).withColumn("scored", F.lit(True))
+    return rounded(model.transform_probe(p.where("t < 24"), p.where("t >= 24"), ["event_type", "t"], "y", _F, "scored", ROUNDS))
+
+
+@query("strict_cv")
+def _(t):
+    return rounded(model.strict_cv(_panel(t), "t", 30, ["event_type", "t"], "y", _F, rounds=ROUNDS))
+
+
+@query("leave_one_out")
+def _(t):
+    return rounded(model.without_each(_panel(t), "t", 30, ["event_type", "t"], "y", {"lag_1": 0.45, "lag_2": 0.2, "roll_mean_4": 0.35}, rounds=ROUNDS))
+
+
 @query("recursive_forecast")
 def _(t):
     p = daily_ranked(t).select("event_type", "t", "y")
@@ -53,13 +73,12 @@ def _(t):
 
 @query("family_ablation")
 def _(t):
-    a = folds.assign(_panel(t), "t", folds.expanding(30, 2, 4, 1))
-    return rounded(model.ablation(a, ["event_type", "t"], "y", {"lags": ["lag_1", "lag_2"], "rolls": ["roll_mean_4"]}, 3))
+    return rounded(model.ablation(_folded(t), ["event_type", "t"], "y", {"lags": ["lag_1", "lag_2"], "rolls": ["roll_mean_4"]}, ROUNDS))
 
 
 @query("multiclass_forest")
 def _(t):
-    e = t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
+    e = t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
     train = e.where("vec_id % 5 <> 0")
-    out = model.fit_predict(train, e.where("vec_id % 5 = 0"), [f"e{i}" for i in range(8)], model.classifier(train, "label", rounds=5))
+    out = model.fit_predict(train, e.where("vec_id % 5 = 0"), [f"e{i}" for i in range(64)], model.classifier(train, "label", rounds=5))
     return out.select("vec_id", "label", "prediction")

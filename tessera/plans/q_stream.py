@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import ORACLES, QUERIES
+from tessera.sources.shared import own_path
 from tessera.streaming.daily import daily_stream, run_available, stream_of
 
 
 def _daily(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = f"{(root or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    own = own_path(spark, "stream")
     run_available(daily_stream(stream_of(spark, f"{sf_dir}/events.parque[t]", schema)), f"{own}/sink", f"{own}/checkpoint")
-    return spark.read.parquet(f"{own}/sink").where(F.col("day") < F.lit("2024-01-28").cast("date")).withColumn("y", F.round("y", 4))
+    return spark.read.parquet(f"{own}/sink").withColumn("y", F.round("y", 4))
 
 
 QUERIES["stream_daily_closed"] = _daily
-ORACLES["stream_daily_closed"] = "select event_type, cast(ts as date) as day, count(*) as n, round(sum(value), 4) as y from events where ts < timestamp '2024-01-28' group by 1, 2"
+# a day is closed once the watermark, a day behind the latest event, has passed its end
+ORACLES["stream_daily_closed"] = "select event_type, cast(ts as date) as day, count(*) as n, round(sum(value), 4) as y from events where cast(ts as date) + interval 1 day <= (select max(ts) from events) - interval 1 day group by 1, 2"

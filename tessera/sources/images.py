@@ -73,26 +73,44 @@ STATISTICS = [
 ]
 
 
+def _spread(counts: np.ndarray) -> float:
+    """The deviation of positions, given how many lie at each."""
+    n = counts.sum()
+    at = np.arange(len(counts))
+    mean = (counts * at).sum() / max(n, 1)
+    return float(np.sqrt((counts * (at - mean) ** 2).sum() / n)) if n > 1 else 0.0
+
+
 def statistics(image: np.ndarray, dark: float = 0.25, bright: float = 0.75) -> dict[str, float | None]:
-    """Levels, quadrants, middle against rim, bright and dark shares and their spread; of colours also how channels differ."""
-    x = image[:, :, :3].astype(float) / 255 if image.shape[2] >= 3 else image[:, :, :1].astype(float) / 255
-    colour = x.shape[2] == 3
-    g = x @ np.array([0.299, 0.587, 0.114]) if colour else x[:, :, 0]
-    h, w = g.shape
-    p01, p25, p50, p75, p99 = np.percentile(g, [1, 25, 50, 75, 99])
-    out = [g.mean(), g.std(), p01, p50, p99, p75 - p25]
-    for rows in (slice(0, h // 2), slice(h // 2, h)):
-        for cols in (slice(0, w // 2), slice(w // 2, w)):
-            part = g[rows, cols]
-            out += [part.mean(), part.std()] if part.size else [0.0, 0.0]
-    rim = np.ones_like(g, bool)
-    rim[max(1, h // 4) : h - max(1, h // 4), max(1, w // 4) : w - max(1, w // 4)] = False
-    middle, edge = (g[~rim].mean() if (~rim).any() else 0.0), g[rim].mean()
-    ys, xs = np.nonzero(g > bright)
-    out += [middle, edge, middle / (edge + 1e-9), (g > bright).mean(), (g < dark).mean(), xs.std() if len(xs) > 1 else 0.0, ys.std() if len(ys) > 1 else 0.0]
-    means = x.mean((0, 1))
-    out += [float(np.ptp(means)), x.var(2).mean()] if colour else [None, None]
-    return dict(zip(STATISTICS, (None if v is None else float(v) for v in out), strict=True))
+    """Levels, quadrants, middle against rim, bright and dark shares and their spread; of colours also how channels differ.
+
+    Every pixel has a label, twice its quadrant and whether it is in the middle half; counts, sums and sums of squares by label give all means.
+    """
+    planes = np.moveaxis(image[:, :, : 3 if image.shape[2] >= 3 else 1].astype(float) / 255, 2, 0)
+    luma = (0.299, 0.587, 0.114) if len(planes) == 3 else (1.0,)
+    level = np.tensordot(luma, planes, 1)
+    h, w = level.shape
+    y, x = np.ogrid[:h, :w]
+    inner = [(p >= max(1, n // 4)) & (p < n - max(1, n // 4)) for p, n in ((y, h), (x, w))]
+    label = (4 * (y >= h // 2) + 2 * (x >= w // 2) + (inner[0] & inner[1])).ravel()
+    n, total, squares = (np.bincount(label, v, 8).reshape(4, 2) for v in (None, level.ravel(), level.ravel() ** 2))
+    ratio = lambda a, b: float(a / b) if b else 0.0
+    found: dict[str, float | None] = dict.fromkeys(STATISTICS)
+    for i, q in enumerate(("tl", "tr", "bl", "br")):
+        mean = ratio(total[i].sum(), n[i].sum())
+        found[f"img_{q}_mean"], found[f"img_{q}_std"] = mean, max(0.0, ratio(squares[i].sum(), n[i].sum()) - mean**2) ** 0.5
+    found["img_center"], found["img_edge"] = ratio(total[:, 1].sum(), n[:, 1].sum()), ratio(total[:, 0].sum(), n[:, 0].sum())
+    found["img_center_to_edge"] = found["img_center"] / (found["img_edge"] + 1e-9)
+    found["img_mean"] = ratio(total.sum(), h * w)
+    found["img_std"] = max(0.0, ratio(squares.sum(), h * w) - found["img_mean"] ** 2) ** 0.5
+    quarters = dict(zip(("p01", "p25", "median", "p75", "p99"), np.quantile(level, (0.01, 0.25, 0.5, 0.75, 0.99)).tolist(), strict=True))
+    found |= {f"img_{k}": quarters[k] for k in ("p01", "median", "p99")} | {"img_iqr": quarters["p75"] - quarters["p25"]}
+    lit = level > bright
+    found |= {"img_bright": float(lit.mean()), "img_dark": float((level < dark).mean()), "img_bright_x": _spread(lit.sum(0)), "img_bright_y": _spread(lit.sum(1))}
+    if len(planes) == 3:
+        means = planes.mean((1, 2))
+        found |= {"img_channel_range": float(means.max() - means.min()), "img_channel_variance": float(((planes - planes.mean(0)) ** 2).mean())}
+    return found
 
 
 def image_folders(spark: SparkSession, root: str, least: int = 10) -> DataFrame:
