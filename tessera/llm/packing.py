@@ -34,7 +34,7 @@ LENGTH = 2048
 END_ID = 1
 QUEUES = 128
 BLOCK = 256
-SLICE_ROWS = 10_000  # documents of a queue in a slice, about
+SLICE_ROWS = 4000  # documents in a slice, about, were all in one queue
 
 
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None = END_ID) -> DataFrame:
@@ -166,7 +166,7 @@ def placed(held: DataFrame, targets: dict[str, float] | None = None, length: int
     """
     counted = materialise(held.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")), "sources")
     number, shared, phases = queues_of(counted, targets, length)
-    slices = max(64, 1 << ((counted.agg(F.sum("n")).first()[0] or 1) // SLICE_ROWS).bit_length())
+    slices = max(16, 1 << ((counted.agg(F.sum("n")).first()[0] or 1) // SLICE_ROWS).bit_length())
     known = F.create_map(*[x for s, i in number.items() if s is not None for x in (F.lit(s), F.lit(i))]) if any(s is not None for s in number) else F.lit(None).cast("map<string,int>")
     queue = F.when(F.col("source").isNull(), F.lit(number.get(None, shared))).otherwise(F.coalesce(F.element_at(known, F.col("source")), F.lit(shared)))
     h = F.xxhash64("doc_id")
