@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.joins import lookup
 from tessera.llm.store import materialise, trim
 from tessera.llm.text import SHINGLE_WORDS, mix, shingle_sets, slices
 
@@ -385,8 +386,8 @@ def voronoi(rows: DataFrame, held: DataFrame, words: int, percent: int) -> DataF
 
     measured = texts.select("region", "doc_id", "n", "weight", "act", "text", "pivots").mapInArrow(measure, "region long, pivot long, doc_id long, n long, weight long, kind int, act boolean, core boolean, d double")
     measured = materialise(measured, "measured")
-    radius = measured.groupBy("region", "pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("radius"), F.max("act").alias("any")).where("any").drop("any")
-    found = measured.join(radius, ["region", "pivot"]).where(F.col("d") <= F.col("radius") + far + 1e-9)
+    radius = measured.groupBy("region", "pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("radius"), F.max("act").alias("any"), F.count("*").alias("rows")).where("any").drop("any")
+    found = lookup(measured, radius, ["region", "pivot"], "rows", measured.count()).where(F.col("d") <= F.col("radius") + far + 1e-9)
     return found.select(F.xxhash64("region", "pivot").alias("region"), "weight", "pivot", "doc_id", "n", "core", "kind")
 
 
@@ -403,8 +404,8 @@ def cells(rows: DataFrame, held: DataFrame, words: int, percent: int, region: in
     for depth in range(DEPTH):
         found = materialise(voronoi(rows, held, words, percent), "cells")
         stars.append(found.where("kind = 0 and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-        sizes = found.groupBy("region").agg(F.sum("n").alias("now"), F.count_if(F.col("kind") > 0).alias("open")).where("open > 0").drop("open")
-        found = materialise(found.join(sizes, "region"), "open")
+        sizes = found.groupBy("region").agg(F.sum("n").alias("now"), F.count_if(F.col("kind") > 0).alias("open"), F.count("*").alias("rows")).where("open > 0").drop("open")
+        found = materialise(lookup(found, sizes, ["region"], "rows", found.count()).where("now is not null"), "open")
         out.append(found.where(F.col("now") <= region).select("region", "doc_id", zero.alias("block"), zero.alias("i"), zero.alias("j")))
         large = found.where(F.col("now") > region)
         smaller = (F.col("now") < F.col("weight") * 0.8) & F.lit(depth < DEPTH - 1)
@@ -463,7 +464,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     whole = near.join(hot, "region").select("region", F.lit(0).cast("long").alias("part"), "doc_id", "n")
     parts = materialise(parted(few, percent).unionByName(whole), "parts")
     sizes = parts.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
-    placed = parts.join(sizes.select("region", "part", "weight"), ["region", "part"]).withColumn("region", F.xxhash64("region", "part"))
+    placed = lookup(parts, sizes, ["region", "part"], "sets", parts.count()).where("weight is not null").withColumn("region", F.xxhash64("region", "part"))
     held, _ = by_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
     zero = F.lit(0).cast("int")
     fit = placed.where(F.col("weight") <= region).select("region", "doc_id", zero.alias("block"), zero.alias("i"), zero.alias("j"))
