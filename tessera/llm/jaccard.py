@@ -450,6 +450,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     salt = F.when(F.col("common"), F.pmod("d", F.lit(64))).otherwise(F.lit(0))
     lists = listed(docs, common, words, percent).withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "salt", "d")
     lists = materialise(elected(lists.select("token", "d", "common")), "lists")
+    common.unpersist()
     often = lists.where("token is not null").select("token", "d")
     chosen = F.broadcast(often.groupBy("token").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot <> last"))  # at most COMMON rows
     among = often.join(chosen, "token").select("pivot", "d")
@@ -465,7 +466,8 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     parts = materialise(parted(few, percent).unionByName(whole), "parts")
     sizes = parts.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
     placed = lookup(parts, sizes, ["region", "part"], "sets", parts.count()).where("weight is not null").withColumn("region", F.xxhash64("region", "part"))
-    held, _ = by_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
+    # the texts that are compared, written once: else every round would read all texts and hold the bitmap anew
+    held = materialise(by_ids(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)[0], "held")
     zero = F.lit(0).cast("int")
     fit = placed.where(F.col("weight") <= region).select("region", "doc_id", zero.alias("block"), zero.alias("i"), zero.alias("j"))
     large, stars = placed.where(F.col("weight") > region).select("region", "doc_id", "n", "weight"), None
