@@ -71,17 +71,23 @@ def margins(rows: np.ndarray, cols: np.ndarray, n: int, m: Model) -> np.ndarray:
 def interacting(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Of the terms ``among``, those of pairs (a, b) where b's log odds ratio with a present differs from that with a absent by over
     CHANGED standard errors; the clearest pairs' first, at most PARTNERS."""
-    n, k = len(y), len(among)
-    index = np.full(1 << BITS, -1)
-    index[among] = np.arange(k)
+    k = len(among)
+    index = np.full(1 << BITS, -1, np.int32)
+    index[among] = np.arange(k, dtype=np.int32)
     at = index[cols]
-    x = np.zeros((n, k), np.float32)
-    x[rows[at >= 0], at[at >= 0]] = 1
+    own_rows, at = rows[at >= 0], at[at >= 0]
     delta, error = np.zeros((k, k)), np.zeros((k, k))
-    for c, sign in ((y == 1, 1), (y == 0, -1)):
-        own = x[c]
-        both, each = (own.T @ own).astype(float), own.sum(0, dtype=float)
-        for cell, way in ((both, 1), (each[:, None] - both, -1), (each[None, :] - both, -1), (len(own) - each[:, None] - each[None, :] + both, 1)):
+    for c, sign in ((1, 1), (0, -1)):
+        n = int((y == c).sum())
+        place = np.cumsum(y == c) - 1  # a bit for each text of the class
+        mine = y[own_rows] == c
+        bits = np.zeros((k, -(-n // 64) * 64), bool)
+        bits[at[mine], place[own_rows[mine]]] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        del bits
+        both = np.stack([np.bitwise_count(words & w).sum(1, dtype=np.int64) for w in words]).astype(float)
+        each = np.diag(both)
+        for cell, way in ((both, 1), (each[:, None] - both, -1), (each[None, :] - both, -1), (n - each[:, None] - each[None, :] + both, 1)):
             delta += sign * way * np.log(cell + 0.5)
             error += 1 / (cell + 0.5)
     z = np.triu(np.abs(delta) / np.sqrt(error), 1)
@@ -102,7 +108,7 @@ def learn(table: pa.Table, steps: int = 150, seed: int = 7) -> Model:
     data, offsets = buffers(table["terms"])
     cols, rows = data.view("<i4"), np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets) // 4)
     size = 1 << BITS
-    seen, bad = np.bincount(cols, minlength=size), np.bincount(cols[y[rows] == 1], minlength=size)
+    seen, bad = np.bincount(cols, minlength=size), np.bincount(cols[(y == 1)[rows]], minlength=size)
     often = np.flatnonzero(seen >= 3)
     if not len(often):
         return Model(often, bias, np.zeros(0), np.zeros((0, RANK)))
@@ -119,10 +125,11 @@ def learn(table: pa.Table, steps: int = 150, seed: int = 7) -> Model:
     kept, odds = often[best], odds[best]
     if not len(kept):
         return Model(kept, bias, np.zeros(0), np.zeros((0, RANK)))
-    index = np.full(size, -1)
-    index[kept] = np.arange(len(kept))
+    index = np.full(size, -1, np.int32)
+    index[kept] = np.arange(len(kept), dtype=np.int32)
     at = index[cols]
-    rows, cols = rows[at >= 0], at[at >= 0]
+    rows, cols = rows[at >= 0].astype(np.int64), at[at >= 0].astype(np.int64)
+    del at, data
     k = len(kept)
     w = np.concatenate([[bias], np.clip(odds, -1, 1) * 0.5])
     v = np.random.default_rng(seed).normal(0, 0.01, (k, RANK))
