@@ -94,16 +94,17 @@ def weights_from_scores(df: DataFrame, score: str, auc: float | None = None, auc
     return df.crossJoin(F.broadcast(mean)).withColumn("weight", raw / F.col("_mean")).drop("_mean")
 
 
-# fixed values: patterns of names that tell of the future, and marks of features that are made from the target's past
+# fixed values: patterns of names that tell of the future, and marks of features that are made from the target's past;
+# "_ or a word's edge" is spelled so that it holds at a name's start too, and a lag may be written with an underscore, as features.lags() does
 FUTURE = (
     r"_lead[_\d]",
-    r"[_\b]future",
+    r"(?:_|\b)future",
     r"_t\+\d+",
     r"_lag_?0\b",
     r"\blag0\b",
-    r"[_\b]leak[_\b]?",
+    r"(?:_|\b)leak(?:_|\b)?",
 )
-DERIVED = r"_lag\d+|_roll|_mean|_std|_min|_max|_enc"
+DERIVED = r"_lag_?\d+|_roll|_mean|_std|_min|_max|_enc"
 
 
 def structural_leaks(names: list[str], target: str) -> list[tuple[str, str]]:
