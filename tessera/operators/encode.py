@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import exact_medians
+
 NONE = "__NA__"
 
 
 def fit_fill(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
-    """One row of medians or means."""
-    f = {"median": F.median, "mean": F.avg}[how]
-    return df.agg(*(f(c).alias(c) for c in columns))
+    """One row of medians or means; null for a column without values."""
+    if how == "mean":
+        return df.agg(*(F.avg(c).alias(c) for c in columns))
+    if how != "median":
+        raise ValueError(f"{how} is neither median nor mean")
+    return exact_medians(df, columns).agg(*(F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns))
 
 
 def impute(df: DataFrame, fill: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,9 +1,12 @@
 import random
+import statistics
 
 import numpy as np
 import pytest
 
-from tessera.operators.running import exact_percentiles, running_sums
+from tessera.operators.encode import fit_fill
+from tessera.operators.profile import column_profile
+from tessera.operators.running import exact_medians, exact_percentiles, running_sums
 
 
 @pytest.mark.parametrize("slices", [2, 16])
@@ -28,3 +31,17 @@ def test_percentiles_with_ties_single_values_and_none(spark):
     assert all(abs(got[n] - np.percentile(values, 100 * p)) < 1e-12 for n, p in at.items())
     assert exact_percentiles(df.limit(0), "v", {"p50": 0.5}).first()["p50"] is None
     assert exact_percentiles(df.where("v = 3").limit(1), "v", {"p50": 0.5}).first()["p50"] == 3.0
+
+
+def test_medians_of_several_columns(spark):
+    rows = [(i % 7, float(i) ** 1.5 if i % 3 else None, None, "x") for i in range(200)] + [(None, 2.5, None, None)]
+    df = spark.createDataFrame(rows, "column int, b double, none double, name string")
+    got = {r["column"]: r["median"] for r in exact_medians(df, ["column", "b", "none"]).collect()}
+    for i, c in enumerate(("column", "b")):
+        assert got[c] == pytest.approx(statistics.median(r[i] for r in rows if r[i] is not None))
+    assert "none" not in got
+    fill = fit_fill(df, ["column", "b", "none"]).first()
+    assert (fill["column"], fill["none"]) == (got["column"], None)
+    assert {r["column"]: r["median"] for r in column_profile(df).collect()} == {**got, "none": None, "name": None}
+    assert fit_fill(df.limit(0), ["b"]).first()["b"] is None
+    assert column_profile(df.select("name")).first()["median"] is None
