@@ -65,5 +65,6 @@ def test_packing_holds_all_tokens_of_the_sample(stages):
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
 
 
-def test_ten_operators_are_registered():
-    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
+def test_operators_are_registered_once_each():
+    numbers = [int(k[2:].split("_")[0]) for k in queries.QUERIES]
+    assert numbers == sorted(set(numbers)) and set(numbers) >= set(range(1, 11))
