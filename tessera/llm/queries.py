@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import alignment, byte_bpe, fingerprint, flac, hosts, jaccard, lm, mixing, packing, quality, toxicity, warc
+from tessera.llm import alignment, byte_bpe, fingerprint, flac, hosts, jaccard, lm, mixing, packing, quality, toxicity, warc, whitening
 from tessera.llm.store import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
     "op10_mixing": lambda s, d: mixing.decisions(table(s, d, "documents")),
     "op11_alignment": lambda s, d: alignment.aligned(table(s, d, "documents")),
+    "op12_whitening": lambda s, d: whitening.whitened(table(s, d, "embeddings")),
     "op13_byte_bpe": lambda s, d: byte_bpe.round_trip(table(s, d, "documents")),
 }
 
