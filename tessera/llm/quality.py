@@ -2,12 +2,13 @@
 
 A text is cut in blocks of ``BLOCK`` bytes, so that the dictionaries and not the text's own past explain
 it, and every block is compressed with either dictionary. The difference of the sums, bad less good, over the
-text's bytes is the measure; a rising curve fitted to labelled documents that the dictionaries have
-not seen turns it into a score.
+text's bytes is the measure; a rising curve turns it into a score. Every labelled document is part of both: the curve is fitted to measures by
+dictionaries that have not seen the document, those of the other ``PARTS`` - 1 parts of the labels.
 
 The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents, with their whole texts) and runs in one task of an executor.
 Defined results: a null or empty text has the measure 0. With labels of one class only, the score is that class's smoothed share; with none, 0.5. Rows
-with the same doc_id are scored one by one. An empty table gives an empty result. Other input columns are not read.
+with the same doc_id are scored one by one, equal texts alike. A score equal to the threshold is kept. A text of any length is measured whole, block by block. An empty
+table gives an empty result. Other input columns are not read; ``accepted`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from tessera.llm.text import buffers
 
 BLOCK = 1024
 DICTIONARY = 65_536
-LEVEL = 3
+LEVEL = 16
 THRESHOLD = 0.3
+PARTS = 5
 
 
 @dataclass(frozen=True)
@@ -75,16 +77,26 @@ def measures(texts, good, bad) -> np.ndarray:
     return out
 
 
+def dictionaries(y: np.ndarray, texts: pa.Array, chosen: np.ndarray) -> tuple[bytes, bytes]:
+    """(good, bad) of the chosen rows."""
+    by_class = [[t.as_py().encode() for t in texts.filter(pa.array(chosen & (y == k))) if t.as_py()] for k in (1, 0)]
+    good, bad = (dictionary(t) if t else b"" for t in by_class)
+    return good, bad
+
+
 def learn(rows: pa.Table) -> Model:
-    """A model of (doc_id, y, text): dictionaries from every other document, the curve from the rest."""
+    """A model of (doc_id, y, text). Each of PARTS parts, of either class alike, is measured with dictionaries of the others; the curve is fitted to all these
+    measures, and the model's dictionaries are made of all rows."""
     y, texts = rows["y"].to_numpy(), rows["text"].combine_chunks()
-    built = np.arange(len(y)) % 2 == 0
-    by_class = [[t.as_py().encode() for t in texts.filter(pa.array(built & (y == k))) if t.as_py()] for k in (0, 1)]
-    bad, good = (dictionary(t) if t else b"" for t in by_class)
-    rest = np.flatnonzero(~built)
-    x = measures(texts.take(pa.array(rest)), compressor(good), compressor(bad)) if len(rest) else np.zeros(0)
-    knots, shares = isotonic(x, y[rest])
-    return Model(good, bad, knots, shares)
+    part, x = np.zeros(len(y), np.int64), np.zeros(len(y))
+    for k in (0, 1):
+        part[y == k] = np.arange(np.sum(y == k)) % PARTS
+    for p in range(PARTS):
+        own = np.flatnonzero(part == p)
+        if len(own):
+            good, bad = dictionaries(y, texts, part != p)
+            x[own] = measures(texts.take(pa.array(own)), compressor(good), compressor(bad))
+    return Model(*dictionaries(y, texts, np.ones(len(y), bool)), *isotonic(x, y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
