@@ -20,9 +20,11 @@ separate rows, null doc_ids stay null. An empty table gives an empty result. Oth
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,7 @@ class ByteLevel:
     """Side A: a byte-level tokenizer's file."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -92,7 +95,8 @@ def merge(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> t
     """(groups, links): two pointers run over the ends of both sides' tokens; where they meet, a group ends and its last tokens are linked."""
     groups, links = [], []
     i = j = first_a = first_b = 0
-    while i < len(a) and j < len(b):
+    n_a, n_b = len(a), len(b)
+    while i < n_a and j < n_b:
         x, y = a_ends[i], b_ends[j]
         if x < y:
             i += 1
@@ -100,11 +104,14 @@ def merge(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> t
             j += 1
         else:
             p, q = i + 1, j + 1
-            while p < len(a) and a_ends[p] == x:
+            while p < n_a and a_ends[p] == x:
                 p += 1
-            while q < len(b) and b_ends[q] == x:
+            while q < n_b and b_ends[q] == x:
                 q += 1
-            links += [(u, v) for u in a[i:p] for v in b[j:q]]
+            if p - i == q - j == 1:
+                links.append((a[i], b[j]))
+            else:
+                links += [(u, v) for u in a[i:p] for v in b[j:q]]
             groups.append((a[first_a:p], b[first_b:q]))
             i, j, first_a, first_b = p, q, p, q
     return groups, links
@@ -112,12 +119,11 @@ def merge(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> t
 
 def written(groups: Iterable[Group]) -> str:
     """Groups as text: ``a1,a2|b1;a3|b2,b3``."""
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    return ";".join([f"{a[0]}|{b[0]}" if len(a) == len(b) == 1 else f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
 
 
-#: Tokens of A and of B, groups, the groups as text, codes of the links.
-Part = tuple[int, int, int, str, tuple[int, ...]]
-NOTHING: Part = (0, 0, 0, "", ())
+#: Tokens of A and of B, groups, the groups as text, the links' codes as 64-bit integers: bytes take the least memory.
+Part = tuple[int, int, int, bytes, bytes]
 
 
 def code(a: int, b: int) -> int:
@@ -134,17 +140,17 @@ class Aligner:
 
     def groups(self, a: list[int], b: list[int], text: str) -> tuple[list[Group], list[tuple[int, int]]] | None:
         """What merge() finds; None where either side's bytes differ from a space and the text."""
-        a_bytes, b_bytes = [self.a.tokens[i] for i in a], [self.b.tokens[i] for i in b]
+        a_bytes, b_bytes = list(map(self.a.tokens.__getitem__, a)), list(map(self.b.tokens.__getitem__, b))
         if not b"".join(a_bytes) == b"".join(b_bytes) == f" {text}".encode():
             return None
-        return merge(a, np.cumsum([len(t) for t in a_bytes]).tolist(), b, np.cumsum([len(t) for t in b_bytes]).tolist())
+        return merge(a, list(accumulate(map(len, a_bytes))), b, list(accumulate(map(len, b_bytes))))
 
     def part(self, a: list[int], b: list[int], text: str) -> Part | str:
         found = self.groups(a, b, text)
         if found is None:
             return DIFFERENT
         groups, links = found
-        return len(a), len(b), len(groups), written(groups), tuple(code(u, v) for u, v in links)
+        return len(a), len(b), len(groups), written(groups).encode(), array("q", [code(u, v) for u, v in links]).tobytes()
 
     def whole(self, text: str) -> tuple[list[Group], list[tuple[int, int]]]:
         """Groups and links of a text taken as one part."""
@@ -211,13 +217,14 @@ def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
 
 def one_slice(number: int, doc_ids: pa.Array, texts: list[str], own: Aligner) -> Iterator[pa.RecordBatch]:
     """A slice's documents, each with the numbers of its pairs and their times, and the slice's pairs."""
-    found = own.align(texts)
-    sizes = np.array([sum(len(p[4]) for p in parts) for parts in found], np.int64)
-    codes = np.fromiter(chain.from_iterable(p[4] for parts in found for p in parts), np.int64, int(sizes.sum()))
+    found = [tuple(zip(*parts, strict=True)) or ((), (), (), (), ()) for parts in own.align(texts)]
+    codes = [b"".join(f[4]) for f in found]
+    sizes = np.array([len(c) // 8 for c in codes], np.int64)
+    codes = np.frombuffer(b"".join(codes), np.int64)
     pairs, at = np.unique(codes, return_inverse=True)
     each, times = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(1, len(pairs)) + at, return_counts=True)
     offsets = np.searchsorted(each, np.arange(len(texts) + 1) * max(1, len(pairs)))
-    total = lambda k: pa.array([sum(p[k] for p in parts) for parts in found], pa.int64())
+    total = lambda k: pa.array([sum(f[k]) for f in found], pa.int64())
     yield _rows(
         len(texts),
         slice=pa.array(np.full(len(texts), number)),
@@ -226,7 +233,7 @@ def one_slice(number: int, doc_ids: pa.Array, texts: list[str], own: Aligner) ->
         n_b=total(1),
         n_groups=total(2),
         n_links=pa.array(sizes),
-        groups_sha256=pa.array([hashlib.sha256(";".join([p[3] for p in parts]).encode()).hexdigest() if parts else "" for parts in found]),
+        groups_sha256=pa.array([hashlib.sha256(b";".join(f[3])).hexdigest() if f[3] else "" for f in found]),
         pairs=_lists(each % max(1, len(pairs)), offsets),
         times=_lists(times, offsets),
     )
