@@ -26,6 +26,12 @@ def kfold(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold_id", hash_fold(key, k))
 
 
+def crossed(df: DataFrame, k: int) -> DataFrame:
+    """Rows with a fold of their own, once for each of k folds: ``valid`` in their own and ``train`` in the others."""
+    cells = F.array(*(F.struct(F.lit(f).alias("fold_id"), F.when(F.col("fold_id") == f, "valid").otherwise("train").alias("role")) for f in range(k)))
+    return df.where(F.col("fold_id").isNotNull()).withColumn("_cells", cells).drop("fold_id").select("*", F.inline("_cells")).drop("_cells")
+
+
 def stratified(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     """Folds of equal class shares: rows of a class are numbered by hash. A class of a third of all rows is numbered by slices of its hash."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit("|42")))

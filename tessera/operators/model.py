@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -14,9 +13,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics
+from tessera.operators import fold_fit, metrics, recursion
 from tessera.operators.folds import assign, purged, stored
-from tessera.sources.shared import own_path
 
 # fixed values
 SEEDS = (42, 7, 123)
@@ -56,16 +54,19 @@ def fit_predict(train: DataFrame, rows: DataFrame, features: list[str], model, c
     return fitted.transform(rows)
 
 
-def cv_oof(assigned: DataFrame, key: list[str], target: str, features: list[str], seeds: tuple[int, ...] = SEEDS[:1], **settings) -> DataFrame:
-    """Out-of-fold predictions (key, fold_id, seed, target, prediction) of rows from folds.assign(): one fit a fold and seed. The rows are
+def cv_oof(assigned: DataFrame, key: list[str], target: str, features: list[str], seeds: tuple[int, ...] = SEEDS[:1], stages: list | None = None, categorical: list[str] | None = None, **settings) -> DataFrame:
+    """Out-of-fold predictions (key, fold_id, seed, target, prediction) of rows from folds.assign(): one fit a fold and seed. ``stages`` (fold_fit) are fitted
+    on every fold's training rows first; ``features`` may name what they add. The rows are
     written once (folds.stored), so that fits read their fold's files and don't make its features again."""
+    if stages:
+        assigned = fold_fit.fitted(assigned, stages)
     assigned = stored(assigned)
     ids = [r[0] for r in assigned.select("fold_id").distinct().orderBy("fold_id").collect()]
     out = []
     for f in ids:
         part = assigned.where(F.col("fold_id") == f)
         for s in seeds:
-            p = fit_predict(part.where("role = 'train'"), part.where("role = 'valid'"), features, gbt(target, s, **settings))
+            p = fit_predict(part.where("role = 'train'"), part.where("role = 'valid'"), features, gbt(target, s, **settings), categorical)
             out.append(p.select(*key, "fold_id", F.lit(s).alias("seed"), target, "prediction"))
     return reduce(DataFrame.union, out)
 
@@ -77,23 +78,25 @@ def ridge(df: DataFrame, target: str, features: list[str], alpha: float):
     return Pipeline(stages=[*assembler(df, features), model]).fit(filled(df, features))
 
 
-def ridge_probe(assigned: DataFrame, target: str, features: list[str], alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> DataFrame:
-    """alpha, mae over the folds' validation rows: scored on the folds that all models are scored on."""
-    assigned = stored(assigned)
-    ids = [r[0] for r in assigned.select("fold_id").distinct().orderBy("fold_id").collect()]
-    out = []
-    for f in ids:
-        part = assigned.where(F.col("fold_id") == f)
-        for a in alphas:
-            p = ridge(part.where("role = 'train'"), target, features, a).transform(filled(part.where("role = 'valid'"), features))
-            out.append(p.select(F.lit(a).alias("alpha"), F.abs(F.col(target) - F.col("prediction")).alias("e")))
-    return reduce(DataFrame.union, out).groupBy("alpha").agg(F.avg("e").alias("mae"), F.count("*").alias("n"))
+def vector_names(rows: DataFrame, column: str = "features") -> list[str]:
+    """The names of a vector's places, from the metadata that its assembler wrote."""
+    attributes = rows.schema[column].metadata["ml_attr"]["attrs"]
+    return [a["name"] for a in sorted((a for kind in attributes.values() for a in kind), key=lambda a: a["idx"])]
 
 
-def importance(fitted, features: list[str]) -> list[tuple[str, float]]:
-    """(feature, importance), greatest first."""
+def importance(fitted, rows: DataFrame) -> list[tuple[str, float]]:
+    """(feature, importance), greatest first, of a fitted pipeline of fit_predict(); a category is named by its column. rows: any that it transforms."""
+    names = [n.removesuffix("_ix") for n in vector_names(fitted.transform(rows))]
     values = fitted.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, map(float, values), strict=False), key=lambda x: (-x[1], x[0]))
+    return sorted(zip(names, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def shares(train: DataFrame, features: list[str], model, categorical: list[str] | None = None) -> dict[str, float]:
+    """Each feature's share of all importance in a model of these rows."""
+    train = filled(train, features)
+    found = importance(Pipeline(stages=[*assembler(train, features, categorical), model]).fit(train), train)
+    total = sum(v for _, v in found) or 1.0
+    return {n: v / total for n, v in found}
 
 
 def adversarial(train: DataFrame, val: DataFrame, key: str, features: list[str], folds: int = 5, rounds: int = 10) -> DataFrame:
@@ -112,40 +115,16 @@ def adversarial_auc(scores: DataFrame) -> float:
     return BinaryClassificationEvaluator(labelCol="is_train", rawPredictionCol="probability").evaluate(scores)
 
 
-def search(assigned: DataFrame, key: list[str], target: str, features: list[str], trials: int = 8, seed: int = 42) -> tuple[dict, float]:
-    """Seeded random search over rate (log scale), depth and rounds: the settings with the least MAE over folds."""
-    rng, best = random.Random(seed), ({}, float("inf"))
-    for _ in range(trials):
-        s = {"rate": 10 ** rng.uniform(-1.7, -1.0), "depth": rng.randint(3, 6), "rounds": rng.choice((10, 20, 40))}
-        mae = cv_oof(assigned, key, target, features, **s).agg(F.avg(F.abs(F.col(target) - F.col("prediction")))).first()[0]
-        best = min(best, (s, mae), key=lambda x: x[1])
-    return best
-
+def recursive_forecast(train: DataFrame, val: DataFrame, groups: list[str], axis: str, target: str, lags: list[int], rounds: int = 20, windows: list[int] | None = None) -> DataFrame:
+    """recursion.chosen() with boosted trees on lags (and rolling windows): groups, axis, step, recursive, imputed, choice, prediction."""
+    windows = windows or []
+    names = recursion.feature_names(lags, windows)
 
-def recursive_forecast(train: DataFrame, val: DataFrame, groups: list[str], axis: str, target: str, lags: list[int], rounds: int = 10, ceiling: float = 10.0) -> DataFrame:
-    """val with predictions, period by period: each period's lags read the predictions before it. Every few periods they are
-    written to the shared folder and read again, so that plans don't grow with the periods."""
-    from tessera.functions.expr import ordered
+    def fit(known: DataFrame) -> recursion.Predict:
+        fitted = Pipeline(stages=[*assembler(known, names), gbt(target, rounds=rounds)]).fit(known)
+        return lambda rows: fitted.transform(rows)
 
-    names = [f"lag_{k}" for k in lags]
-    w = ordered(groups, axis)
-    history = train.select(*groups, axis, target)
-    known = history.select("*", *(F.lag(target, k).over(w).alias(n) for k, n in zip(lags, names, strict=True))).dropna(subset=names)
-    top = train.agg(F.max(target)).first()[0] or 0.0
-    model = Pipeline(stages=[*assembler(known, names), gbt(target, rounds=rounds)]).fit(known)
-    out = []
-    for i, (p,) in enumerate(val.select(axis).distinct().orderBy(axis).collect()):
-        rows = val.where(F.col(axis) == p).select(*groups, axis).withColumn(target, F.lit(None).cast("double"))
-        recent = history.where(F.col(axis) >= p - max(lags)).unionByName(rows)
-        step = recent.select("*", *(F.lag(target, k).over(w).alias(n) for k, n in zip(lags, names, strict=True))).where(F.col(axis) == p)
-        made = model.transform(filled(step, names)).select(*groups, axis, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(ceiling * top)).alias("prediction"))
-        if i % 3 == 2:
-            path = own_path(made.sparkSession, "steps")
-            made.write.parquet(path)
-            made = made.sparkSession.read.schema(made.schema).parquet(path)
-        out.append(made)
-        history = history.unionByName(made.withColumnRenamed("prediction", target))
-    return reduce(DataFrame.union, out)
+    return recursion.chosen(train, val, groups, axis, target, lags, windows, fit)[0]
 
 
 def ablation(assigned: DataFrame, key: list[str], target: str, families: dict[str, list[str]], rounds: int = 10) -> DataFrame:
@@ -161,40 +140,12 @@ def ablation(assigned: DataFrame, key: list[str], target: str, families: dict[st
     return reduce(DataFrame.union, out)
 
 
-def ridge_terms(fitted, features: list[str], n: int = 10) -> list[tuple[str, float]]:
-    """The n features with the largest coefficients by size."""
-    found = zip(features, map(float, fitted.stages[-1].coefficients), strict=True)
-    return sorted(found, key=lambda x: (-abs(x[1]), x[0]))[:n]
-
-
 def early_rounds(train: DataFrame, target: str, features: list[str], stop_on: str, most: int = 100, **settings) -> int:
     """How many rounds a model is worth: a tenth more than those after which the rows flagged by ``stop_on`` gain no more."""
     fitted = Pipeline(stages=[*assembler(train, features), gbt(target, rounds=most, stop_on=stop_on, **settings)]).fit(filled(train, features))
     return max(1, int(fitted.stages[-1].getNumTrees * 1.1))
 
 
-def settled(found: list[dict]) -> dict:
-    """One setting from those of several folds or seeds: the median of each number, whole where all are."""
-    out = {}
-    for k in found[0] if found else ():
-        values = sorted(s[k] for s in found)
-        middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
-        out[k] = round(middle) if all(isinstance(v, int) for v in values) else middle
-    return out
-
-
-def search_by_fold(assigned: DataFrame, key: list[str], target: str, features: list[str], trials: int = 8, seed: int = 42, seconds: float | None = None) -> dict:
-    """search() in each fold by itself, then the median of the folds' settings; no new fold is begun after ``seconds``."""
-    import time
-
-    began, found = time.monotonic(), []
-    for f in [r[0] for r in assigned.select("fold_id").distinct().orderBy("fold_id").collect()]:
-        if found and seconds is not None and time.monotonic() - began > seconds:
-            break
-        found.append(search(assigned.where(F.col("fold_id") == f), key, target, features, trials, seed)[0])
-    return settled(found)
-
-
 def transform_probe(train: DataFrame, valid: DataFrame, key: list[str], target: str, features: list[str], scored: str, rounds: int = 20) -> DataFrame:
     """metrics.transform_choice() of one model a transform of the target, fitted on train and put back to the target's own scale on valid."""
     out = []
@@ -212,23 +163,11 @@ def strict_cv(df: DataFrame, rank: str, periods: int, key: list[str], target: st
     return oof_metrics(cv_oof(assign(df, rank, purged(periods, splits, embargo)), key, target, features, **settings), target, "prediction")
 
 
-def without_each(df: DataFrame, rank: str, periods: int, key: list[str], target: str, shares: dict[str, float], least: float = 0.30, **settings) -> DataFrame:
-    """feature, share, loo_delta, relative: how much the MAE of strict_cv() changes without each feature that has ``least`` of all importance."""
-    features = list(shares)
+def without_each(df: DataFrame, rank: str, periods: int, key: list[str], target: str, features: list[str], least: float = 0.30, **settings) -> DataFrame:
+    """feature, share, loo_delta, relative: how much the MAE of strict_cv() changes without each feature that has ``least`` of all importance in a model of all rows."""
+    share = shares(df, features, gbt(target, **settings))
     mae = lambda names: strict_cv(df, rank, periods, key, target, names, **settings).agg(F.avg("mae")).first()[0]
-    chosen = [f for f in features if shares[f] >= least and len(features) > 1]
+    chosen = [f for f in features if share[f] >= least and len(features) > 1]
     base = mae(features) if chosen else 0.0
-    rows = [(f, shares[f], mae([x for x in features if x != f]) - base) for f in chosen]
+    rows = [(f, share[f], mae([x for x in features if x != f]) - base) for f in chosen]
     return df.sparkSession.createDataFrame([(*r, abs(r[2]) / base if base else None) for r in rows], "feature string, share double, loo_delta double, relative double")
-
-
-def retuned(settings: dict, verdicts: set[str], suspects: list[str]) -> dict:
-    """What a second cycle changes: the seeds' median where the cross-validation is at risk, wider bounds where it failed, and without suspect features."""
-    out = dict(settings)
-    if "CV_RISK" in verdicts:
-        out["ensemble"] = "median"
-    if "CV_INVALID" in verdicts:
-        out["bounds"] = "wide"
-    if suspects:
-        out["without"] = sorted(set(suspects))
-    return out

@@ -49,11 +49,12 @@ def exact_percentiles(df: DataFrame, column: str, at: dict[str, float]) -> DataF
     return run.agg(*cells)
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, median of each column with values, from one pass: values are counted first, and sums run over slices of them."""
+def exact_medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by,) column, median of each column with values, from one pass: values are counted first, and sums run over slices of them."""
+    keys = [*(by or []), "column"]
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]
-    counts = df.select(F.inline(F.array(*pairs))).where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
+    counts = df.select(*(by or []), F.inline(F.array(*pairs))).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
     low, high = F.floor((F.col("all_n") - 1) / 2), F.ceil((F.col("all_n") - 1) / 2)
     at = lambda r: F.max(F.when((F.col("cum_n") > r) & (F.col("cum_n") - F.col("n") <= r), F.col("v")))
-    ends = running_sums(counts, "v", ["n"], ["column"]).groupBy("column").agg(at(low).alias("a"), at(high).alias("b"))
-    return ends.select("column", (F.col("a") + (F.col("b") - F.col("a")) / 2).alias("median"))
+    ends = running_sums(counts, "v", ["n"], keys).groupBy(*keys).agg(at(low).alias("a"), at(high).alias("b"))
+    return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) / 2).alias("median"))
