@@ -31,6 +31,6 @@ def test_a_panel_is_shuffled_for_its_sums_and_its_windows_only(spark, name):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ("cross_expand_groups",)))
 def test_no_cross_product_of_two_tables(spark, name):
     """Cross joins are with one aggregate row or a grid of thresholds, which are broadcast."""
-    if name in ("gbt_fit_predict", "nested_cv_oof", "ridge_alpha_probe", "adversarial_auc", "recursive_forecast", "family_ablation", "multiclass_forest", "stream_daily_closed", "transform_probe", "strict_cv", "leave_one_out"):
+    if name in ("gbt_fit_predict", "nested_cv_oof", "ridge_alpha_probe", "adversarial_auc", "recursive_forecast", "family_ablation", "multiclass_forest", "stream_daily_closed", "transform_probe", "strict_cv", "leave_one_out", "search_halving", "oof_boosted_pipeline", "importance_by_model"):
         pytest.skip("fits models or runs a stream")
     assert "CartesianProduct" not in plan(QUERIES[name](spark, DATA))
