@@ -1,4 +1,4 @@
-"""Column profiles: one wide aggregate, then a row a column; medians by slices of values."""
+"""Column profiles, from the table of value counts; shares and histograms."""
 
 from __future__ import annotations
 
@@ -6,38 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.running import exact_medians
+from tessera.operators.counts import Counts, counted
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def _null_pct(c):
-    return F.round(F.try_divide(100.0 * F.count_if(c.isNull()), F.count("*")), 2)
+def column_profile(data: DataFrame | Counts) -> DataFrame:
+    """column, dtype, n_unique, n_null, null_pct and, of numeric columns, min, max, mean, std, median."""
+    return counted(data).profile()
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """column, dtype, n_unique, n_null, null_pct and, of numeric columns, min, max, mean, std, median."""
-    numbers = set(numeric_columns(df))
-    parts = []
-    for name, kind in df.dtypes:
-        c = F.col(name)
-        x = c.cast("double") if name in numbers else F.lit(None).cast("double")
-        null = F.lit(None).cast("double")
-        stats = [F.min(x), F.max(x), F.avg(x), F.stddev_samp(x)] if name in numbers else [null] * 4
-        parts.append(F.struct(F.lit(name).alias("column"), F.lit(kind).alias("dtype"), F.count_distinct(c).alias("n_unique"), F.count_if(c.isNull()).alias("n_null"),
-                              _null_pct(c).alias("null_pct"),
-                              *(s.alias(n) for s, n in zip(stats, ("min", "max", "mean", "std"), strict=True))))
-    out = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
-    if not numbers:
-        return out.withColumn("median", F.lit(None).cast("double"))
-    return out.join(F.broadcast(exact_medians(df, sorted(numbers))), "column", "left")
-
-
-def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
+def top_values(data: DataFrame | Counts, column: str, n: int = 5) -> DataFrame:
     """The n most frequent values; equal counts by value."""
-    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
+    return counted(data, [column]).top(column, n)
 
 
 def class_balance(df: DataFrame, target: str, least: float = 0.10) -> DataFrame:
@@ -52,7 +35,7 @@ def class_balance(df: DataFrame, target: str, least: float = 0.10) -> DataFrame:
 
 def overall_missingness(df: DataFrame) -> DataFrame:
     """Mean of the columns' null percentages."""
-    parts = [_null_pct(F.col(c)) for c in df.columns]
+    parts = [F.round(F.try_divide(100.0 * F.count_if(F.col(c).isNull()), F.count("*")), 2) for c in df.columns]
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("null_pct")).agg(F.avg("null_pct").alias("missing_pct"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.counts import Counts, counted
 from tessera.operators.profile import numeric_columns
 
 # fixed values: parts of names that tell a role, and ends of names that tell a file
@@ -25,37 +26,33 @@ FILE_ENDS = "png|jpg|jpeg|gif|bmp|tif|tiff|webp|wav|mp3|mp4|pdf|npz|npy|h5|parqu
 ORDINAL_WORDS = ("rating", "score", "grade", "level", "rank", "stars", "severity", "stage")
 
 
-def _whole(df: DataFrame, c: str) -> bool:
+def _whole(df: DataFrame | Counts, c: str) -> bool:
     return isinstance(df.schema[c].dataType, T.IntegralType)
 
 
-def uniqueness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, n_unique, n_rows, ratio, contiguous (an integer run without gaps): one pass over all columns."""
-    columns = columns or df.columns
-    parts = []
-    for c in columns:
-        run = (F.max(c) - F.min(c) + 1 == F.count_distinct(c)) if _whole(df, c) else F.lit(False)
-        parts.append(F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("n_unique"), F.count("*").alias("n_rows"), F.try_divide(F.count_distinct(c).cast("double"), F.count("*")).alias("ratio"), F.coalesce(run, F.lit(False)).alias("contiguous")))
-    return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+def uniqueness(data: DataFrame | Counts, columns: list[str] | None = None) -> DataFrame:
+    """column, n_unique, n_rows, ratio, contiguous (an integer run without gaps), from the table of value counts."""
+    facts = counted(data, columns).facts()
+    return facts.select("column", "n_unique", "n_rows", F.try_divide(F.col("n_unique").cast("double"), F.col("n_rows")).alias("ratio"), "contiguous")
 
 
-def id_like(df: DataFrame, least: float = 0.95, columns: list[str] | None = None) -> DataFrame:
+def id_like(data: DataFrame | Counts, least: float = 0.95, columns: list[str] | None = None) -> DataFrame:
     """Integer columns that number the rows: nearly unique, whether or not without gaps. A 0/1 flag isn't one, though its values are a run."""
-    whole = [c for c in columns or df.columns if _whole(df, c)]
-    return uniqueness(df, whole).select("column", "n_unique", "contiguous", (F.col("ratio") >= least).alias("id_like"))
+    whole = [c for c in columns or data.columns if _whole(data, c)]
+    return uniqueness(data, whole).select("column", "n_unique", "contiguous", (F.col("ratio") >= least).alias("id_like"))
 
 
-def cardinality_gate(df: DataFrame, most: int = 50) -> DataFrame:
+def cardinality_gate(data: DataFrame | Counts, most: int = 50) -> DataFrame:
     """Which columns a model may take: numeric ones, others up to ``most`` values."""
-    numbers = numeric_columns(df)
-    return uniqueness(df).select("column", "n_unique", F.col("column").isin(numbers).alias("numeric"), (F.col("column").isin(numbers) | (F.col("n_unique") <= most)).alias("kept"))
+    numbers = numeric_columns(data)
+    return uniqueness(data).select("column", "n_unique", F.col("column").isin(numbers).alias("numeric"), (F.col("column").isin(numbers) | (F.col("n_unique") <= most)).alias("kept"))
 
 
 def infer_target(train: DataFrame, val: DataFrame) -> DataFrame:
     """Columns of train that val lacks, best candidate first: numeric, not named as an id, most values."""
     only = [c for c in train.columns if c not in val.columns]
     numbers = numeric_columns(train)
-    out = uniqueness(train, only).select("column", "n_unique", F.col("column").isin(numbers).alias("numeric"))
+    out = uniqueness(train.select(only), only).select("column", "n_unique", F.col("column").isin(numbers).alias("numeric"))
     named = F.lower("column").rlike(r"(^|_)(id|key)$|key$")
     return out.withColumn("position", F.row_number().over(_order(F.desc((F.col("numeric") & ~named).cast("int")), F.desc("n_unique"), "column")))
 
@@ -84,31 +81,31 @@ def time_score(name: str, n_unique: int, n_rows: int, dates: float, text: bool)
     return score
 
 
-def find_time(df: DataFrame, exclude: tuple[str, ...] = ()) -> str | None:
+def find_time(data: DataFrame | Counts, exclude: tuple[str, ...] = ()) -> str | None:
     """The column with the best time score; timestamps and dates count as parsed."""
-    facts = {r["column"]: r for r in uniqueness(df).collect()}
+    counts = counted(data)
+    facts = {r["column"]: r for r in counts.facts().collect()}
+    texts = counts.named(T.StringType)
+    rates = {r["column"]: r["dates"] for r in counts.parse_rates(texts).collect()} if texts else {}
     best = (0.0, None)
-    for f in df.schema:
+    for f in counts.schema:
         if f.name in exclude:
             continue
         native = isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-        text = isinstance(f.dataType, T.StringType)
-        dates = 1.0 if native else (parse_rate(df, f.name).first()["dates"] or 0.0) if text else 0.0
-        best = max(best, (time_score(f.name, facts[f.name]["n_unique"], facts[f.name]["n_rows"], dates, native or text), f.name), key=lambda x: x[0])
+        dates = 1.0 if native else rates.get(f.name) or 0.0
+        best = max(best, (time_score(f.name, facts[f.name]["n_unique"], facts[f.name]["n_rows"], dates, native or f.name in texts), f.name), key=lambda x: x[0])
     return best[1]
 
 
-def find_id(df: DataFrame, exclude: tuple[str, ...] = (), least: float = 0.95) -> str | None:
-    """An integer column that is named as a row id, or else the first that numbers the rows."""
-    names = [c for c in df.columns if c not in exclude]
-    for c in names:
-        if c.lower() in ("id", "row_id", "index", "record_id"):
-            return c
-    found = [r["column"] for r in id_like(df, least, names).where("id_like").collect()] if any(_whole(df, c) for c in names) else []
-    return next((c for c in names if c in found), None)
+def find_id(data: DataFrame | Counts, exclude: tuple[str, ...] = (), least: float = 0.95) -> str | None:
+    """Of the integer columns that number the rows, one that is named as a row id, or else the first."""
+    names = [c for c in data.columns if c not in exclude and _whole(data, c)]
+    found = {r["column"] for r in id_like(data, least, names).where("id_like").collect()} if names else set()
+    named = [c for c in names if c in found and c.lower() in ("id", "row_id", "index", "record_id")]
+    return next((c for c in [*named, *names] if c in found), None)
 
 
-def group_candidates(df: DataFrame, exclude: tuple[str, ...] = (), most: int = 500) -> DataFrame:
+def group_candidates(df: DataFrame | Counts, exclude: tuple[str, ...] = (), most: int = 500) -> DataFrame:
     """Columns that may key a panel: few values for many rows, text or an integer that is named as an entity."""
     names = [c for c in df.columns if c not in exclude]
     texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
@@ -168,7 +165,7 @@ def subtype_of(df: DataFrame, target: str) -> str:
     return "multiclass"
 
 
-def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+def column_kinds(df: DataFrame | Counts, columns: list[str]) -> DataFrame:
     """column, kind: binary (two values), numeric or text."""
     numbers = numeric_columns(df)
     return uniqueness(df, columns).select("column", F.when(F.col("n_unique") == 2, "binary").when(F.col("column").isin(numbers), "numeric").otherwise("text").alias("kind"))

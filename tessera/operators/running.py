@@ -35,18 +35,24 @@ def running_sums(df: DataFrame, order: str, sums: list[str], keys: list[str] | N
     return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_b_{c}") for c in sums}).drop("_slice", *(f"_b_{c}" for c in sums))
 
 
-def exact_percentiles(df: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
-    """One row of exact percentiles (linear between neighbours) by name; null for a column without values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    run = running_sums(counts, "v", ["n"])
+def place_values(at: dict[str, float], value: str = "v") -> list[Column]:
+    """Aggregates of running sums of counts ``n``: the exact percentiles by name, linear between neighbours."""
     cells = []
     for name, p in at.items():
         rank = (F.col("all_n") - 1) * p
-        value = lambda r: F.max(F.when((F.col("cum_n") > r) & (F.col("cum_n") - F.col("n") <= r), F.col("v")))
-        low, high = value(F.floor(rank)), value(F.ceil(rank))
-        part = F.max(rank - F.floor(rank))
-        cells.append((low + (high - low) * part).alias(name))
-    return run.agg(*cells)
+        low, high = _at_rank(F.floor(rank), value), _at_rank(F.ceil(rank), value)
+        cells.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    return cells
+
+
+def _at_rank(rank: Column, value: str) -> Column:
+    return F.max(F.when((F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank), F.col(value)))
+
+
+def exact_percentiles(df: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles (linear between neighbours) by name; null for a column without values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return running_sums(counts, "v", ["n"]).agg(*place_values(at))
 
 
 def exact_medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -54,7 +60,4 @@ def exact_medians(df: DataFrame, columns: list[str], by: list[str] | None = None
     keys = [*(by or []), "column"]
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]
     counts = df.select(*(by or []), F.inline(F.array(*pairs))).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    low, high = F.floor((F.col("all_n") - 1) / 2), F.ceil((F.col("all_n") - 1) / 2)
-    at = lambda r: F.max(F.when((F.col("cum_n") > r) & (F.col("cum_n") - F.col("n") <= r), F.col("v")))
-    ends = running_sums(counts, "v", ["n"], keys).groupBy(*keys).agg(at(low).alias("a"), at(high).alias("b"))
-    return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) / 2).alias("median"))
+    return running_sums(counts, "v", ["n"], keys).groupBy(*keys).agg(*place_values({"median": 0.5}))
