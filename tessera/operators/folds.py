@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import hash_fold
+from tessera.operators.submit import numbered
 from tessera.sources.shared import own_path
 
 
@@ -43,12 +44,49 @@ def stratified(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     return out.withColumn("fold_id", ((F.col("_n") + F.col("_before")) % k).cast("int")).drop("_h", "_p", "_n", "_before")
 
 
+def turns(loads: list[int], size: int) -> list[tuple[int, list[int]]]:
+    """How groups of one size are dealt, each to the lightest fold (the first of equals): (rank from which, folds in turn). The lightest fold takes groups until it reaches the
+    next one, the two then take turns until they reach the third, and so on: at most one entry a fold, however many groups there are."""
+    waiting = sorted((load, f) for f, load in enumerate(loads))
+    active, out, rank = [waiting.pop(0)], [], 0
+    while True:
+        active.sort()
+        if not waiting:
+            return [*out, (rank, [f for _, f in active])]
+        load, fold = waiting[0]
+        taken = [max(0, -(-(load - own) // size) + (1 if (load - own) % size == 0 and f < fold else 0)) for own, f in active]
+        if total := sum(taken):
+            out.append((rank, [f for _, f in active]))
+            rank += total
+        active = [(own + n * size, f) for (own, f), n in zip(active, taken, strict=True)] + [waiting.pop(0)]
+
+
+def dealt(loads: list[int], size: int, n: int) -> list[int]:
+    """The loads when n groups of one size have been dealt."""
+    out, parts = list(loads), turns(loads, size)
+    for i, (start, folds) in enumerate(parts):
+        end = min(n, parts[i + 1][0]) if i + 1 < len(parts) else n
+        for j, f in enumerate(folds):
+            out[f] += size * max(0, (end - start - j + len(folds) - 1) // len(folds))
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Whole groups to folds, largest first, in turn; no more folds than groups."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    n = max(2, min(k, sizes.count()))
-    turn = F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1
-    return df.join(sizes.select(group, F.pmod(turn, F.lit(n)).cast("int").alias("fold_id")), group)
+    """Whole groups to folds: the largest group to the lightest fold, and so on down (of equals in the group's order to the first fold), so that folds differ by the largest group at most; no more
+    folds than groups. Groups of one size are dealt together by their rank: the driver sees one row for each distinct size, of which n rows have fewer than sqrt(2 n)."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
+    ranked = numbered(sizes, [F.desc("_size"), F.col(group).asc_nulls_last()])
+    steps = ranked.groupBy("_size").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).orderBy(F.desc("_size")).collect()
+    loads, rows = [0] * max(2, min(k, sum(s["n"] for s in steps))), []
+    for s in steps:
+        rows.append((s["_size"], s["first"], [(start, folds) for start, folds in turns(loads, s["_size"])]))
+        loads = dealt(loads, s["_size"], s["n"])
+    plan = df.sparkSession.createDataFrame(rows, "_size long, _first long, _turns array<struct<start:long,folds:array<int>>>")
+    rank = F.col("row_id") - F.col("_first")
+    now = F.element_at(F.filter("_turns", lambda t: t["start"] <= rank), -1)
+    fold = F.get(now["folds"], F.pmod(rank - now["start"], F.size(now["folds"])).cast("int"))
+    folds = ranked.join(plan, "_size").select(F.col(group).alias("_group"), fold.alias("fold_id"))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def expanding(periods: int, splits: int, valid: int, gap: int = 0, window: int | None = None) -> list[Span]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import own_path
+
 
 def submission(template: DataFrame, pred: DataFrame, keys: list[str], target: str, prediction: str) -> DataFrame:
     """The template with its target from the predictions by composite key. Repeated keys among the predictions are an error, since they would add rows."""
@@ -37,9 +39,30 @@ def unseen_labels(pred: DataFrame, train: DataFrame, prediction: str, target: st
     return pred.select(F.col(prediction).alias("label")).distinct().join(train.select(F.col(target).alias("label")), "label", "left_anti")
 
 
-def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds row_id from 0 in key order; meant for a template, which is as long as the forecast."""
-    return df.withColumn("row_id", F.row_number().over(Window.orderBy(*keys)) - 1)
+def ordered_shards(df: DataFrame, keys: list[Column | str], shards: int | None = None) -> DataFrame:
+    """The rows dealt by ranges of the keys and sorted in each partition: the partitions, one after the other, are the table in order. Rows of equal keys are
+    parted by a hash and then at random, so that no key fills a partition alone."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    rows = df.withColumns({"_hash": F.xxhash64(*(F.col(f"`{c}`") for c in hashed)) if hashed else F.lit(0), "_any": F.rand(7)})
+    by = [*columns, F.col("_hash"), F.col("_any")]
+    dealt = rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)
+    return dealt.sortWithinPartitions(*by).drop("_hash", "_any")
+
+
+def numbered(df: DataFrame, keys: list[Column | str]) -> DataFrame:
+    """Adds row_id from 0 in key order (rows of equal keys in any). No task orders more than its range: the sorted ranges are written once with places of their own, and a
+    range's first number is the length of those before it, which is one number a range."""
+    path = own_path(df.sparkSession, "ranges")
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's place in it
+    ordered_shards(df, keys).withColumn("_place", place).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumns({"_range": F.shiftright("_place", 33), "_at": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    offsets, before = [], 0
+    for r in rows.groupBy("_range").count().orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range long, _before long"))
+    return rows.join(starts, "_range").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_at")).alias("row_id"))
 
 
 def check_output(sub: DataFrame, template: DataFrame, target: str) -> list[str]:

@@ -24,11 +24,25 @@ def _(t):
     return folds.stratified(t("labels").select("doc_id", "toxic"), "doc_id", "toxic")
 
 
-@query("folds_group", "with s as (select c_nationkey as g, count(*) as n from customer group by 1), f as (select g, ((row_number() over (order by n desc, g) - 1) % least(5, (select count(*) from s)))::int as fold_id from s) select c_custkey, c_nationkey, fold_id from customer join f on g = c_nationkey")
+_GREEDY_SQL = (
+    "s as (select {g} as g, count(*) as n from {t} group by 1), o as (select g, n, row_number() over (order by n desc, g) as i from s), k as (select greatest(2, least(5, count(*))) as k from s), "
+    "r as (select 0 as i, list_transform(range(k), lambda x: 0::bigint) as loads, -1 as fold from k union all select i + 1, list_transform(range(len(loads)), lambda x: loads[x + 1] + case when x = f then n else 0 end), f "
+    "from (select r.i, loads, o.n, list_position(loads, list_min(loads)) - 1 as f from r join o on o.i = r.i + 1))"
+)
+
+
+@query("folds_group", f"with recursive {_GREEDY_SQL.format(g='c_nationkey', t='customer')} select c_custkey, c_nationkey, fold::int as fold_id from customer join o on g = c_nationkey join r on r.i = o.i")
 def _(t):
     return folds.group_folds(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey")
 
 
+@query("folds_group_sizes", f"with recursive {_GREEDY_SQL.format(g='l_suppkey', t='lineitem')} select fold::int as fold_id, count(*) as n_groups, sum(n)::bigint as n_rows from o join r on r.i = o.i group by 1")
+def _(t):
+    """Folds of whole suppliers, many of which have as many line items as others."""
+    li = folds.group_folds(t("lineitem").select("l_suppkey"), "l_suppkey")
+    return li.groupBy("fold_id").agg(F.count_distinct("l_suppkey").alias("n_groups"), F.count("*").alias("n_rows"))
+
+
 def _spans_sql(spans: str) -> str:
     """spans: SQL for rows (fold_id, fa, fb, fc, fd), of n, the number of periods, written without the code that makes them."""
     inside = lambda a, b: f"t >= {a} and t < {b}"
