@@ -161,11 +161,6 @@ def horizon(axis: str, train_max: Column) -> Column:
     return F.greatest(F.col(axis) - train_max, F.lit(0)).alias("horizon")
 
 
-def within_budget(rows: int, columns: int, added: int, most_columns: int = 1000, most_cells: float = 2e9) -> bool:
-    """Whether a wide family may be built."""
-    return columns + added <= most_columns and rows * (columns + added) <= most_cells
-
-
 def impute_cycle_lag(train: DataFrame, val: DataFrame, groups: list[str], axis: str, target: str, cycle: int, step: int) -> DataFrame:
     """Adds lag_{step} to val: train's mean at the group's place in the cycle ``step`` before, else the group's last known target."""
     place = F.pmod(F.col(axis), F.lit(cycle)).cast("int")

@@ -56,12 +56,13 @@ def best_threshold(sweep: DataFrame, gain: float = 0.02) -> DataFrame:
     return best.select(F.when(F.col("best_f1") - F.col("f1_half") >= gain, F.col("best")).otherwise(0.5).alias("threshold"), "best_f1", "f1_half")
 
 
-def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Rank-sum AUC with average ranks on ties; equal scores are counted before ranks are taken."""
-    c = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count("*").alias("n"))
-    r = running_sums(c, "s", ["n"]).select("pos", "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
-    g = r.agg(F.sum(F.col("rank") * F.col("pos")).alias("sum_rank"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
-    return g.select(F.try_divide(F.col("sum_rank") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
+def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """(by,) auc: rank sums with average ranks on ties; equal scores are counted before ranks are taken."""
+    by = by or []
+    c = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count("*").alias("n"))
+    r = running_sums(c, "s", ["n"], by).select(*by, "pos", "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+    g = r.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("sum_rank"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    return g.select(*by, F.try_divide(F.col("sum_rank") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
 
 def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:

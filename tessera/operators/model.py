@@ -6,9 +6,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,22 +97,6 @@ def shares(train: DataFrame, features: list[str], model, categorical: list[str]
     return {n: v / total for n, v in found}
 
 
-def adversarial(train: DataFrame, val: DataFrame, key: str, features: list[str], folds: int = 5, rounds: int = 10) -> DataFrame:
-    """(key, is_train, score): out-of-fold probability that a row is from train."""
-    from tessera.functions.expr import hash_fold
-
-    both = train.select(key, *features, F.lit(1).alias("is_train")).unionByName(val.select(key, *features, F.lit(0).alias("is_train"))).withColumn("fold_id", hash_fold(key, folds))
-    out = []
-    for f in range(folds):
-        p = fit_predict(both.where(F.col("fold_id") != f), both.where(F.col("fold_id") == f), features, GBTClassifier(labelCol="is_train", maxIter=rounds, maxDepth=3, seed=42))
-        out.append(p.select(key, "is_train", vector_to_array("probability")[1].alias("score"), "probability"))
-    return reduce(DataFrame.union, out)
-
-
-def adversarial_auc(scores: DataFrame) -> float:
-    return BinaryClassificationEvaluator(labelCol="is_train", rawPredictionCol="probability").evaluate(scores)
-
-
 def recursive_forecast(train: DataFrame, val: DataFrame, groups: list[str], axis: str, target: str, lags: list[int], rounds: int = 20, windows: list[int] | None = None) -> DataFrame:
     """recursion.chosen() with boosted trees on lags (and rolling windows): groups, axis, step, recursive, imputed, choice, prediction."""
     windows = windows or []

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import features, fold_fit, folds, metrics, model, recursion, ridge, tuning
-from tessera.plans.panels import DAILY_T_SQL, daily_ranked, rounded
+from tessera.operators import adversarial, budget, features, fold_fit, folds, metrics, model, recursion, ridge, tuning
+from tessera.plans.panels import DAILY_T_SQL, MONTHLY_SQL, daily_ranked, monthly, rounded
 from tessera.plans.registry import query
 
 ROUNDS = 5  # boosting rounds of the queries with a dozen fits and more; the operators' own default is 20
@@ -135,12 +135,59 @@ def _(t):
     return rounded(out)
 
 
+def _early_late(t):
+    """Orders before and from the first day of the last fifth of the days."""
+    o = t("orders").select("o_orderkey", "o_totalprice", F.month("o_orderdate").cast("double").alias("m"), F.col("o_custkey").cast("double").alias("c"), F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).alias("d"))
+    cut = folds.holdout_cut(o.agg(F.max("d")).first()[0] + 1)
+    return o.where(F.col("d") < cut), o.where(F.col("d") >= cut)
+
+
 @query("adversarial_auc")
 def _(t):
-    o = t("orders").select("o_orderkey", "o_totalprice", F.month("o_orderdate").alias("m"), F.col("o_custkey").cast("double").alias("c"), "o_orderdate")
-    late = F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
-    s = model.adversarial(o.where(~late), o.where(late), "o_orderkey", ["o_totalprice", "m", "c"])
-    return rounded(metrics.roc_auc(s, "is_train", "score"))
+    """Gates, cross-fitted scores and their AUC of early against late orders."""
+    early, late = _early_late(t)
+    return rounded(adversarial.validate(early, late, "o_orderkey", ["o_totalprice", "m", "c"], rounds=ROUNDS).summary)
+
+
+# Scores as a stand-in for a model's: the customer's number, higher for early orders.
+_SCORES_SQL = (
+    "o as (select o_orderkey, o_custkey, date_diff('day', date '1995-01-01', o_orderdate::date) as d from orders), e as (select floor(0.8 * (max(d) + 1)) as cut from o), "
+    "s as (select o_orderkey, (d < cut)::int as is_train, (o_custkey % 89) / 89.0::double * 0.8 + case when d < cut then {lift} else 0 end as score from o, e), "
+    "r as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rk from s), "
+    "g as (select sum(is_train)::bigint as n_train, sum(1 - is_train)::bigint as n_val, (sum(case when is_train = 1 then rk end) - sum(is_train) * (sum(is_train) + 1) / 2.0) / (sum(is_train) * sum(1 - is_train)) as auc from r), "
+    "v as (select n_train, n_val, {columns}::int as n_columns, auc, case when n_train + n_val < 500 then 'few rows' when n_train < 100 then 'few training rows' when n_val < 100 then 'few rows to predict' when {columns} < 3 then 'few columns' when auc < 0.55 then 'no shift' end as skip_reason from g)"
+)
+
+
+def _stand_in(t, lift: float):
+    early, late = (side.select("o_orderkey", F.lit(i).alias("is_train"), (F.col("c").cast("long") % 89 / 89.0 * 0.8 + lift * i).alias("score")) for i, side in zip((1, 0), _early_late(t), strict=True))
+    return early.unionByName(late)
+
+
+_VERDICTS = [(0.2, 3), (0.2, 2), (0.01, 3)]
+
+
+@query("adversarial_gates", " union all ".join(f"select * from (with {_SCORES_SQL.format(lift=lift, columns=n)} select n_train, n_val, n_columns, round(auc, 4) as auc, skip_reason, skip_reason is null as applied from v)" for lift, n in _VERDICTS))
+def _(t):
+    """A shift, too few columns, and no shift."""
+    one, two, three = (adversarial.judged(_stand_in(t, lift), n) for lift, n in _VERDICTS)
+    return rounded(one.union(two).union(three))
+
+
+@query("adversarial_weights", f"with {_SCORES_SQL.format(lift=0.2, columns=3)}, w as (select o_orderkey, least(greatest(1 - score, 0.1), 10) as w from s where is_train = 1) select o_orderkey, round(case when (select skip_reason from v) is null then w / (select avg(w) from w) else 1 end, 4) as weight from w")
+def _(t):
+    return rounded(adversarial.weights(_stand_in(t, 0.2), 3).select("o_orderkey", "weight"))
+
+
+_W = "over (partition by g order by t)"
+
+
+@query("budgeted_features", f"with {MONTHLY_SQL}, e as (select g, t, y, d, x, lag(y, 1) {_W} as lag_1, avg(y) over (partition by g order by t rows between 4 preceding and 1 preceding) as roll_mean_4, avg(d) over (partition by g order by t rows between 8 preceding and 1 preceding) as d_roll8, stddev_samp(x) over (partition by g order by t rows between 4 preceding and 1 preceding) as x_std4, d / (abs(x) + 1e-9) as ratio, d - avg(d) over (partition by g) as d_group_dev, greatest(d, 0) as pd, greatest(x, 0) as px from monthly) select g, t, round(lag_1, 4) as lag_1, round(roll_mean_4, 4) as roll_mean_4, round(d_roll8, 4) as d_roll8, round(x_std4, 4) as x_std4, round(ratio, 3) as ratio, round(d_group_dev, 4) + 0.0 as d_group_dev, round(case when pd + px > 0 then -(pd / (pd + px) * ln(pd / (pd + px) + 1e-9) + px / (pd + px) * ln(px / (pd + px) + 1e-9)) else -ln(0.5 + 1e-9) end, 4) + 0.0 as cov_entropy from e")
+def _(t):
+    """All families of a panel that the budget bears."""
+    made, found = budget.panel_features(monthly(t), ["g"], "t", "y", ["d", "x"])
+    assert not found.refused, found.refused
+    return rounded(made.select("g", "t", "lag_1", "roll_mean_4", "d_roll8", F.col("x_std4"), F.round("d_per_x", 3).alias("ratio"), "d_group_dev", "cov_entropy"))
 
 
 @query("transform_probe")
