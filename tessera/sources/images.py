@@ -1,56 +1,33 @@
-"""Images as a Spark source: statistics of 8-bit PNG, PGM and PPM files, linked to rows by file name."""
+"""Images as a Spark source: statistics of each image, linked to rows by file name.
+
+JPEG, PNG, BMP, GIF and TIFF files are decoded by Spark's own image source, inside the JVM; PGM and PPM, which it doesn't know, are read from their
+bytes. What comes to Python is an Arrow batch of pixel buffers, what leaves it a row of numbers an image. An image that can't be decoded has null statistics.
+"""
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.operators.running import exact_percentiles
+from tessera.operators.submit import numbered
+
+# fixed values: file endings, ends of the share of matching rows, names of image files
+DECODED = ("png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff")
+PLAIN = ("pgm", "ppm")
+LEAST_HINTED, LEAST_LINKED = 0.06, 0.10
+PANEL_NAME, NUMBER_NAME = r"^[A-Z]{2,3}_[A-Za-z0-9]{6,12}\.\w+$", r"(?i)^img_\d+\.\w+$"
 
 
-def decode_png(raw: bytes) -> np.ndarray:
-    """Rows, columns and channels of a PNG without interlacing, 8 bits a channel, grey, RGB or with alpha."""
-    if raw[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("no PNG")
-    at, data, head = 8, b"", b""
-    while at + 8 <= len(raw):
-        size, kind = int.from_bytes(raw[at : at + 4]), raw[at + 4 : at + 8]
-        body = raw[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            head = body
-        elif kind == b"IDAT":
-            data += body
-        at += 12 + size
-    width, height, depth, colour, interlaced = int.from_bytes(head[:4]), int.from_bytes(head[4:8]), head[8], head[9], head[12]
-    if depth != 8 or interlaced or colour not in (0, 2, 4, 6):
-        raise ValueError("a PNG of another kind")
-    n = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height + 1, width + 1, n), np.int32)  # with a border of zeros above and to the left
-    for y in range(height):
-        kind, line = lines[y, 0], lines[y, 1:].reshape(width, n).astype(np.int32)
-        above = out[y, 1:]
-        if kind == 0:
-            out[y + 1, 1:] = line
-        elif kind == 1:
-            out[y + 1, 1:] = np.cumsum(line, 0) & 255
-        elif kind == 2:
-            out[y + 1, 1:] = line + above & 255
-        else:
-            for x in range(width):
-                a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
-                if kind == 3:
-                    guess = a + b >> 1
-                else:
-                    p = a + b - c
-                    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-                    guess = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
-                out[y + 1, x + 1] = line[x] + guess & 255
-    return out[1:, 1:].astype(np.uint8)
+def _glob(endings: tuple[str, ...]) -> str:
+    return "*.{" + ",".join([*endings, *(e.upper() for e in endings)]) + "}"
 
 
 def decode_pnm(raw: bytes) -> np.ndarray:
@@ -62,10 +39,6 @@ def decode_pnm(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8, int(m[2]) * int(m[3]) * n, m.end()).reshape(int(m[3]), int(m[2]), n)
 
 
-def decode(raw: bytes) -> np.ndarray:
-    return decode_png(raw) if raw[:4] == b"\x89PNG" else decode_pnm(raw)
-
-
 STATISTICS = [
     *(f"img_{s}" for s in ("mean", "std", "p01", "median", "p99", "iqr")),
     *(f"img_{q}_{s}" for q in ("tl", "tr", "bl", "br") for s in ("mean", "std")),
@@ -113,31 +86,103 @@ def statistics(image: np.ndarray, dark: float = 0.25, bright: float = 0.75) -> d
     return found
 
 
-def image_folders(spark: SparkSession, root: str, least: int = 10) -> DataFrame:
-    """folder, n: folders with at least ``least`` images, the fullest first. Only names are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,pgm,ppm}").load(root)
-    return files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")).groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "folder")
+def image_files(spark: SparkSession, root: str) -> DataFrame:
+    """folder, name of every image below root. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(DECODED + PLAIN)).load(root)
+    return files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
 
 
-def image_features(spark: SparkSession, root: str) -> DataFrame:
-    """stem and the statistics of each image; null where a file can't be decoded."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,pgm,ppm}").load(root)
+def image_folders(spark: SparkSession, root: str, least: int = 10) -> DataFrame:
+    """folder, n, role (train, val or flat, by the parts of its path below root) and pattern (panel, number or generic, by half of its names) of folders with at least ``least`` images, the fullest first."""
+    f = image_files(spark, root)
+    below = F.split(F.regexp_replace("folder", r"^.*" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]), ""), "/")
+    role = F.when(F.array_contains(below, "train"), "train").when(F.array_contains(below, "val"), "val").otherwise("flat")
+    share = lambda pattern: F.avg(F.col("name").rlike(pattern).cast("int")) >= 0.5
+    pattern = F.when(share(PANEL_NAME), "panel").when(share(NUMBER_NAME), "number").otherwise("generic")
+    out = f.groupBy("folder", role.alias("role")).agg(F.count("*").alias("n"), pattern.alias("pattern"))
+    return out.where(F.col("n") >= least).select("folder", "n", "role", "pattern").orderBy(F.desc("n"), "folder")
+
+
+def _pixels(raw, height: int, width: int, channels: int) -> np.ndarray:
+    """Rows, columns and channels, red first, of a buffer of the image source; a file's own bytes have no height."""
+    if height == 0:
+        return decode_pnm(bytes(raw))
+    image = np.frombuffer(raw, np.uint8).reshape(height, width, channels)
+    return image[:, :, 2::-1] if channels >= 3 else image
+
+
+def image_features(spark: SparkSession, root: str, dark: float = 0.25, bright: float = 0.75) -> DataFrame:
+    """stem and the statistics of each image below root; ``dark`` and ``bright`` as brightness_levels() gives them."""
+    below = lambda kind, endings: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", _glob(endings))
+    shown = below("image", DECODED).option("dropInvalid", False).load(root).select("image.*")
+    plain = below("binaryFile", PLAIN).load(root)
+    none = F.lit(0)
+    files = shown.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.col("data").alias("content"))
+    files = files.unionByName(plain.select("path", none.alias("height"), none.alias("width"), none.alias("channels"), "content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for raw in b["content"]:
+            for raw, *size in zip(b["content"], b["height"], b["width"], b["channels"], strict=True):
                 try:
-                    rows.append(statistics(decode(raw)))
-                except (ValueError, IndexError, zlib.error):
+                    rows.append(statistics(_pixels(raw, *size), dark, bright))
+                except (ValueError, IndexError):
                     rows.append(dict.fromkeys(STATISTICS))
             yield pd.concat([b[["stem"]].reset_index(drop=True), pd.DataFrame(rows, columns=STATISTICS)], axis=1)
 
     stem = F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("stem")
-    return files.select(stem, "content").mapInPandas(run, "stem string, " + ", ".join(f"{c} double" for c in STATISTICS))
+    return files.select(stem, "height", "width", "channels", "content").mapInPandas(run, "stem string, " + ", ".join(f"{c} double" for c in STATISTICS))
+
+
+def brightness_levels(features: DataFrame) -> tuple[float, float]:
+    """(dark, bright): the quarters of the training images' mean levels, over all of them."""
+    r = exact_percentiles(features, "img_mean", {"dark": 0.25, "bright": 0.75}).first()
+    return (0.25, 0.75) if r["dark"] is None else (r["dark"], r["bright"])
+
+
+def _stem(c: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"^.*[/\\\\]", ""), r"\.\w+$", "")
+
+
+def link_forms(df: DataFrame, hint: str | None = None, panel: list[str] | None = None, index: str | None = None) -> list[tuple[str, Column]]:
+    """The ways in which a row may name its image, most telling first: (form, stem). A hinted column, each text column, pairs of the panel's columns, the row's number."""
+    forms = [(f"hint:{hint}", _stem(hint))] if hint in df.columns else []
+    forms += [(f"column:{f.name}", _stem(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != hint]
+    forms += [(f"pair:{a}+{b}", F.concat_ws("_", F.col(a).cast("string"), F.col(b).cast("string"))) for a, b in combinations([c for c in panel or [] if c in df.columns], 2)]
+    return forms + ([(f"index:{index}", F.concat(F.lit("img_"), F.lpad(F.col(index).cast("string"), 4, "0")))] if index else [])
+
+
+def link_shares(df: DataFrame, stems: DataFrame, forms: list[tuple[str, Column]]) -> DataFrame:
+    """place, form, share: how many of all rows name an image in each form. Keys are counted before they are joined, so one that many rows share is joined once."""
+    cells = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("form"), key.alias("stem")) for i, (name, key) in enumerate(forms)))
+    keys = df.select(F.inline(cells)).groupBy("place", "form", "stem").agg(F.count("*").alias("n"))
+    hit = keys.join(stems.select("stem").distinct().withColumn("_hit", F.lit(1)), "stem", "left")
+    return hit.groupBy("place", "form").agg((F.sum(F.when(F.col("_hit") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+
+
+def choose_link(df: DataFrame, stems: DataFrame, forms: list[tuple[str, Column]]) -> str | None:
+    """The first form by which enough rows name an image: 6 % for a hint, 10 % for others."""
+    if not forms:
+        return None
+    least = F.when(F.col("form").startswith("hint:"), LEAST_HINTED).otherwise(LEAST_LINKED)
+    found = link_shares(df, stems, forms).where(F.col("share") >= least).orderBy("place").first()
+    return found["form"] if found else None
 
 
 def link_images(df: DataFrame, images: DataFrame, columns: list[str]) -> DataFrame:
     """Left join of rows with the image whose stem is their columns' values, joined by underscores."""
-    key = F.concat_ws("_", *(F.col(c).cast("string") for c in columns))
-    return df.withColumn("stem", key).join(images, "stem", "left").drop("stem")
+    return _linked(df, images, F.concat_ws("_", *(F.col(c).cast("string") for c in columns)))
+
+
+def _linked(df: DataFrame, images: DataFrame, key: Column) -> DataFrame:
+    return df.withColumn("_stem", key).join(images.withColumnRenamed("stem", "_stem"), "_stem", "left").drop("_stem")
+
+
+def with_images(df: DataFrame, images: DataFrame, hint: str | None = None, panel: list[str] | None = None, order: list[str] | None = None) -> tuple[DataFrame, str | None]:
+    """(rows with their image's statistics, the form by which they are linked); rows as they are and None where no form links enough. ``order``: keys by which rows are numbered for img_0000, img_0001 ..."""
+    rows = numbered(df, order).withColumnRenamed("row_id", "_row") if order else df
+    forms = link_forms(rows, hint, panel, "_row" if order else None)
+    form = choose_link(rows, images, forms)
+    if form is None:
+        return df, None
+    return _linked(rows, images, dict(forms)[form]).drop("_row"), form

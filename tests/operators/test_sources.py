@@ -24,10 +24,74 @@ def png(pixels, filters):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-@pytest.mark.parametrize("channels", [1, 3])
-def test_png_of_every_filter(channels):
-    pixels = np.random.default_rng(0).integers(0, 256, (10, 7, channels)).astype(np.uint8)
-    assert (images.decode(png(pixels, [0, 1, 2, 3, 4])) == pixels).all()
+def written(spark, path, pixels, kind):
+    """A file of that kind by the JVM's own writer; returns what its reader makes of it, as rows of (red, green, blue)."""
+    jvm = spark._jvm
+    h, w, _ = pixels.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, 1)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = map(int, pixels[y, x])
+            image.setRGB(x, y, (r << 16) | (g << 8) | b)
+    file = jvm.java.io.File(str(path))
+    assert jvm.javax.imageio.ImageIO.write(image, kind, file)
+    back = jvm.javax.imageio.ImageIO.read(file)
+    flat = [back.getRGB(x, y) & 0xFFFFFF for y in range(h) for x in range(w)]
+    return np.array([(v >> 16, v >> 8 & 255, v & 255) for v in flat], np.uint8).reshape(h, w, 3)
+
+
+@pytest.mark.parametrize("kind", ["jpg", "png", "bmp", "tif"])
+def test_every_kind_is_decoded(spark, tmp_path, kind):
+    y, x = np.mgrid[0:24, 0:32]
+    pixels = np.stack([x * 8, y * 10, 255 - x * 4], 2).astype(np.uint8)
+    seen = written(spark, tmp_path / f"one.{kind}", pixels, kind)
+    assert np.abs(seen.astype(int) - pixels).max() <= (0 if kind != "jpg" else 60)
+    got = images.image_features(spark, str(tmp_path)).first()
+    want = images.statistics(seen)
+    assert got.stem == "one" and all(abs(got[c] - want[c]) < 1e-12 for c in images.STATISTICS)
+
+
+def test_png_of_every_filter(spark, tmp_path):
+    for channels in (1, 3):
+        pixels = np.random.default_rng(0).integers(0, 256, (10, 7, channels)).astype(np.uint8)
+        (tmp_path / f"c{channels}.png").write_bytes(png(pixels, [0, 1, 2, 3, 4]))
+        got = images.image_features(spark, str(tmp_path)).where(f"stem = 'c{channels}'").first()
+        want = images.statistics(pixels)
+        assert all(got[c] == want[c] or abs(got[c] - want[c]) < 1e-12 for c in images.STATISTICS)
+
+
+def test_folders_have_roles_and_patterns(spark, tmp_path):
+    for folder, name in (("train", "AB_{:06d}.pgm"), ("val", "img_{:04d}.pgm"), ("other", "x{}.PGM")):
+        (tmp_path / folder).mkdir()
+        for i in range(3):
+            (tmp_path / folder / name.format(i)).write_bytes(b"P5 1 1 255\n\x00")
+    got = {r.folder.rsplit("/", 1)[1]: (r.n, r.role, r.pattern) for r in images.image_folders(spark, str(tmp_path), 3).collect()}
+    assert got == {"train": (3, "train", "panel"), "val": (3, "val", "number"), "other": (3, "flat", "generic")}
+    assert images.image_folders(spark, str(tmp_path), 4).isEmpty()
+
+
+def test_levels_come_from_all_images(spark):
+    df = spark.createDataFrame([(0.1,), (0.2,), (0.4,), (0.9,), (None,)], "img_mean double")
+    assert np.allclose(images.brightness_levels(df), (0.175, 0.525)) and images.brightness_levels(df.limit(0)) == (0.25, 0.75)
+
+
+def test_the_link_is_chosen_by_the_share_of_rows(spark):
+    stems = spark.createDataFrame([(f"img_{i:04d}", 0.1) for i in range(40)] + [(f"a_{i}", 0.2) for i in range(40)] + [("file7", 0.3)], "stem string, img_mean double")
+    rows = [(i, "a", i, f"x/file{i}.png", f"none{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, g string, t int, file string, text string")
+    forms = images.link_forms(df, "file", ["g", "t"], "id")
+    assert [f for f, _ in forms] == ["hint:file", "column:g", "column:text", "pair:g+t", "index:id"]
+    shares = {r.form: r.share for r in images.link_shares(df, stems, forms).collect()}
+    assert shares == {"hint:file": 0.05, "column:g": 0.0, "column:text": 0.0, "pair:g+t": 1.0, "index:id": 1.0}
+    out, form = images.with_images(df, stems, "file", ["g", "t"])
+    assert form == "pair:g+t" and out.columns == [*df.columns, "img_mean"] and {r.img_mean for r in out.collect()} == {0.2}
+    out, form = images.with_images(df.drop("t"), stems, "file", ["g"], ["id"])
+    assert form == "index:_row" and {r.img_mean for r in out.collect()} == {0.1} and out.count() == 20
+    more = stems.union(spark.createDataFrame([("file3", 0.4)], stems.schema))
+    out, form = images.with_images(df, more, "file", ["g", "t"])
+    assert form == "hint:file" and {r.id: r.img_mean for r in out.where("img_mean is not null").collect()} == {3: 0.4, 7: 0.3}
+    out, form = images.with_images(df.select("id", "text"), stems)
+    assert form is None and out.columns == ["id", "text"]
 
 
 def test_image_table_and_its_link(spark, tmp_path):
