@@ -14,6 +14,17 @@ def gap_verdict(df: DataFrame, reported: str = "reported_mae", strict: str = "st
     return df.withColumn("gap", gap).withColumn("verdict", F.when(gap > 0.25, "CRITICAL").when(gap > 0.10, "WARNING").otherwise("PASS"))
 
 
+def validator_verdict(df: DataFrame, classification: bool = False) -> DataFrame:
+    """From gap, max_share (of the most important feature) and has_suspect (by the two-signal rule): cv_integrity (of regressions only, as gap_verdict()), importance_concentration (over half of all importance is a
+    WARNING), leakage_two_signal (a suspect is CRITICAL) and verdict, the worst of them. Unknown values pass."""
+    over = lambda c, bar: F.coalesce(F.col(c) > bar, F.lit(False))
+    cv = F.lit("PASS") if classification else F.when(over("gap", 0.25), "CRITICAL").when(over("gap", 0.10), "WARNING").otherwise("PASS")
+    checks = {"cv_integrity": cv, "importance_concentration": F.when(over("max_share", 0.50), "WARNING").otherwise("PASS"), "leakage_two_signal": F.when(F.coalesce("has_suspect", F.lit(False)), "CRITICAL").otherwise("PASS")}
+    out = df.withColumns(checks)
+    any_is = lambda v: F.array_contains(F.array(*checks), v)
+    return out.withColumn("verdict", F.when(any_is("CRITICAL"), "CRITICAL").when(any_is("WARNING"), "WARNING").otherwise("PASS"))
+
+
 def gap_attribution(folds: DataFrame, reported: float) -> DataFrame:
     """From (train_size, mae) of folds: whether the latest fold matches the reported MAE (CV_SCHEME) or not (REAL_DIVERGENCE), and how
     steadily errors fall with more training rows."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.submit import numbered
+
 
 def period_rank(train: DataFrame, val: DataFrame, period: str) -> DataFrame:
     """period, period_rank: dense, from 0, over the periods of both. Only distinct periods are ordered."""
@@ -68,6 +70,23 @@ def codebook(spark, entries: dict[str, str]) -> DataFrame:
     return df.select(F.col(ids).alias("period_id"), F.try_to_timestamp(F.col(dates)).cast("date").alias("date"))
 
 
+def codebook_ranks(train: DataFrame, val: DataFrame, book: DataFrame, period: str) -> DataFrame:
+    """period, date, period_rank, in_train, in_val of every period of either side, in order of its date (of its id on one day), from 0. A period that the codebook
+    doesn't map, or maps to no date, has neither date nor rank."""
+    side = lambda df, t, v: df.select(F.col(period).cast("string").alias(period), F.lit(t).alias("t"), F.lit(v).alias("v"))
+    seen = side(train, True, False).union(side(val, False, True)).where(F.col(period).isNotNull()).groupBy(period).agg(F.max("t").alias("in_train"), F.max("v").alias("in_val"))
+    dated = seen.join(book.select(F.col("period_id").alias(period), "date").where("date is not null").dropDuplicates([period]), period, "left")
+    ranked = numbered(dated.where("date is not null"), ["date", period]).withColumnRenamed("row_id", "period_rank")
+    rest = dated.where("date is null").withColumn("period_rank", F.lit(None).cast("long"))
+    return ranked.unionByName(rest).select(period, "date", "period_rank", "in_train", "in_val")
+
+
+def unmapped(ranks: DataFrame, period: str) -> tuple[DataFrame, DataFrame]:
+    """The periods of train, and those of val, that have no rank."""
+    none = ranks.where("period_rank is null")
+    return none.where("in_train").select(period), none.where("in_val").select(period)
+
+
 def codebook_features(df: DataFrame, book: DataFrame, key: str) -> DataFrame:
     """month (median where unmapped), quarter and is_quarter_start of each row's period."""
     joined = df.join(book.withColumnRenamed("period_id", key), key, "left")

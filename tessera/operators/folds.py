@@ -44,6 +44,23 @@ def stratified(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     return out.withColumn("fold_id", ((F.col("_n") + F.col("_before")) % k).cast("int")).drop("_h", "_p", "_n", "_before")
 
 
+def sequential(df: DataFrame, order: list[str], share: float = 0.8) -> DataFrame:
+    """fold_id 0 and role: the first rows by ``order`` train, the rest is held out; where nothing groups or times the rows."""
+    rows = numbered(df, order)
+    cut = holdout_cut(rows.count(), share)
+    return rows.withColumns({"fold_id": F.lit(0), "role": F.when(F.col("row_id") < cut, "train").otherwise("valid")}).drop("row_id")
+
+
+def strict(df: DataFrame, groups: list[str], order: list[str], k: int = 4) -> tuple[DataFrame, str]:
+    """(rows with fold_id and role, scheme) of tables without a time axis: whole groups of the first group column that is there, else sequential()."""
+    group = next((g for g in groups if g in df.columns), None)
+    if group is None:
+        return sequential(df, order), "80/20 sequential"
+    folded = group_folds(df, group, k)
+    n = max(2, min(k, folded.select("fold_id").distinct().count()))
+    return crossed(folded, n), f"{n} folds of {group}"
+
+
 def turns(loads: list[int], size: int) -> list[tuple[int, list[int]]]:
     """How groups of one size are dealt, each to the lightest fold (the first of equals): (rank from which, folds in turn). The lightest fold takes groups until it reaches the
     next one, the two then take turns until they reach the third, and so on: at most one entry a fold, however many groups there are."""

@@ -201,9 +201,9 @@ def _(t):
     return rounded(predicted(t).select("g", "t", fs(y).alias("s"), fl(y).alias("l"), bs(fs(y)).alias("back_s"), bl(fl(y)).alias("back_l")))
 
 
-@query("recursion_choice", f"with {PRED_SQL}, r as (select t, y, p, avg(y) over (partition by g order by t rows between 3 preceding and 1 preceding) as r from pred), e as (select * from r where r is not null and t >= 60), s as (select t, count(*) as n, avg(abs(y - r)) as a, avg(abs(y - p)) as b from e group by rollup (t)) select t, n, round(a, 4) as recursive_mae, round(b, 4) as last_known_mae, case when a <= b then 'recursive' else 'last_known' end as choice from s")
+@query("recursion_choice", f"with {PRED_SQL}, r as (select t, y, p, avg(y) over (partition by g order by t rows between 3 preceding and 1 preceding) as r from pred), e as (select * from r where r is not null), s as (select t, count(*) as n, avg(abs(y - r)) as a, avg(abs(y - p)) as b from e group by rollup (t)) select t, n, round(a, 4) as recursive_mae, round(b, 4) as last_known_mae, case when a <= b then 'recursive' else 'last_known' end as choice from s")
 def _(t):
-    r = predicted(t).withColumn("r", F.avg("y").over(Window.partitionBy("g").orderBy("t").rowsBetween(-3, -1))).where("r is not null and t >= 60")
+    r = predicted(t).withColumn("r", F.avg("y").over(Window.partitionBy("g").orderBy("t").rowsBetween(-3, -1))).where("r is not null")
     return rounded(metrics.recursion_choice(r, "t", "y", "r", "p"))
 
 

@@ -17,11 +17,11 @@ def _(t):
 
 
 @query("assemble_train_tables", """
-with cov as (select l_suppkey as g, l_partkey as p, l_quantity as q, null::double as tax from lineitem where l_linenumber = 1 union all select l_suppkey, l_partkey, l_quantity, l_tax from lineitem where l_linenumber = 2),
+with cov as (select l_suppkey as g, l_partkey as p, l_quantity as q, null::double as tax from lineitem where l_linenumber <= 3 union all select l_suppkey, l_partkey, l_quantity, l_tax from lineitem where l_linenumber > 3),
  tgt as (select p_partkey as p, p_retailprice as y from part where p_partkey % 3 <> 0)
 select g, p, q, tax, y from cov left join tgt using (p)""")
 def _(t):
-    one, two = (t("lineitem").where(f"l_linenumber = {i}").select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("tax")) for i in (1, 2))
+    one, two = (t("lineitem").where(f"l_linenumber {i}").select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("tax")) for i in ("<= 3", "> 3"))
     return assemble.assemble_train([one.drop("tax"), two], [t("part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("p"), F.col("p_retailprice").alias("y"))])
 
 

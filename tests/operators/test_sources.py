@@ -120,6 +120,38 @@ def test_folder_of_csvs(spark, tmp_path):
     assert readers.layout(str(tmp_path)) == "subfolder" and set(readers.layout_tables(spark, str(tmp_path))) == {"train", "val"}
 
 
+def test_known_names_of_codebooks_come_first(spark, tmp_path):
+    import json
+
+    book = {f"id{i:02d}": f"2024-01-{i:02d}" for i in range(1, 31)}
+    ids = spark.createDataFrame([(f"id{i:02d}",) for i in range(1, 9)], "id string")
+    write = lambda name, content: (tmp_path / name).write_text(content if isinstance(content, str) else json.dumps(content))
+    write("a_period.json", book)
+    write("other.json", book)
+    assert readers.find_codebook(spark, str(tmp_path), ids, "id").name == "a_period.json"  # other.json is named as none
+    write("Time_Codebook.JSON".replace("JSON", "json"), {v: k for k, v in book.items()})
+    got = readers.find_codebook(spark, str(tmp_path), ids, "id")
+    assert (got.name, got.direction) == ("Time_Codebook.json", "date_to_id") and got.dates == book
+    write("dates.json", "no json")
+    write("period_id.json", {k: book[k] for k in list(book)[:9]})
+    assert [p.name for p in readers.codebook_files(str(tmp_path))] == ["Time_Codebook.json", "dates.json", "period_id.json", "a_period.json"]
+    assert readers.find_codebook(spark, str(tmp_path), ids, "id").name == "Time_Codebook.json"
+    assert readers.find_codebook(spark, str(tmp_path), ids.limit(6), "id") is None  # 6 of the 20 sampled ids are not over 30 %
+
+
+def test_file_maps(tmp_path):
+    tables = {"cov.csv": ["k", "x"], "tgt.csv": ["k", "y"], "both.csv": ["k", "x", "y"]}
+    split = readers.file_map(tables, "y", ["cov.csv", "tgt.csv"], ["v.csv"], ["s.csv"])
+    assert (split["convention"], split["train_data"], split["train_target"], split["val_features"], split["sample_submission"]) == ("split", "cov.csv", "tgt.csv", "v.csv", "s.csv")
+    one = readers.file_map(tables, "y", ["both.csv"], [], [])
+    assert one["convention"] == "combined" and one["train_data"] == one["train_target"] == "both.csv" and one["train_target_in_combined_file"] and one["val_features"] is None
+    assert readers.file_map(tables, None, ["cov.csv"], [], [])["train_target"] == "cov.csv" and readers.file_map({}, "y", [], [], [])["train_data"] is None
+    (tmp_path / "val").mkdir()
+    assert readers.subfolder_map(str(tmp_path), "y", "t.csv", [])["val_features"] == "val/covariates.csv"
+    (tmp_path / "test").mkdir()
+    assert readers.subfolder_map(str(tmp_path), "y", None, ["s.csv"])["val_features"] == "test/covariates.csv"
+
+
 def test_description_and_codebook(spark, tmp_path):
     (tmp_path / "Data-Description.md").write_text("The target is `sales`.\n\n| Column | Meaning |\n| --- | --- |\n| `store` | a store |\n| `week` | the week |\n\n`train_a.csv` is for training, `val_b.csv` for validation.\n")
     d = readers.describe(readers.find_description(str(tmp_path)).read_text())
@@ -127,7 +159,8 @@ def test_description_and_codebook(spark, tmp_path):
     readers.write_json({f"p{i}": f"2024-{i:02d}-01" for i in range(1, 13)}, str(tmp_path / "periods.json"))
     readers.write_json({"few": "1"}, str(tmp_path / "a.json"))
     ids = spark.createDataFrame([(f"p{i}",) for i in range(1, 9)], "id string")
-    assert len(readers.find_codebook(spark, str(tmp_path), ids, "id")) == 12
+    found = readers.find_codebook(spark, str(tmp_path), ids, "id")
+    assert len(found.dates) == 12 and found.direction == "id_to_date"
     assert readers.find_codebook(spark, str(tmp_path), ids.where("id = 'none'"), "id") is None
     assert readers.load_contracts({"a": str(tmp_path / "a.json"), "b": "nowhere"}) == ({"a": {"few": "1"}}, ["b"])
 
