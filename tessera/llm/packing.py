@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.store import materialise, trim
-from tessera.llm.tokens import TOKENIZER, as_arrow, encoder, token_path
+from tessera.llm.tokens import TOKENIZER, as_arrow, as_ids, encoder, token_path, width
 
 LENGTH = 2048
 END_ID = 1
@@ -38,10 +38,10 @@ SLICE_ROWS = 4000  # documents in a slice, about, were all in one queue
 
 
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None = END_ID) -> DataFrame:
-    """doc_id, source, n_tokens, ids (little-endian, two bytes an id, ending in ``end``)."""
+    """doc_id, source, n_tokens, ids (little-endian, two bytes an id, four of a tokenizer with more ids, ending in ``end``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(token_path(tokenizer))
+        enc, size = encoder(token_path(tokenizer)), width(tokenizer, end)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
@@ -50,7 +50,7 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None = END
                     ids = np.insert(ids, offsets[1:], end)
                     offsets = offsets + np.arange(len(offsets))
                 sizes = pa.array(np.diff(offsets), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, as_arrow(ids, offsets).cast(pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, as_arrow(ids, offsets, size).cast(pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])
         trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary")
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
                 stop = np.append(begin[1:], 0)
                 last = np.append(doc[1:] != doc[:-1], True)
                 stop[last] = n[doc[last]]
-                wide = [np.frombuffer(i.as_buffer(), "<u2").astype("<u4") for i in b.column(3)]
+                wide = [as_ids(i.as_buffer(), k).astype("<u4") for i, k in zip(b.column(3), n.tolist(), strict=True)]
                 ids = [wide[d][s:e].tobytes() for d, s, e in zip(doc.tolist(), begin.tolist(), stop.tolist(), strict=True)]
                 where = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(

@@ -15,6 +15,7 @@ import pyarrow as pa
 from tessera.llm.text import buffers, word_spans
 
 CACHE = 1 << 20
+NARROW = 1 << 16
 TOKENIZER = "word_bpe_49k.json"
 _held: dict[str, "WordEncoder"] = {}
 
@@ -87,6 +88,17 @@ def token_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def as_arrow(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Ids as one binary value a text, two bytes an id, little-endian."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 2).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids.astype("<u2")))])
+def width(tokenizer: str, end: int | None = None) -> int:
+    """Bytes that any id of the named tokenizer, and ``end``, takes: two, or four where ids go beyond NARROW."""
+    most = max(encoder(token_path(tokenizer)).tokenizer.get_vocab_size(with_added_tokens=True) - 1, end or 0)
+    return 2 if most < NARROW else 4
+
+
+def as_arrow(ids: np.ndarray, offsets: np.ndarray, size: int = 2) -> pa.Array:
+    """Ids as one binary value a text, little-endian, ``size`` bytes an id."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * size).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids.astype(f"<u{size}")))])
+
+
+def as_ids(raw, n: int) -> np.ndarray:
+    """The n ids of a value of as_arrow()."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}") if n else np.zeros(0, "<u2")

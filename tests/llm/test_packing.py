@@ -50,6 +50,31 @@ def test_every_id_lies_in_one_piece(spark):
         assert begin == len(want)
 
 
+def test_ids_beyond_two_bytes_keep_their_value(monkeypatch):
+    from tessera.llm import tokens
+
+    assert tokens.width(tokens.TOKENIZER) == 2 and tokens.width(tokens.TOKENIZER, 70_000) == 4
+    monkeypatch.setattr(tokens, "NARROW", 1000)
+    assert tokens.width(tokens.TOKENIZER) == 4
+    ids, offsets = np.array([7, 65_536, 70_000, 3], np.int64), np.array([0, 3, 3, 4])
+    for size, kept in ((4, ids), (2, ids & 0xFFFF)):
+        raw = [x.as_buffer() for x in tokens.as_arrow(ids, offsets, size)]
+        assert [tokens.as_ids(r, n).tolist() for r, n in zip(raw, (3, 0, 1), strict=True)] == [kept[:3].tolist(), [], kept[3:].tolist()]
+
+
+def test_wide_ids_make_the_same_pieces(spark):
+    """An end id beyond two bytes makes all ids of the table four bytes wide."""
+    rows = [(i, "some words here " * (i + 1), "s", 1) for i in range(12)] + [(20, None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, two = ({(r.doc_id, r.start): (r.length, r.sequence_id, r.offset, bytes(r.ids)) for r in packing.pack(docs, length=64, end=e).collect()} for e in (1, 70_000))
+    assert one.keys() == two.keys()
+    for k, (length, seq, at, ids) in two.items():
+        plain = np.frombuffer(ids, "<u4").copy()
+        assert (length, seq, at) == one[k][:3]
+        plain[plain == 70_000] = 1
+        assert plain.tolist() == np.frombuffer(one[k][3], "<u4").tolist()
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 0.6, "b": 0.3, "c": 0.1, "nobody": 5.0}])
 def test_every_window_has_its_quota_of_every_source(spark, targets):
     """Against a plain loop over windows: each source's tokens are within one of its quota and what it has carried on."""
