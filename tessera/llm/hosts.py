@@ -4,7 +4,7 @@ A rule is a host and a path: it fits that host and its subdomains where a url's
 hosts' other pages, personalised PageRank starts at the hosts of pages that a rule allows and follows links, and distrust starts at those that
 a rule blocks and follows links backwards. Links are absolute hrefs and srcs between different hosts, counted; besides, every host and
 the domain above it (of two labels at least) are linked both ways with the weight ``KIN``, so that a domain's hosts share a fate where no links tell.
-Ranks grow round by round, until what four rounds add is below ``CLOSE`` of them (what is missing then is about as much), and are made to add up to 1 of each kind, which is the same as walks that begin anew at the seeds from hosts without links. A host is blocked if its distrust exceeds ``SHARE`` of trust and distrust together. A host that neither reaches is allowed.
+Ranks grow round by round, until the terms to come are known from the last three to within ``CLOSE`` of all ranks, and are made to add up to 1 of each kind, which is the same as walks that begin anew at the seeds from hosts without links. A host is blocked if its distrust exceeds ``SHARE`` of trust and distrust together. A host that neither reaches is allowed.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is allowed. Null html has no links. Rows with the same page_id
 are judged one by one. An empty table gives an empty result. Other input columns are ignored.
@@ -62,7 +62,9 @@ def kin(hosts: DataFrame, weight: float = KIN) -> DataFrame:
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
     """(kind, host, rank): personalised PageRank per kind. edges: kind, src, dst, w; seeds: kind, host, seed (adding up to 1 per kind).
 
-    The fewer than HOT hosts that have more than 1 / HOT of the links each send their rank by broadcast, so their links stay where they are.
+    A rank is the sum of terms, one a round: what has come along so many links. Once every other term is the one before it times the same number, the
+    rest of the sum is known. ``term``, ``odd`` and ``even`` are the last three terms, newest first.
+    The fewer than HOT hosts that have more than 1 / HOT of the links each send their term by broadcast, so their links stay where they are.
     """
     edges = materialise(edges, "edges")
     out = materialise(edges.groupBy("kind", "src").agg(F.sum("w").alias("all"), F.count("*").alias("links")), "out")
@@ -71,26 +73,47 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     hubs = out.where(F.col("links") > least).select("kind", "src", F.lit(True).alias("hub"))
     moves = shares.join(F.broadcast(hubs), ["kind", "src"], "left").select("kind", "src", "dst", (F.col("w") / F.col("all") * damping).alias("p"), F.coalesce("hub", F.lit(False)).alias("hub"))
     moves = materialise(moves, "moves")
-    start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank, before = materialise(start, "rank"), 0.0
+    zero = F.lit(0.0)
+    state = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), (F.col("seed") * (1 - damping)).alias("term"), zero.alias("odd"), zero.alias("even"))
+    state, factors = materialise(state, "rank"), {}
     for i in range(rounds):
-        now = rank.withColumnRenamed("host", "src")
-        few = F.broadcast(now.join(F.broadcast(hubs.drop("hub")), ["kind", "src"]))
-        reached = moves.where("hub").join(few, ["kind", "src"])
-        if least:  # else every host with links is a hub
-            reached = reached.unionByName(moves.where("not hub").join(now, ["kind", "src"]))
-        step = reached.select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("rank")).alias("rank"))
-        rank = step.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        now = state.where("term > 0").select("kind", F.col("host").alias("src"), "term")
+        if least:
+            few = F.broadcast(now.join(F.broadcast(hubs.drop("hub")), ["kind", "src"]))
+            reached = moves.where("hub").join(few, ["kind", "src"]).unionByName(moves.where("not hub").join(now, ["kind", "src"]))
+        else:  # fewer than HOT links: every host is a hub, and there are fewer than HOT of them
+            reached = moves.join(F.broadcast(now), ["kind", "src"])
+        new = (F.col("p") * F.col("term")).alias("term")
+        step = reached.select("kind", F.col("dst").alias("host"), new).select("kind", "host", F.col("term").alias("rank"), "term", zero.alias("odd"), zero.alias("even"))
+        kept = state.select("kind", "host", "rank", zero.alias("term"), F.col("term").alias("odd"), F.col("odd").alias("even"))
+        state = step.union(kept).groupBy("kind", "host").agg(*(F.sum(c).alias(c) for c in ("rank", "term", "odd", "even")))
+        state = materialise(state, "rank")  # a round reads the last one three times
         if i % 4 == 3 or i == rounds - 1:
-            rank = materialise(rank, "rank")
-            every = rank.agg(F.sum("rank")).first()[0] or 0.0
-            if every - before <= close * every:  # no rank ever falls, so this is all that has changed
+            factors, missing = _rest(state, damping)
+            if missing <= close:
                 break
-            before = every
+    factor = F.coalesce(*(F.when(F.col("kind") == k, F.lit(f / (1 - f))) for k, f in factors.items()), zero) if factors else zero
+    rank = state.select("kind", "host", (F.col("rank") + (F.col("term") + F.col("odd")) * factor).alias("rank"))
     total = rank.groupBy("kind").agg(F.sum("rank").alias("all"))
     return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
 
+def _rest(state: DataFrame, damping: float) -> tuple[dict[str, float], float]:
+    """({kind: by what every other term shrinks}, bound of what the ranks are off by if terms go on so, as a share of all ranks).
+
+    With E the newest term less that factor times the one two before, terms to come differ from the guess by at most |E| d^2 (1 + d) / ((1 - d^2) (1 - factor)), as a round
+    takes no more than d of a vector's size along.
+    """
+    sums = {r["kind"]: r for r in state.groupBy("kind").agg(F.sum("rank").alias("rank"), F.sum("term").alias("term"), F.sum("even").alias("even")).collect()}
+    factors = {k: min(damping**2, r["term"] / r["even"]) if r["even"] else 0.0 for k, r in sums.items()}
+    if not factors:
+        return {}, 0.0
+    own = F.coalesce(*(F.when(F.col("kind") == k, F.lit(f)) for k, f in factors.items()))
+    off = {r["kind"]: r["e"] for r in state.groupBy("kind").agg(F.sum(F.abs(F.col("term") - own * F.col("even"))).alias("e")).collect()}
+    bound = damping**2 * (1 + damping) / (1 - damping**2)
+    return factors, max(off[k] * bound / (1 - f) / sums[k]["rank"] for k, f in factors.items())
+
+
 def judged(pages: DataFrame, rules: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, of every page."""
     rules = RULES if rules is None else rules
