@@ -55,16 +55,17 @@ def in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Knots (x, P(y = 1)) of a rising calibration curve, to be joined by straight lines.
 
-    Neighbours whose shares fall are pooled until none do; each pool stands at its mean x with its share, drawn by one pseudo-row
-    towards the share of all. Without rows it is 0.5 everywhere.
+    Rows of equal x are one pool from the start, and neighbours whose shares fall are pooled until none do; each pool stands at its mean x with its share, drawn by
+    one pseudo-row towards the share of all. Without rows it is 0.5 everywhere.
     """
     if not len(x):
         return (0.0,), (0.5,)
-    order = np.argsort(x, kind="stable")
+    levels, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    ones = np.bincount(at, y)
     prior = (float(y.sum()) + 1) / (len(y) + 2)
     pools: list[list[float]] = []  # sum of x, sum of y, rows
-    for a, b in zip(x[order], y[order], strict=True):
-        pools.append([float(a), float(b), 1.0])
+    for a, b, k in zip(levels.tolist(), ones.tolist(), n.tolist(), strict=True):
+        pools.append([a * k, b, float(k)])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [u + v for u, v in zip(pools[-1], last, strict=True)]

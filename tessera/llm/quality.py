@@ -5,7 +5,7 @@ it, and every block is compressed with either dictionary. The difference of the
 text's bytes is the measure; a rising curve turns it into a score. Every labelled document is part of both: the curve is fitted to measures by
 dictionaries that have not seen the document, those of the other ``PARTS`` - 1 parts of the labels.
 
-The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents, with their whole texts) and runs in one task of an executor.
+The fit takes a bounded sample (see ``labelled.sample``: at most 12,000 labelled documents, with their whole texts) and runs in ``PARTS`` + 1 tasks, side by side.
 Defined results: a null or empty text has the measure 0. With labels of one class only, the score is that class's smoothed share; with none, 0.5. Rows
 with the same doc_id are scored one by one, equal texts alike. A score equal to the threshold is kept. A text of any length is measured whole, block by block. An empty
 table gives an empty result. Other input columns are not read; ``accepted`` returns them as they are, whatever their names.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import fold, in_one_task, isotonic, sample
+from tessera.llm.labelled import fold, isotonic, sample
 from tessera.llm.store import trim
 from tessera.llm.text import buffers
 
@@ -84,24 +84,57 @@ def dictionaries(y: np.ndarray, texts: pa.Array, chosen: np.ndarray) -> tuple[by
     return good, bad
 
 
+def parts(y: np.ndarray) -> np.ndarray:
+    """The part of each row: those of either class are dealt out in turn."""
+    out = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        out[y == k] = np.arange(np.sum(y == k)) % PARTS
+    return out
+
+
+def part_measures(y: np.ndarray, texts: pa.Array, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(y, measure) of one part's rows, by dictionaries of the other parts."""
+    part = parts(y)
+    own = np.flatnonzero(part == p)
+    if not len(own):
+        return y[own], np.zeros(0)
+    good, bad = dictionaries(y, texts, part != p)
+    return y[own], measures(texts.take(pa.array(own)), compressor(good), compressor(bad))
+
+
 def learn(rows: pa.Table) -> Model:
-    """A model of (doc_id, y, text). Each of PARTS parts, of either class alike, is measured with dictionaries of the others; the curve is fitted to all these
+    """A model of (doc_id, y, text), by doc_id. Each of PARTS parts is measured with dictionaries of the others; the curve is fitted to all these
     measures, and the model's dictionaries are made of all rows."""
     y, texts = rows["y"].to_numpy(), rows["text"].combine_chunks()
-    part, x = np.zeros(len(y), np.int64), np.zeros(len(y))
-    for k in (0, 1):
-        part[y == k] = np.arange(np.sum(y == k)) % PARTS
-    for p in range(PARTS):
-        own = np.flatnonzero(part == p)
-        if len(own):
-            good, bad = dictionaries(y, texts, part != p)
-            x[own] = measures(texts.take(pa.array(own)), compressor(good), compressor(bad))
-    return Model(*dictionaries(y, texts, np.ones(len(y), bool)), *isotonic(x, y))
+    measured = [part_measures(y, texts, p) for p in range(PARTS)]
+    curve = isotonic(np.concatenate([x for _, x in measured]), np.concatenate([k for k, _ in measured]))
+    return Model(*dictionaries(y, texts, np.ones(len(y), bool)), *curve)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
-    """The model of a sample of labelled documents; it alone comes to the driver."""
-    return in_one_task(sample(docs, labels, "quality", folds, held_out), learn)
+    """learn() of a sample of labelled documents, each part in a task of its own and the dictionaries of all rows in another; each of these tasks gets the sample.
+    To the driver come a number and a class for each document of the sample and two dictionaries."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        p = table["part"][0].as_py()
+        y, texts = table["y"].to_numpy(), table["text"].combine_chunks()
+        if p < PARTS:
+            own, x = part_measures(y, texts, p)
+            out = {"y": pa.array(own, pa.int32()), "x": pa.array(x, pa.float64()), "good": pa.nulls(len(x), pa.binary()), "bad": pa.nulls(len(x), pa.binary())}
+        else:
+            good, bad = dictionaries(y, texts, np.ones(len(y), bool))
+            out = {"y": pa.nulls(1, pa.int32()), "x": pa.nulls(1, pa.float64()), "good": pa.array([good], pa.binary()), "bad": pa.array([bad], pa.binary())}
+        del table, texts
+        trim()
+        return pa.table(out)
+
+    rows = sample(docs, labels, "quality", folds, held_out)
+    each = rows.select("doc_id", "y", "text", F.explode(F.array(*(F.lit(p) for p in range(PARTS + 1)))).alias("part"))
+    made = each.groupBy("part").applyInArrow(run, "y int, x double, good binary, bad binary").collect()
+    whole = next(((bytes(r.good), bytes(r.bad)) for r in made if r.good is not None), (b"", b""))
+    measured = sorted((r.x, r.y) for r in made if r.x is not None)  # in one order, whichever task ended first
+    return Model(*whole, *isotonic(np.array([x for x, _ in measured]), np.array([y for _, y in measured])))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ def sizes(text, words):
 def pooled(x, y):
     """The curve by looking for the first fall again and again."""
     prior = (y.sum() + 1) / (len(y) + 2)
-    pools = [([a], [b]) for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True), key=lambda p: p[0])]
+    pools = [([a] * n, [b for z, b in zip(x.tolist(), y.tolist(), strict=True) if z == a]) for a, n in sorted(Counter(x.tolist()).items())]
     share = lambda p: sum(p[1]) / len(p[1])
     while falls := [i for i in range(len(pools) - 1) if share(pools[i]) >= share(pools[i + 1])]:
         i = falls[0]
@@ -67,6 +68,13 @@ def test_measures_and_curve_equal_plain_loops():
     assert np.allclose(got, want)
 
 
+def test_parts_in_tasks_make_the_same_model(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    rows = labelled.sample(docs, labels, "quality", 5, 0).toPandas().sort_values("doc_id")
+    one, two = quality.learn(pa.Table.from_pandas(rows, preserve_index=False)), quality.fit(docs, labels)
+    assert (one.good, one.bad) == (two.good, two.bad) and np.allclose(one.knots, two.knots) and np.allclose(one.shares, two.shares)
+
+
 def test_repeated_words_are_bad_when_such_labels_were_seen(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
