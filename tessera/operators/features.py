@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.expr import entropy, harmonics, log1p_floor, ordered, ratio
 from tessera.operators.running import running_sums
+from tessera.operators.submit import numbered
 
 
 def depths(min_periods: int) -> dict[str, list[int]]:
@@ -71,7 +72,7 @@ def ecdf(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 def category_codes(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """Adds {column}_code: the place of the value among all values, from 0; -1 for null."""
     values = train.select(column).union(rows.select(column)).where(F.col(column).isNotNull()).distinct()
-    codes = values.select(column, (F.dense_rank().over(Window.orderBy(column)) - 1).alias("_code"))
+    codes = numbered(values, [column]).select(column, F.col("row_id").cast("int").alias("_code"))
     return rows.join(codes, column, "left").withColumn(f"{column}_code", F.coalesce("_code", F.lit(-1))).drop("_code")
 
 

@@ -120,6 +120,28 @@ def test_folder_of_csvs(spark, tmp_path):
     assert readers.layout(str(tmp_path)) == "subfolder" and set(readers.layout_tables(spark, str(tmp_path))) == {"train", "val"}
 
 
+@pytest.mark.parametrize(
+    ("text", "target"),
+    [
+        ("| `price` | double | the TARGET to predict |\nPredict `other`.", "price"),
+        ("| `id` | an id |\n| `sales` | TARGET |", "sales"),
+        ("Predict `demand` for each store.", "demand"),
+        ("**Target**: `load`", "load"),
+        ("The target variable is risk.", "risk"),
+        ("the target column = `y2`", "y2"),
+        ("Targets are met by all.", None),
+        ("", None),
+    ],
+)
+def test_targets_of_descriptions(text, target):
+    assert readers.described_target(text) == target
+
+
+def test_columns_named_like_time_and_groups():
+    d = readers.describe("Columns `store_id`, `week`, `sale_date` and `x`; see `train_week.csv`.")
+    assert d["time_columns"] == ["sale_date", "week"] and d["group_columns"] == ["store_id"]
+
+
 def test_known_names_of_codebooks_come_first(spark, tmp_path):
     import json
 
