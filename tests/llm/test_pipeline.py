@@ -65,6 +65,30 @@ def test_packing_holds_all_tokens_of_the_sample(stages):
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
 
 
+def through(spark, docs, tmp_path):
+    out = [docs]
+    for i, (_, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, out[-1], DATA).write.parquet(f"{tmp_path}/{i}")
+        out.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    return out
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    kept = through(spark, docs, tmp_path)
+    assert [k.count() for k in kept] == [0] * 6 and all(k.columns == docs.columns for k in kept[:5])
+
+
+def test_repeated_rows_nulls_and_empty_texts(spark, tmp_path):
+    some = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900_001, "", "en", "web", 0), (900_001, "", "en", "web", 0)], some.schema)
+    kept = through(spark, some.union(some).union(odd), tmp_path)
+    assert all(k.columns == some.columns for k in kept[:5]) and kept[3].count() > 20
+    texts = [r.text for r in kept[3].where("length(text) > 100").collect()]
+    assert len(texts) == len(set(texts))  # one row of each text stays
+    assert kept[5].count() >= kept[4].count()
+
+
 def test_operators_are_registered_once_each():
     numbers = [int(k[2:].split("_")[0]) for k in queries.QUERIES]
     assert numbers == sorted(set(numbers)) and set(numbers) >= set(range(1, 11))
