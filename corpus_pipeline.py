@@ -1,7 +1,8 @@
 """The corpus pipeline: documents that are good and not toxic, one of each near-duplicate group, mixed and packed.
 
 Each stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and returns a table that is written as
-Parquet and read again. All but the last return the columns of documents.
+Parquet and read again. All but the last return the columns of documents. An empty table goes through all stages and has no pieces. Rows that share a doc_id
+are judged one by one; of those with equal or near texts one row stays.
 """
 
 from __future__ import annotations
