@@ -68,7 +68,7 @@ def test_measures_and_curve_equal_plain_loops():
     assert np.allclose(got, want)
 
 
-def test_parts_in_tasks_make_the_same_model(spark):
+def test_the_fit_is_that_of_the_sample(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     rows = labelled.sample(docs, labels, "quality", 5, 0).toPandas().sort_values("doc_id")
     one, two = quality.learn(pa.Table.from_pandas(rows, preserve_index=False)), quality.fit(docs, labels)
