@@ -5,7 +5,8 @@ documents meet. 1. Documents with equal sets become one set. 2. Every set lists
 make sure that two linked sets list one in common; rarity comes from exact counts of all shingles of one set in ``SAMPLED``, of
 which the ``COMMON`` most frequent are told apart; it sets an order and can't change results. 3. Of the sets that list a shingle the one
 with the smallest digest is its pivot, and a pivot's region holds all sets it was chosen for: two linked
-sets always share a region. Before any text moves, regions of up to ``FEW`` sets are parted by a lower bound of the
+sets always share a region. A set counts for a shingle only if another one that lists the shingle may be linked with it as to their sizes and the shingle's places
+in their orders (``fitting``), so that the sets that share a shingle by chance, which grow with the square of the input, stay out. Before any text moves, regions of up to ``FEW`` sets are parted by a lower bound of the
 distance: the number of bits in which two parity sketches differ, which never exceeds the symmetric
 difference of the sets. 4. A region of over ``REGION`` shingles is cut in Spark: up to ``PIVOTS`` further pivots that aren't linked with each other,
 every set's distance from each, and Voronoi cells; a set goes to its nearest pivot's cell and, as the boundary, to each cell whose pivot is farther by
@@ -48,6 +49,9 @@ PIVOTS = 8
 SMALL = 24
 HOT = 1024
 FEW = 512
+PLACES = 6
+NEXT = 16  # neighbours in a token's list that are compared by whole columns
+WIDE = 1 << 16  # rows of a token's list that a task holds
 FILTER = 1 << 24
 _U = np.uint64
 
@@ -87,19 +91,20 @@ def apart(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.nda
 
 
 def parted(rows: DataFrame, percent: int) -> DataFrame:
-    """(region, part, doc_id, n) from (region, doc_id, n, sketch) rows that lie together by region, without parts of one set."""
+    """(region, part, doc_id, n) from (region, doc_id, n, sketch) rows that lie together by region and in order of n, without parts of one set. Sets before and behind a gap
+    of sizes are in different parts; of those between two gaps over FEW are one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, whole = None, [], False
+        key, held, whole, base, last = None, [], False, 0, 0
         out: list[tuple] = []
 
         def close() -> None:
             if len(held) > 1 and not whole:
                 part = apart(np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint8) for h in held], percent)
                 n = np.bincount(part, minlength=len(held))
-                out.extend((key, int(p), h[0], h[1]) for p, h in zip(part, held, strict=True) if n[p] > 1)
+                out.extend((key, base + int(p), h[0], h[1]) for p, h in zip(part, held, strict=True) if n[p] > 1)
             elif whole:
-                out.extend((key, 0, h[0], h[1]) for h in held)
+                out.extend((key, base, h[0], h[1]) for h in held)
             held.clear()
 
         def batch() -> pa.RecordBatch:
@@ -109,10 +114,11 @@ def parted(rows: DataFrame, percent: int) -> DataFrame:
 
         for b in batches:
             for k, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if k != key:
+                if k != key or 100 * last < percent * row[1]:
                     close()
-                    key, whole = k, False
+                    key, whole, base = k, False, base + FEW + 1 if k == key else 0
                 held.append(row)
+                last = row[1]
                 if len(held) > FEW:  # as it is, piece by piece
                     whole = True
                     close()
@@ -169,12 +175,13 @@ def common_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def listed(docs: DataFrame, common, words: int, percent: int) -> DataFrame:
-    """(token, d, common): the rarest shingles of each set, enough for any linked set to share one."""
+    """(token, d, n): the rarest shingles of each set, enough for any linked set to share one, and the set's size, below 0 for a common shingle. A token's last PLACES
+    bits are not the shingle's but tell how far behind it is in the set's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, level), seen = common.value, set()
         for b in slices(batches):
-            tokens, digests, often, sizes = [], [], [], []
+            tokens, digests, sizes, lengths = [], [], [], []
             for s in shingle_sets(b.column(1), words):
                 d = digest(s)[0]
                 if not len(s) or d in seen:  # a set is listed once a task, or seldom more
@@ -187,40 +194,101 @@ def listed(docs: DataFrame, common, words: int, percent: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     own = np.where(known[at] == s, level[at], 0)
                 order = np.argsort(own, kind="stable")[: len(s) - (percent * len(s) + 99) // 100 + 1]
-                tokens.append(s[order])
-                often.append(own[order] > 0)
+                tokens.append(s[order] & ~_U((1 << PLACES) - 1) | (np.arange(len(order), dtype=_U) << _U(PLACES)) // _U(len(order)))
                 digests.append(d)
-                sizes.append(len(order))
+                sizes.append(np.where(own[order] > 0, -len(s), len(s)))
+                lengths.append(len(order))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(digests, np.int64), sizes)), pa.array(np.concatenate(often))], names=["token", "d", "common"])
+                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(digests, np.int64), lengths), np.concatenate(sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "d", "n"])
         trim()
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "token long, d long, common boolean")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "token long, d long, n long")
+
+
+def largest(token: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The size of the largest set that may be linked with a set of n shingles, if they share none that is rarer than this one of listed()."""
+    length = n - (percent * n + 99) // 100 + 1
+    before = ((token & ((1 << PLACES) - 1)) * length + (1 << PLACES) - 1) >> PLACES  # at least so many are rarer
+    return (100 + percent) * (n - before) // percent - n
 
 
-def elected(postings: DataFrame) -> DataFrame:
-    """(pivot, d, token) from (token, d, common) rows that lie together and in order: a token's first d is its pivot, and tokens of one set give
-    nothing. The distinct rows of a common token, which lie in several places, come back without a pivot."""
+def fitting(token: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of whole lists, a token's rows together, have another one in their list that they may be linked with: neither set is larger than the other's place allows.
+
+    The shingles that two sets share come no earlier in either order than the first of them, so at that one's place the sizes bound the union from below and the
+    places the intersection from above; where that excludes a link, the pair is left out.
+    """
+    fits = np.zeros(len(token), bool)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([first, [len(token)]]))
+    left = np.repeat(first + length, length) - np.arange(len(token))  # rows to the list's end
+    at = np.flatnonzero(np.repeat(length <= NEXT, length))
+    for step in range(1, NEXT):
+        at = at[left[at] > step]
+        if not len(at):
+            break
+        near = at[(n[at] <= most[at + step]) & (n[at + step] <= most[at])]
+        fits[near] = fits[near + step] = True
+    for lo, m in zip(first[length > NEXT], length[length > NEXT], strict=True):  # by the greatest bound of the sets up to a size, and of all but one
+        own = np.argsort(n[lo : lo + m], kind="stable") + lo
+        size, bound = n[own], most[own]
+        best = np.maximum.accumulate(bound)
+        holder = np.maximum.accumulate(np.where(bound == best, np.arange(m), 0))
+        second = np.full(m, -1)
+        for i in range(1, m):
+            second[i] = max(second[i - 1], min(best[i - 1], bound[i]))
+        end = np.searchsorted(size, bound, side="right") - 1
+        safe = np.maximum(end, 0)
+        other = np.where(holder[safe] == np.arange(m), second[safe], best[safe])
+        fits[own] = (end >= 0) & (other >= size)
+    return fits
+
+
+def elected(postings: DataFrame, percent: int) -> DataFrame:
+    """(pivot, d, token) from (token, d, n) rows of listed() that lie together and in order: rows that fit no other row of the token
+    give nothing, and the first d of the others is their pivot; of a list of over WIDE rows all count. The distinct rows of a common token, which lie in several places, come back without a pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = pivot = None
+        held = np.zeros((4, 0), np.int64)
+        wide: tuple[int, int] | None = None  # token and pivot of a list that is let through
+
+        def made(rows: np.ndarray, last: bool) -> pa.RecordBatch | None:
+            nonlocal held, wide
+            often = rows[2] < 0
+            rows = np.stack([rows[0] >> PLACES, rows[1], rows[2], largest(rows[0], rows[2], percent)])
+            t_often = np.unique(rows[:2, often], axis=1)
+            rows = np.concatenate([held, rows[:, ~often]], axis=1)
+            if rows.shape[1]:  # copies of a set from several tasks
+                rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])]
+            pairs = [np.zeros((2, 0), np.int64)]
+            if wide is not None:
+                n = int(np.searchsorted(rows[0], wide[0], side="right"))
+                pairs.append(np.stack([np.full(n, wide[1]), rows[1, :n]]))
+                rows = rows[:, n:]
+            cut = rows.shape[1] if last or not rows.shape[1] else int(np.searchsorted(rows[0], rows[0, -1]))
+            held, rows = rows[:, cut:], rows[:, :cut]
+            if held.shape[1] > WIDE:
+                wide = (int(held[0, 0]), int(held[1, 0]))
+                pairs.append(np.stack([np.full(held.shape[1], wide[1]), held[1]]))
+                held = held[:, :0]
+            if rows.shape[1]:
+                rows = rows[:, fitting(rows[0], rows[2], rows[3])]
+                first = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])[: rows.shape[1]]
+                pairs.append(np.stack([rows[1, first][np.cumsum(first) - 1], rows[1]]))
+            out = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            n, m = out.shape[1], t_often.shape[1]
+            if not n + m:
+                return None
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([out[0], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([out[1], t_often[1]])),
+                pa.array(np.concatenate([np.zeros(n, np.int64), t_often[0]]), mask=np.arange(n + m) < n)], names=["pivot", "d", "token"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            t, d, common = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            first = np.concatenate([[token is None or t[0] != token], t[1:] != t[:-1]])
-            heads = np.concatenate([[pivot if pivot is not None else 0], d[first]])
-            pivots = heads[np.cumsum(first)]
-            other = (d != pivots) & ~common
-            members = np.stack([pivots[other], d[other]], 1)
-            out = np.unique(np.concatenate([members, np.stack([members[:, 0]] * 2, 1)]), axis=0)
-            often = np.unique(np.stack([t[common], d[common]], 1), axis=0)
-            token, pivot = t[-1], pivots[-1]
-            n, m = len(out), len(often)
-            if n + m:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([out[:, 0], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([out[:, 1], often[:, 1]])),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), often[:, 0]]), mask=np.arange(n + m) < n)], names=["pivot", "d", "token"])
+            if b.num_rows and (out := made(np.stack([b.column(i).to_numpy() for i in range(3)]), False)):
+                yield out
+        if out := made(np.zeros((3, 0), np.int64), True):
+            yield out
 
     return postings.mapInArrow(run, "pivot long, d long, token long")
 
@@ -447,9 +515,8 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     groups = materialise(groups, "groups")
 
     # the rows of a common token, which may be in a third of all sets, are dealt out by token and set
-    salt = F.when(F.col("common"), F.pmod("d", F.lit(64))).otherwise(F.lit(0))
-    lists = listed(docs, common, words, percent).withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "salt", "d")
-    lists = materialise(elected(lists.select("token", "d", "common")), "lists")
+    token, salt = F.shiftright("token", PLACES), F.when(F.col("n") < 0, F.pmod("d", F.lit(64))).otherwise(F.lit(0))
+    lists = materialise(elected(listed(docs, common, words, percent).repartition(token, salt).sortWithinPartitions(token, "d"), percent), "lists")
     common.unpersist()
     often = lists.where("token is not null").select("token", "d")
     chosen = F.broadcast(often.groupBy("token").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot <> last"))  # at most COMMON rows
@@ -461,7 +528,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     # fewer than HOT regions hold more than 1 / HOT of the rows each; they, too large to be parted anyway, stay where they are
     counts = near.groupBy("region").agg(F.count("*").alias("rows"))
     hot = F.broadcast(counts.where((F.col("rows") > F.lit(near.count() // HOT)) & (F.col("rows") > FEW)).select("region"))
-    few = near.join(hot, "region", "left_anti").repartition("region").sortWithinPartitions("region", "doc_id")
+    few = near.join(hot, "region", "left_anti").repartition("region").sortWithinPartitions("region", "n", "doc_id")
     whole = near.join(hot, "region").select("region", F.lit(0).cast("long").alias("part"), "doc_id", "n")
     parts = materialise(parted(few, percent).unionByName(whole), "parts")
     sizes = parts.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")

@@ -142,3 +142,53 @@ def test_common_shingles_meet_across_tasks(spark, monkeypatch):
     table = spark.createDataFrame([(k, t, "x") for k, t in docs], SCHEMA).repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(table).collect()}
     assert got == brute(docs)
+
+
+def test_rows_of_a_token_fit_as_their_sizes_and_places_allow(monkeypatch):
+    monkeypatch.setattr(jaccard, "NEXT", 5)
+    rng = np.random.default_rng(3)
+    token = np.concatenate([np.sort(rng.integers(0, 250, 700)), np.full(200, 250)])
+    n = rng.integers(1, 400, 900)
+    most = jaccard.largest(rng.integers(0, 1 << jaccard.PLACES, 900), n, 75)
+    fits = jaccard.fitting(token, n, most)
+    expected = [any(i != j and token[i] == token[j] and n[i] <= most[j] and n[j] <= most[i] for j in range(900)) for i in range(900)]
+    assert fits.tolist() == expected and 50 < sum(expected) < 850
+    assert jaccard.largest(np.array([0]), np.array([75]), 75)[0] == 100  # all of the smaller set are in the larger
+
+
+def test_sets_that_share_a_shingle_by_chance_join_no_region(spark, monkeypatch):
+    """A long text meets 60 short ones in a passage each: no pair can be linked, so no sketch and no text is moved for them. Before, its region had all of them."""
+    rows: dict[str, int] = {}
+    stored = jaccard.materialise
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    monkeypatch.setattr(jaccard, "FEW", 8)
+    rng = random.Random(21)
+    long = [f"l{i}" for i in range(3000)]
+    docs = [(0, " ".join(long))]
+    for i in range(1, 61):
+        at = 40 * i
+        docs.append((i, " ".join([f"s{i}x{j}" for j in range(rng.randint(20, 60))] + long[at : at + 24])))
+    docs += [(100, " ".join(["new", *long])), (101, " ".join(f"s7x{j}" for j in range(5)))]
+    table = spark.createDataFrame([(k, t, "x") for k, t in docs], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(table).collect()}
+    assert got == brute(docs) and got[100][1] == 0
+    assert rows["near"] < 10 and rows["held"] == 2
+
+
+@pytest.mark.parametrize("wide", [0, 3])
+def test_lists_too_long_to_be_held_are_let_through(spark, wide, monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        docs = corpus(15, 120)
+        table = spark.createDataFrame([(k, t, "x") for k, t in docs], SCHEMA).repartition(3)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(table).collect()}
+        assert got == brute(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
