@@ -43,6 +43,18 @@ def rolls(target: str, groups: list[str], axis: str, widths: list[int], name: st
     return out
 
 
+def deviation(column: str, frame: Window) -> Column:
+    """Sample deviation of a short frame by the update that DuckDB makes: m2 + (x - new mean) * (x - mean); stddev_samp() rounds in other places, which shows at halves. Null below two values."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1.0)
+        return F.struct((s["n"] + 1.0).alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+
+    values = F.collect_list(F.col(column).cast("double")).over(frame)
+    return F.aggregate(values, start, step, lambda s: F.when(s["n"] > 1, F.sqrt(s["m2"] / F.greatest(s["n"] - 1, F.lit(1.0)))))
+
+
 def covariate_dynamics(columns: list[str], groups: list[str], axis: str, extended: bool = False) -> list[Column]:
     """Lag 1, difference and mean of the four rows before; extended: means of 8 and 13, deviations of 4 and 8."""
     w = ordered(groups, axis)
@@ -51,7 +63,7 @@ def covariate_dynamics(columns: list[str], groups: list[str], axis: str, extende
         out += [F.lag(c).over(w).alias(f"{c}_lag1"), (F.col(c) - F.lag(c).over(w)).alias(f"{c}_delta"), F.avg(c).over(w.rowsBetween(-4, -1)).alias(f"{c}_roll4")]
         if extended:
             out += [F.avg(c).over(w.rowsBetween(-n, -1)).alias(f"{c}_roll{n}") for n in (8, 13)]
-            out += [F.stddev_samp(c).over(w.rowsBetween(-n, -1)).alias(f"{c}_std{n}") for n in (4, 8)]
+            out += [deviation(c, w.rowsBetween(-n, -1)).alias(f"{c}_std{n}") for n in (4, 8)]
     return out
 
 

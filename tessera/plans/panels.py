@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import ordered
@@ -41,6 +41,14 @@ def predicted(t) -> DataFrame:
     return m.select("g", "t", "y", F.lag("y").over(ordered(["g"], "t")).alias("p"), F.pmod("t", F.lit(5)).alias("fold_id")).where("p is not null")
 
 
+def half_away(x: Column, digits: int) -> Column:
+    """Rounds as SQL's round() in DuckDB does: the scaled double to the nearest integer, halves away from zero. F.round() rounds the shortest decimal that names the double, so it
+    differs where a value lies within a bit of a half."""
+    v = F.abs(x) * 10.0**digits
+    near = F.rint(v)
+    return F.when(F.abs(x) < 1e300, F.signum(x) * (near + F.when(v - near == 0.5, 1.0).otherwise(0.0)) / 10.0**digits).otherwise(x)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded, without negative zeros."""
-    return df.select(*((F.round(F.col(c), digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    return df.select(*((half_away(F.col(c), digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))

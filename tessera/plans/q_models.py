@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import adversarial, budget, features, fold_fit, folds, metrics, model, recursion, ridge, tuning
-from tessera.plans.panels import DAILY_T_SQL, MONTHLY_SQL, daily_ranked, monthly, rounded
+from tessera.plans.panels import DAILY_T_SQL, MONTHLY_SQL, daily_ranked, half_away, monthly, rounded
 from tessera.plans.registry import query
 
 ROUNDS = 5  # boosting rounds of the queries with a dozen fits and more; the operators' own default is 20
@@ -187,7 +187,7 @@ def _(t):
     """All families of a panel that the budget bears."""
     made, found = budget.panel_features(monthly(t), ["g"], "t", "y", ["d", "x"])
     assert not found.refused, found.refused
-    return rounded(made.select("g", "t", "lag_1", "roll_mean_4", "d_roll8", F.col("x_std4"), F.round("d_per_x", 3).alias("ratio"), "d_group_dev", "cov_entropy"))
+    return rounded(made.select("g", "t", "lag_1", "roll_mean_4", "d_roll8", F.col("x_std4"), half_away(F.col("d_per_x"), 3).alias("ratio"), "d_group_dev", "cov_entropy"))
 
 
 @query("transform_probe")

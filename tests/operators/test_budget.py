@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.operators import budget
 
 ONE = {"a": ["a1"]}  # columns are only counted here
@@ -46,3 +48,30 @@ def test_panel_features_call_the_gate(spark):
     assert {r.family: r.n_columns for r in found.table(spark).collect()}["cov_rolls_ext"] == 0
     single, _ = budget.panel_features(df.drop("u", "v"), ["g"], "t", "y")
     assert single.count() == 24
+
+
+def test_halves_are_rounded_as_the_sql_rounds_them(spark):
+    """Rows of sf0.01 that lie within a bit of a half differed: F.round() takes the shortest decimal, stddev_samp() rounds in other places."""
+    import duckdb
+
+    from tessera.plans.catalogue import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.sql("set threads = 1")
+    c.sql(f"create view lineitem as select * from '{data}/lineitem.parquet'")
+    names = ["g", "t", "lag_1", "roll_mean_4", "d_roll8", "x_std4", "ratio", "d_group_dev", "cov_entropy"]
+    expected = sorted(map(str, c.sql(f"select {', '.join(names)} from ({ORACLES['budgeted_features']})").fetchall()))
+    assert sorted(str(tuple(r)) for r in QUERIES["budgeted_features"](spark, data).select(names).collect()) == expected
+
+
+def test_half_away_equals_duckdb(spark):
+    import duckdb
+
+    from tessera.plans.panels import half_away
+
+    values = [0.04325, 0.05824999999999999, -0.04325, 0.00005, 2.5e-5, -1.5, 0.0, -0.0, 1e20, 1e305, -1e305, None, 12345.67895, 0.49999999999999994]
+    got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(half_away(F.col("v"), 4).alias("v")).collect()]
+    assert got == [None if v is None else duckdb.execute("select round(?::double, 4)", [v]).fetchone()[0] for v in values]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),)], "v double").select(half_away(F.col("v"), 4).alias("v")).collect()
+    assert str(odd[0].v) == "nan" and odd[1].v == float("inf")
