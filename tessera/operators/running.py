@@ -15,23 +15,25 @@ def place(bounds: Column, key: Column, n: int) -> Column:
     return F.aggregate(tries, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str], keys: list[str] | None = None, slices: int = SLICES) -> DataFrame:
+def running_sums(df: DataFrame, order: str, sums: list[str], keys: list[str] | None = None, slices: int = SLICES, few: bool = False) -> DataFrame:
     """Adds cum_{c} (through this value) and all_{c} (of the key) for each c of ``sums``; df has one row a key and value.
 
     The values of a key are cut into slices of about equal length by approximate quantiles. Sums run inside the slices and over the slices'
-    totals, of which there are ``slices`` a key. Where the cuts fall doesn't change a result.
+    totals, of which there are ``slices`` a key. Where the cuts fall doesn't change a result. ``few``: keys are as few as columns, so bounds and totals are broadcast
+    and the rows of a key never lie in one task.
     """
     keys = keys or []
     at = [i / slices for i in range(1, slices)]
+    small = F.broadcast if few or not keys else lambda table: table
     own = keys or [F.lit(0).alias("_one")]
     bounds = df.groupBy(*own).agg(F.percentile_approx(order, at, 2000).alias("_bounds"))
-    cut = (df.join(bounds, keys) if keys else df.crossJoin(F.broadcast(bounds.drop("_one")))).withColumn("_slice", place(F.col("_bounds"), F.col(order), slices - 1)).drop("_bounds")
+    cut = (df.join(small(bounds), keys) if keys else df.crossJoin(F.broadcast(bounds.drop("_one")))).withColumn("_slice", place(F.col("_bounds"), F.col(order), slices - 1)).drop("_bounds")
     totals = cut.groupBy(*keys, "_slice").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
     across = Window.partitionBy(*(keys or [F.lit(0)]))
     before = across.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_slice", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_t_{c}").over(across).alias(f"all_{c}") for c in sums))
     within = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumns({f"cum_{c}": F.sum(c).over(within) for c in sums}).join(totals, [*keys, "_slice"])
+    out = cut.withColumns({f"cum_{c}": F.sum(c).over(within) for c in sums}).join(small(totals), [*keys, "_slice"])
     return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_b_{c}") for c in sums}).drop("_slice", *(f"_b_{c}" for c in sums))
 
 

@@ -20,7 +20,7 @@ def ks(a: DataFrame, b: DataFrame, columns: list[str], least: int = 20, d_min: f
     """Two-sample Kolmogorov-Smirnov by column: statistic, p_value, flagged. Equal values are counted before anything is ordered."""
     both = long_form(a, columns).withColumn("side", F.lit(0)).union(long_form(b, columns).withColumn("side", F.lit(1)))
     counts = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
-    run = running_sums(counts, "value", ["x", "y"], ["feature"])
+    run = running_sums(counts, "value", ["x", "y"], ["feature"], few=True)
     steps = run.select("feature", F.col("cum_x").alias("cx"), F.col("cum_y").alias("cy"), F.col("all_x").alias("nx"), F.col("all_y").alias("ny"))
     gap = F.abs(F.try_divide(F.col("cx"), F.col("nx")) - F.try_divide(F.col("cy"), F.col("ny")))
     out = steps.groupBy("feature").agg(F.max(gap).alias("statistic"), F.max("nx").alias("n_a"), F.max("ny").alias("n_b")).where((F.col("n_a") >= least) & (F.col("n_b") >= least))

@@ -45,3 +45,22 @@ def test_medians_of_several_columns(spark):
     assert {r["column"]: r["median"] for r in column_profile(df).collect()} == {**got, "none": None, "name": None}
     assert fit_fill(df.limit(0), ["b"]).first()["b"] is None
     assert column_profile(df.select("name")).first()["median"] is None
+
+
+def test_rows_of_a_feature_are_not_dealt_by_the_feature(spark):
+    """Joins with bounds and totals are broadcast: a sort-merge join by feature would bring all values of a column to one task."""
+    from tessera.operators import shift
+
+    rows = [(float(i % 700), float(i % 31)) for i in range(2000)]
+    a, b = spark.createDataFrame(rows, "u double, v double"), spark.createDataFrame([(u + 5, v) for u, v in rows], "u double, v double")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = shift.ks(a, b, ["u", "v"])
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r.feature: round(r.statistic, 4) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    side = lambda s, at: sum(u <= at for u, _ in s) / len(s)
+    moved = [(u + 5, v) for u, v in rows]
+    assert got == {"u": round(max(abs(side(rows, x) - side(moved, x)) for x in range(710)), 4), "v": 0.0}
