@@ -16,7 +16,8 @@ such is done. 5. What fits a task is joined there in the same way: pivots, farth
 small. Sets that are in one component already are not compared. 6. The links, as stars, give components across regions.
 
 A cell that pivots cannot make smaller is cut into near, boundary and outer blocks by the distance from its pivot, of which those pairs are joined that
-can hold a link, so nothing unbounded comes to a task and no link is lost. Shingles that are common are dealt out by shingle and set, and get their
+can hold a link, so nothing unbounded comes to a task and no link is lost. A text is sent once for each block that its own is paired with, so the texts of a group of near
+copies that grows with the input are moved as often as it has blocks: ``REGION`` is what a task can hold, not less. Shingles that are common are dealt out by shingle and set, and get their
 pivots from partial aggregates.
 
 Defined results: a null text or one without words has no shingles and is linked with nothing; one of fewer words than
@@ -43,7 +44,8 @@ PERCENT = 75
 SAMPLED = 16
 COMMON = 1 << 18
 OFTEN = 4  # times in the sample from which a shingle may be common
-REGION = 1 << 16
+REGION = 1 << 20
+SETS = 1 << 13  # sets that a task compares, however short they are
 DEPTH = 4
 PIVOTS = 8
 SMALL = 24
@@ -531,6 +533,8 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT,
     few = near.join(hot, "region", "left_anti").repartition("region").sortWithinPartitions("region", "n", "doc_id")
     whole = near.join(hot, "region").select("region", F.lit(0).cast("long").alias("part"), "doc_id", "n")
     parts = materialise(parted(few, percent).unionByName(whole), "parts")
+    # a short set counts as one of region / SETS shingles
+    parts = parts.withColumn("n", F.greatest("n", F.lit(region // SETS)))
     sizes = parts.groupBy("region", "part").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
     placed = lookup(parts, sizes, ["region", "part"], "sets", parts.count()).where("weight is not null").withColumn("region", F.xxhash64("region", "part"))
     # the texts that are compared, written once: else every round would read all texts and hold the bitmap anew

@@ -192,3 +192,51 @@ def test_lists_too_long_to_be_held_are_let_through(spark, wide, monkeypatch):
         assert got == brute(docs)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_of_a_group_of_near_copies_are_sent_once_a_region(spark, monkeypatch):
+    """What a task can hold is not cut into blocks, whose pairs send texts again and again: before, 2672 texts for 1692 sets of regions."""
+    sent = {}
+    joined, stored = jaccard.joined, jaccard.materialise
+
+    def counted(rows, *args):
+        sent["texts"] = rows.count()
+        return joined(rows, *args)
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "parts":
+            sent["sets"] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "joined", counted)
+    monkeypatch.setattr(jaccard, "materialise", kept)
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(400)]
+    docs = []
+    for i in range(700):
+        t = list(base)
+        for _ in range(rng.randint(0, 14)):
+            t[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(t), "x"))
+    table = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    assert jaccard.classes(table).count() == 700
+    assert sent["sets"] > 500 and sent["texts"] <= sent["sets"]
+
+
+def test_short_sets_count_for_more_where_regions_are_large(spark, monkeypatch):
+    """At most SETS sets come to a task, however short they are."""
+    sizes = []
+    cells = jaccard.cells
+
+    def seen(rows, *args):
+        sizes.append(rows.agg({"weight": "max"}).first()[0])
+        return cells(rows, *args)
+
+    monkeypatch.setattr(jaccard, "cells", seen)
+    monkeypatch.setattr(jaccard, "FEW", 8)
+    monkeypatch.setattr(jaccard, "SETS", 16)
+    docs = [(i, f"a b c d e f g h i j k {i}") for i in range(60)]
+    table = spark.createDataFrame([(k, t, "x") for k, t in docs], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(table, region=4000).collect()}
+    assert got == brute(docs) and sizes == [60 * 250]
