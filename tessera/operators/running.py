@@ -58,8 +58,8 @@ def exact_percentiles(df: DataFrame, column: str, at: dict[str, float]) -> DataF
 
 
 def exact_medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by,) column, median of each column with values, from one pass: values are counted first, and sums run over slices of them."""
+    """(by,) column, median of each column with values, from one pass: values are counted first, and sums run over slices of them. ``by``: a few keys, like folds."""
     keys = [*(by or []), "column"]
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]
     counts = df.select(*(by or []), F.inline(F.array(*pairs))).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    return running_sums(counts, "v", ["n"], keys).groupBy(*keys).agg(*place_values({"median": 0.5}))
+    return running_sums(counts, "v", ["n"], keys, few=True).groupBy(*keys).agg(*place_values({"median": 0.5}))
